@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from demandspark.session import stage
+
 SPLITS = 64
 
 
@@ -46,10 +48,11 @@ def running_totals(
     if row_number:
         measures[row_number] = F.lit(1)
     named = [c.alias(f"_o{i}") for i, c in enumerate(order)]
-    keyed = df.withColumn("_key", F.struct(*named))
+    # Three plans read these rows, so they are written once.
+    keyed = stage(df.withColumn("_key", F.struct(*named)))
     points = _splitters(keyed, splits)
-    bucketed = keyed.withColumn(
-        "_bucket", F.size(F.filter(points, lambda p: p < F.col("_key")))
+    bucketed = keyed.withColumn("_points", points).withColumn(
+        "_bucket", F.size(F.filter("_points", lambda p: p < F.col("_key")))
     )
     totals = bucketed.groupBy("_bucket").agg(
         *[F.sum(c).alias(f"_t_{name}") for name, c in measures.items()],

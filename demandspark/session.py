@@ -14,9 +14,11 @@ def local_session(cores: str = "8", app: str = "demandspark") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.extraJavaOptions", "-Xss16m")
@@ -43,11 +45,12 @@ def new_stage_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a result that later steps read several times.
+    """Write a result once that several later steps read.
 
-    The rows are written once to the shared checkpoint folder, so a lost
-    executor costs a re-read and not a re-run, and every later branch sees
-    the same rows.
+    The rows go to a table in the shared folder, so a lost executor costs a
+    re-read and not a re-run, every later branch sees the same rows, and the
+    readers still prune columns, push filters down and know the size.
     """
-    stage_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = new_stage_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
