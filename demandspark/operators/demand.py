@@ -85,6 +85,15 @@ def volume_quantiles(stats: DataFrame, rules: DemandRules = RULES) -> DataFrame:
     )
 
 
+def volume_cuts(stats: DataFrame, rules: DemandRules = RULES) -> tuple[Column, Column]:
+    """The two cuts as scalars, each rounded so that equal data give equal cuts."""
+    cuts = volume_quantiles(stats, rules)
+    both = cuts.select(
+        F.struct(F.round("low_q", 6).alias("low"), F.round("high_q", 6).alias("high"))
+    ).scalar()
+    return both["low"], both["high"]
+
+
 def weekly_growth(weekly: DataFrame) -> DataFrame:
     """Mean weekly units over all weeks, the last four and the four before."""
     w = W.partitionBy(*SERIES).orderBy(F.desc("week_id"))
@@ -372,9 +381,7 @@ def demand_analysis(
     stats: DataFrame, growth: DataFrame, seasonal: DataFrame, rules: DemandRules = RULES
 ) -> DataFrame:
     """Everything known about a series in one row."""
-    cuts = volume_quantiles(stats, rules)
-    low = cuts.select("low_q").scalar()
-    high = cuts.select("high_q").scalar()
+    low, high = volume_cuts(stats, rules)
     span = F.col("series_end") - F.col("series_start") + 1
     effect = trend_effect(F.col("trend_slope"), span, F.col("mean_daily_units"), rules)
     joined = (

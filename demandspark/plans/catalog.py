@@ -33,9 +33,15 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*[cast(f) for f in df.schema.fields])
 
 
+def rounded(df: DataFrame, places: dict[str, int]) -> DataFrame:
+    return df.withColumns({c: F.round(c, p) for c, p in places.items()})
+
+
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from demandspark.plans import (  # noqa: F401  (registration)
+        catalog_demand,
         catalog_load,
+        catalog_stock,
         catalog_weekly,
     )
 

@@ -6,8 +6,19 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from demandspark.config import Clock
-from demandspark.operators import dims, facts, weekly
+from demandspark.config import SERIES, Clock
+from demandspark.operators import (
+    demand,
+    dims,
+    facts,
+    forecast,
+    forecast_fit,
+    replenish,
+    risk,
+    scenario,
+    weekly,
+)
+from demandspark.session import stage
 from demandspark.sources.order_tables import OrderTables, product_key
 
 
@@ -114,3 +125,135 @@ class RetailTables:
     @cached_property
     def sold_wide(self) -> DataFrame:
         return weekly.v_weekly(self.sold_weeks, self.product, self.store, self.dates)
+
+    # -- demand -----------------------------------------------------------------------
+    @cached_property
+    def stats(self) -> DataFrame:
+        return demand.demand_stats(
+            self.daily, self.clock.observed_start, self.clock.observed_end
+        )
+
+    @cached_property
+    def growth(self) -> DataFrame:
+        return demand.weekly_growth(self.weekly_units)
+
+    @cached_property
+    def monthly(self) -> DataFrame:
+        return demand.monthly_means(self.weekly_units, self.dates)
+
+    @cached_property
+    def seasonal(self) -> DataFrame:
+        return demand.monthly_seasonality(self.monthly)
+
+    @cached_property
+    def analysis(self) -> DataFrame:
+        return demand.demand_analysis(self.stats, self.growth, self.seasonal)
+
+    @cached_property
+    def dow_fine(self) -> DataFrame:
+        return demand.dow_fine(
+            self.daily,
+            self.dates,
+            self.product,
+            self.store,
+            self.clock.observed_start,
+            self.clock.observed_end,
+        )
+
+    @cached_property
+    def dow(self) -> DataFrame:
+        return demand.dow_factors(self.dow_fine)
+
+    # -- forecast ------------------------------------------------------------------------
+    @cached_property
+    def windows(self) -> DataFrame:
+        return forecast.trailing_window_arrays(self.daily, forecast.forecast_windows(self.clock))
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return forecast.evaluate(self.windows)
+
+    @cached_property
+    def selected(self) -> DataFrame:
+        return forecast.select_for_series(self.scored)
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        return forecast.chosen_forecast(self.windows, self.scored, self.selected, clock=self.clock)
+
+    @cached_property
+    def final(self) -> DataFrame:
+        return forecast.final_forecast(self.chosen, self.clock)
+
+    @cached_property
+    def pilot(self) -> DataFrame:
+        return forecast.pilot_topn(self.stats)
+
+    @cached_property
+    def pilot_history(self) -> DataFrame:
+        return forecast_fit.pilot_history(self.daily, self.pilot, self.clock)
+
+    @cached_property
+    def statistical_holdout(self) -> DataFrame:
+        """Pilot fits on the training days, to be scored on the holdout."""
+        return stage(
+            forecast_fit.fit_statistical(
+                self.pilot_history, self.clock.train_end, self.clock.horizon
+            )
+        )
+
+    @cached_property
+    def statistical_final(self) -> DataFrame:
+        return stage(
+            forecast_fit.fit_statistical(
+                self.pilot_history, self.clock.observed_end, self.clock.horizon
+            )
+        )
+
+    @cached_property
+    def scored_all(self) -> DataFrame:
+        return forecast.evaluate(self.windows, self.statistical_holdout)
+
+    @cached_property
+    def selected_all(self) -> DataFrame:
+        return forecast.select_for_series(self.scored_all)
+
+    # -- policy, projection and scenarios ----------------------------------------------------
+    @cached_property
+    def moments(self) -> DataFrame:
+        return self.stats.select(
+            *SERIES, "total_units", "mean_daily_units", "std_daily_units"
+        )
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return forecast.chosen_vectors(self.chosen)
+
+    @cached_property
+    def policy(self) -> DataFrame:
+        return replenish.inventory_policy(self.moments)
+
+    @cached_property
+    def traced(self) -> DataFrame:
+        return replenish.with_trace(self.policy.join(self.vectors, SERIES))
+
+    @cached_property
+    def projection(self) -> DataFrame:
+        return replenish.inventory_projection(self.traced, clock=self.clock)
+
+    @cached_property
+    def results(self) -> DataFrame:
+        """Outcome of all scenarios, written once for the ranks and reports."""
+        return stage(scenario.scenario_result(self.moments, self.vectors))
+
+    @cached_property
+    def baseline(self) -> DataFrame:
+        return self.results.filter("scenario_type = 'baseline'")
+
+    @cached_property
+    def deltas(self) -> DataFrame:
+        return scenario.scenario_deltas(self.results)
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return risk.risk_fact(self.results)
