@@ -37,19 +37,21 @@ def running_totals(
     row_number: str | None = None,
     grand: dict[str, Column] | None = None,
     splits: int = SPLITS,
+    written: bool = False,
 ) -> DataFrame:
     """Add running sums (own row included) in ascending `order`.
 
     `order` must identify a row, so end it with ids; use a negated number for
     a descending sort. `row_number` names a rank column. `grand` adds totals
-    over all rows.
+    over all rows. Three plans read the rows, so they are written once unless
+    they come straight from a written table.
     """
     measures = dict(sums)
     if row_number:
         measures[row_number] = F.lit(1)
     named = [c.alias(f"_o{i}") for i, c in enumerate(order)]
-    # Three plans read these rows, so they are written once.
-    keyed = stage(df.withColumn("_key", F.struct(*named)))
+    keyed = df.withColumn("_key", F.struct(*named))
+    keyed = keyed if written else stage(keyed)
     points = _splitters(keyed, splits)
     bucketed = keyed.withColumn("_points", points).withColumn(
         "_bucket", F.size(F.filter("_points", lambda p: p < F.col("_key")))
@@ -84,7 +86,7 @@ def running_totals(
     )
 
 
-def value_ranks(df: DataFrame, value: str) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, written: bool = False) -> DataFrame:
     """One row per distinct value: its count, the rows up to it, all rows.
 
     Equal values collapse before anything is moved, so a frequent value is
@@ -96,15 +98,16 @@ def value_ranks(df: DataFrame, value: str) -> DataFrame:
         [F.col(value)],
         {"n_up_to": F.col("n_equal")},
         grand={"n_all": F.col("n_equal")},
+        written=written,
     )
 
 
-def percentile_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+def percentile_rank(df: DataFrame, value: str, out: str, written: bool = False) -> DataFrame:
     """(average rank - 1) / (n - 1), ties sharing their average; 0.5 for one row."""
     filled = df.withColumn(
         "_v", F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0))
     )
-    ranks = value_ranks(filled, "_v").select(
+    ranks = value_ranks(filled, "_v", written).select(
         "_v",
         F.when(F.col("n_all") == 1, F.lit(0.5))
         .otherwise(

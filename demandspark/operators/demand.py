@@ -43,6 +43,8 @@ def demand_stats(
         F.sum(F.when(age < 28, units)).alias("_recent"),
         F.sum(F.when(age.between(28, 55), units)).alias("_prior"),
     )
+    if last_day is not None:
+        sums = sums.fillna(0, ["_recent", "_prior"])
     n = (F.col("series_end") - F.col("series_start") + 1).cast("double")
     mid = (F.col("series_start") + F.col("series_end")) / F.lit(2.0)
     total = F.col("total_units").cast("double")

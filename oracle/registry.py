@@ -1,7 +1,9 @@
+"""All DuckDB statements by query name."""
+
 from __future__ import annotations
 
 
 def statements() -> dict[str, str]:
-    from oracle import sql_load, sql_weekly
+    from oracle import sql_demand, sql_load, sql_stock, sql_weekly
 
-    return {**sql_load.ORACLE, **sql_weekly.ORACLE}
+    return {**sql_load.ORACLE, **sql_weekly.ORACLE, **sql_demand.ORACLE, **sql_stock.ORACLE}
