@@ -93,3 +93,12 @@ def mean_of_scaled(total: Column, n: Column, places: int = 4) -> Column:
 
 def unscaled(total: Column, places: int = 4) -> Column:
     return total / F.lit(float(10**places))
+
+
+def exact_mean(x: Column, stored: int = 4, places: int = 6) -> Column:
+    """Mean of values stored with `stored` places, rounded to `places`.
+
+    Sums whole numbers, so the result does not depend on the order of rows.
+    """
+    total = F.sum(scaled(x, stored)) * F.lit(10 ** (places - stored))
+    return F.round(ratio(total, F.count(x))) / F.lit(float(10**places))

@@ -17,7 +17,7 @@ from demandspark.config import (
     ForecastRules,
 )
 from demandspark.functions.arrays import BASELINES, error_metrics
-from demandspark.functions.exprs import ratio
+from demandspark.functions.exprs import exact_mean, ratio, scaled
 from demandspark.functions.ordering import page
 
 RULES = ForecastRules()
@@ -408,18 +408,13 @@ def final_vectors(forecast: DataFrame) -> DataFrame:
 def forecast_volume_by_week(forecast: DataFrame, dates: DataFrame) -> DataFrame:
     """Forecast units and mean band width per week."""
     days = dates.select(F.col("date_id").alias("forecast_date"), "wm_yr_wk")
-    scaled = lambda c: F.round(F.col(c) * 10000).cast("long")
+    width = F.sum(scaled(F.col("upper_bound")) - scaled(F.col("lower_bound"))) * 100
     return (
         forecast.join(F.broadcast(days), "forecast_date")
         .groupBy("wm_yr_wk")
         .agg(
-            (F.sum(scaled("forecast_value")) / 10000.0).alias("forecast_units"),
-            F.round(
-                (F.sum(scaled("upper_bound")) - F.sum(scaled("lower_bound")))
-                / F.count(F.lit(1))
-                / 10000.0,
-                6,
-            ).alias("mean_interval_width"),
+            (F.sum(scaled(F.col("forecast_value"))) / 10000.0).alias("forecast_units"),
+            (F.round(ratio(width, F.count(F.lit(1)))) / 1e6).alias("mean_interval_width"),
         )
     )
 
@@ -441,7 +436,7 @@ def model_support_accuracy(evaluation: DataFrame) -> DataFrame:
     """Mean metrics and number of series per model, pilot models flagged."""
     return evaluation.groupBy("model_id", "model").agg(
         F.countDistinct(*SERIES).alias("support_series"),
-        *[F.round(F.avg(m), 6).alias(m) for m in METRICS],
+        *[exact_mean(F.col(m), 6).alias(m) for m in METRICS],
         F.first(F.col("model").isin(*STATISTICAL_MODELS)).alias("pilot_limited"),
     )
 

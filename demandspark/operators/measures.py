@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from demandspark.config import AT_RISK_TIERS, SERIES
-from demandspark.functions.exprs import pct_change_positive_base, ratio, share_pct
+from demandspark.functions.exprs import (
+    exact_mean,
+    pct_change_positive_base,
+    ratio,
+    share_pct,
+)
 from demandspark.operators.dims import dim_week
 from demandspark.operators.weekly import week_totals
 
@@ -120,8 +125,8 @@ def fill_rates(results: DataFrame, context: list[str]) -> DataFrame:
 def inventory_means(results: DataFrame, context: list[str]) -> DataFrame:
     n = F.count(F.lit(1))
     return results.groupBy(*context).agg(
-        F.round(_exact("avg_days_of_inventory") / n, 6).alias("avg_days_of_inventory"),
-        F.round(_exact("avg_inventory_position") / n, 6).alias("avg_inventory_position"),
+        exact_mean(F.col("avg_days_of_inventory")).alias("avg_days_of_inventory"),
+        exact_mean(F.col("avg_inventory_position")).alias("avg_inventory_position"),
         n.alias("series_count"),
     )
 
@@ -130,9 +135,7 @@ def risk_measures(ranked: DataFrame, context: list[str]) -> DataFrame:
     n = F.count(F.lit(1))
     return ranked.groupBy(*context).agg(
         F.count_if(F.col("risk_tier").isin(*AT_RISK_TIERS)).alias("series_at_risk"),
-        F.round(F.sum(F.round(F.col("risk_score") * 1e6).cast("long")) / n / 1e6, 6).alias(
-            "avg_risk_score"
-        ),
+        exact_mean(F.col("risk_score"), 6).alias("avg_risk_score"),
         n.alias("series_count"),
     )
 
@@ -177,7 +180,7 @@ def forecast_accuracy(evaluation: DataFrame, stats: DataFrame, context: list[str
     joined = evaluation.join(stats.select(*SERIES, "total_units"), SERIES)
     w = F.col("total_units")
     return joined.groupBy(*context).agg(
-        *[F.round(F.avg(m), 6).alias(f"forecast_{m}") for m in ("mae", "rmse", "bias")],
+        *[exact_mean(F.col(m), 6).alias(f"forecast_{m}") for m in ("mae", "rmse", "bias")],
         *[
             F.round(ratio(F.sum(F.col(m) * w), F.sum(w)), 6).alias(f"forecast_{m}")
             for m in ("wmae", "wrmse")
@@ -218,7 +221,7 @@ def accuracy_by_hierarchy(
     w = F.col("total_units")
     return rows.groupingSets([[F.col(c) for c in s] for s in sets], *map(F.col, columns)).agg(
         F.round(ratio(F.sum(F.col("wmae") * w), F.sum(w)), 6).alias("wmae"),
-        F.round(F.avg("bias"), 6).alias("bias"),
+        exact_mean(F.col("bias"), 6).alias("bias"),
         F.count(F.lit(1)).alias("n_rows"),
     )
 
@@ -292,12 +295,9 @@ def seasonality_by_month(seasonality: DataFrame) -> DataFrame:
 
 def inventory_by_day(projection: DataFrame) -> DataFrame:
     """Mean service level and position of each horizon day."""
-    n = F.count(F.lit(1))
     return projection.groupBy("day_id").agg(
-        F.round(
-            F.sum(F.round(F.col("service_level_achieved") * 1e6).cast("long")) / n / 1e6, 6
-        ).alias("mean_service_level"),
-        F.round(_exact("inventory_position") / n, 6).alias("mean_position"),
+        exact_mean(F.col("service_level_achieved"), 6).alias("mean_service_level"),
+        exact_mean(F.col("inventory_position")).alias("mean_position"),
     )
 
 

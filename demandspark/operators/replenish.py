@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from demandspark.config import SERIES, SIMULATED, Clock, PolicyRules
-from demandspark.functions.exprs import mean_of_scaled, ratio, scaled, unscaled, z_service
+from demandspark.functions.exprs import exact_mean, mean_of_scaled, ratio, scaled, unscaled, z_service
 from demandspark.functions.ordering import top_n
 
 RULES = PolicyRules()
@@ -410,12 +410,12 @@ def trace_replay_check(projection: DataFrame, policy: DataFrame) -> DataFrame:
 
 def inventory_kpi(results: DataFrame) -> DataFrame:
     """Portfolio view of one scenario's results in one row."""
-    mean = lambda c: F.round(F.avg(c), 6).alias(c)
+    mean = lambda c, stored=4: exact_mean(F.col(c), stored).alias(c)
     total = lambda c, out: unscaled(F.sum(scaled(F.col(c)))).alias(out)
     return (
         results.agg(
-            mean("service_level_achieved"),
-            mean("fill_rate"),
+            mean("service_level_achieved", 6),
+            mean("fill_rate", 6),
             total("stockout_units", "stockout_units"),
             total("total_excess_units", "excess_inventory"),
             mean("avg_days_of_inventory"),
@@ -463,10 +463,10 @@ def pilot_report(results: DataFrame, n: int = 64) -> DataFrame:
         F.sum("stockout_days").alias("stockout_days"),
         total("stockout_units", "stockout_units"),
         F.sum("excess_days").alias("excess_days"),
-        F.round(F.avg("fill_rate"), 6).alias("mean_fill_rate"),
+        exact_mean(F.col("fill_rate"), 6).alias("mean_fill_rate"),
         F.min("fill_rate").alias("min_fill_rate"),
         F.max("fill_rate").alias("max_fill_rate"),
-        F.round(F.avg("service_level_achieved"), 6).alias("mean_service_level"),
+        exact_mean(F.col("service_level_achieved"), 6).alias("mean_service_level"),
         F.count_if(F.col("stockout_days") > 0).alias("series_with_stockout"),
         F.count_if(F.col("replenishment_units") > 0).alias("series_with_replenishment"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from demandspark.config import SCENARIOS, SERIES, SIMULATED, Clock, PolicyRules, Scenario
-from demandspark.functions.exprs import mean_of_scaled, ratio, scaled, unscaled
+from demandspark.functions.exprs import exact_mean, mean_of_scaled, ratio, scaled, unscaled
 from demandspark.operators.replenish import inventory_policy, projection_summary, with_trace
 
 RULES = PolicyRules()
@@ -346,9 +346,7 @@ def scenario_delta_means(deltas: DataFrame) -> DataFrame:
         .groupBy("scenario_id", "scenario_name", "scenario_type")
         .agg(
             *[
-                F.round(
-                    F.sum(F.round(F.col(c) * 1e6).cast("long")) / F.count(F.lit(1)) / 1e6, 6
-                ).alias(c)
+                exact_mean(F.col(c), 6).alias(c)
                 for c in names
             ],
             F.count(F.lit(1)).alias("series_count"),

@@ -41,6 +41,8 @@ def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from demandspark.plans import (  # noqa: F401  (registration)
         catalog_demand,
         catalog_load,
+        catalog_measures,
+        catalog_quality,
         catalog_stock,
         catalog_weekly,
     )

@@ -30,6 +30,12 @@ def statement(sql: str) -> str:
     return f"WITH RECURSIVE {parts}\n{sql}"
 
 
+def mean(column: str, stored: int = 4, places: int = 6) -> str:
+    """Mean of values stored with a number of places, from exact whole-number sums."""
+    whole = f"sum(CAST(round({column} * {10 ** stored}) AS BIGINT))"
+    return f"round(CAST({whole} * {10 ** (places - stored)} AS DOUBLE) / count({column})) / {10 ** places}.0"
+
+
 # -- source binding ----------------------------------------------------------------
 cte("x_line", """
   SELECT CAST(substr(p_brand, 7) AS INTEGER) AS product_surr_id,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 def statements() -> dict[str, str]:
-    from oracle import sql_demand, sql_load, sql_stock, sql_weekly
+    from oracle import sql_demand, sql_load, sql_measures, sql_quality, sql_stock, sql_weekly
 
-    return {**sql_load.ORACLE, **sql_weekly.ORACLE, **sql_demand.ORACLE, **sql_stock.ORACLE}
+    parts = (sql_load, sql_quality, sql_weekly, sql_demand, sql_stock, sql_measures)
+    return {name: sql for part in parts for name, sql in part.ORACLE.items()}

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from oracle.base import cte, statement
+from oracle.base import cte, mean, statement
 
 ORACLE: dict[str, str] = {}
 
@@ -261,7 +261,7 @@ add("E19_final_forecast", f"""
 SELECT {K}, model, 2499 AS forecast_origin, h AS forecast_horizon, forecast_date, forecast_value,
        lower_bound, upper_bound, true AS is_final, 'derived' AS data_provenance FROM x_final""")
 _A6 = ", ".join(
-    f"round(avg(round({m}, 6)), 6) AS {m}" for m in ("mae", "rmse", "wmae", "wrmse", "abs_error", "bias")
+    f"{mean(f'round({m}, 6)', 6)} AS {m}" for m in ("mae", "rmse", "wmae", "wrmse", "abs_error", "bias")
 )
 add("E20_model_support_accuracy", f"""
 SELECT model_order + 1 AS model_id, model, count(DISTINCT product_surr_id * 100000 + store_surr_id) AS support_series,

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from oracle.base import cte, statement
+from oracle.base import cte, mean, statement
 from oracle.sql_demand import _NAMED, TOKEN
 
 ORACLE: dict[str, str] = {}
@@ -197,7 +197,7 @@ add("G08_scenario_result", "SELECT * FROM x_result")
 
 
 def _avg6(c: str) -> str:
-    return f"round(avg({c}), 6) AS {c}"
+    return f"{mean(c, 6 if c in ('service_level_achieved', 'fill_rate') else 4)} AS {c}"
 
 
 add("F14_inventory_kpi", f"""
@@ -215,8 +215,8 @@ add("F16_pilot_report", f"""
 SELECT count(*) AS n_series, CAST(sum(reorder_frequency) AS BIGINT) AS reorder_triggers,
        {_sum('replenishment_units')} AS replenishment_units, CAST(sum(stockout_days) AS BIGINT) AS stockout_days,
        {_sum('stockout_units')} AS stockout_units, CAST(sum(excess_days) AS BIGINT) AS excess_days,
-       round(avg(fill_rate), 6) AS mean_fill_rate, min(fill_rate) AS min_fill_rate,
-       max(fill_rate) AS max_fill_rate, round(avg(service_level_achieved), 6) AS mean_service_level,
+       {mean('fill_rate', 6)} AS mean_fill_rate, min(fill_rate) AS min_fill_rate,
+       max(fill_rate) AS max_fill_rate, {mean('service_level_achieved', 6)} AS mean_service_level,
        count(*) FILTER (stockout_days > 0) AS series_with_stockout,
        count(*) FILTER (replenishment_units > 0) AS series_with_replenishment
 FROM (SELECT * FROM x_base ORDER BY total_units_hist DESC, {K} LIMIT 64)""")
@@ -365,7 +365,7 @@ SELECT scenario_name, scenario_type, count(*) AS row_count, max(lead_time_days)
        2500 AS horizon_start, 2527 AS horizon_end
 FROM x_result GROUP BY scenario_name, scenario_type""")
 _M6 = ", ".join(
-    f"round(CAST(sum(CAST(round({c} * 1000000) AS BIGINT)) AS DOUBLE) / count(*) / 1000000.0, 6) AS {c}"
+    f"{mean(c, 6)} AS {c}"
     for c in ("delta_stockout_days", "delta_service_level", "delta_fill_rate", "delta_reorder_frequency",
               "delta_avg_inventory_position", "delta_excess_days", "delta_avg_days_of_inventory")
 )
@@ -409,8 +409,7 @@ add("C37_risk_leaderboard", f"{_LB} WHERE risk_rank <= 20")
 
 def _view(name: str, col: str) -> str:
     return f"""SELECT '{name}' AS view, risk_type, {col} AS label, count(*) AS n_series,
-  round(CAST(sum(CAST(round(risk_score * 1000000) AS BIGINT)) AS DOUBLE) / count(*) / 1000000.0, 6) AS mean_score,
-  round(CAST(sum(risk_rank) AS DOUBLE) / count(*), 4) AS mean_rank
+  {mean('risk_score', 6)} AS mean_score, {mean('risk_rank', 0, 4)} AS mean_rank
   FROM x_ranked {_NAMED} GROUP BY risk_type, {col}"""
 
 
