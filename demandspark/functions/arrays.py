@@ -57,25 +57,30 @@ BASELINES = {
 def error_metrics(forecast: Column, actual: Column, weight: Column | None = None) -> Column:
     """Struct of MAE, RMSE, WMAE, WRMSE, absolute error, bias and error deviation.
 
-    The weight of a day is its actual unless given; a weight sum that is not
-    positive divides by 1.
+    One fold over the days gives all sums. The weight of a day is its actual
+    unless given; a weight sum that is not positive divides by 1.
     """
-    n = F.size(actual)
-    error = F.zip_with(forecast, actual, lambda f, a: f - a)
     w = actual if weight is None else weight
-    size = F.transform(error, F.abs)
-    square = F.transform(error, lambda e: e * e)
-    times = lambda x: F.zip_with(w, x, lambda a, b: a * b)
-    total = add_up(w)
-    divisor = F.when(total > 0, total).otherwise(1.0)
-    bias = add_up(error) / n
-    centred = add_up(F.transform(error, lambda e: (e - bias) * (e - bias)))
-    return F.struct(
-        (add_up(size) / n).alias("mae"),
-        F.sqrt(add_up(square) / n).alias("rmse"),
-        (add_up(times(size)) / divisor).alias("wmae"),
-        F.sqrt(add_up(times(square)) / divisor).alias("wrmse"),
-        add_up(size).alias("abs_error"),
-        bias.alias("bias"),
-        F.when(n > 1, F.sqrt(centred / (n - 1))).alias("sigma"),
-    )
+    names = ("n", "size", "square", "signed", "weight", "w_size", "w_square")
+    days = F.arrays_zip(forecast.alias("f"), actual.alias("a"), w.alias("w"))
+    start = F.struct(*[F.lit(0.0).alias(name) for name in names])
+
+    def add(acc: Column, d: Column) -> Column:
+        e = d["f"] - d["a"]
+        terms = (F.lit(1.0), F.abs(e), e * e, e, d["w"], d["w"] * F.abs(e), d["w"] * (e * e))
+        return F.struct(*[(acc[name] + t).alias(name) for name, t in zip(names, terms)])
+
+    def finish(s: Column) -> Column:
+        divisor = F.when(s["weight"] > 0, s["weight"]).otherwise(1.0)
+        spread = F.greatest(s["square"] - s["signed"] * s["signed"] / s["n"], F.lit(0.0))
+        return F.struct(
+            (s["size"] / s["n"]).alias("mae"),
+            F.sqrt(s["square"] / s["n"]).alias("rmse"),
+            (s["w_size"] / divisor).alias("wmae"),
+            F.sqrt(s["w_square"] / divisor).alias("wrmse"),
+            s["size"].alias("abs_error"),
+            (s["signed"] / s["n"]).alias("bias"),
+            F.when(s["n"] > 1, F.sqrt(spread / (s["n"] - 1))).alias("sigma"),
+        )
+
+    return F.aggregate(days, start, add, finish)
