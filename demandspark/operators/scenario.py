@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from demandspark.config import SCENARIOS, SERIES, SIMULATED, Clock, PolicyRules, Scenario
 from demandspark.functions.exprs import exact_mean, mean_of_scaled, ratio, scaled, unscaled
 from demandspark.operators.replenish import inventory_policy, projection_summary, with_trace
+from demandspark.session import spread
 
 RULES = PolicyRules()
 SIMULATION_TYPES = (
@@ -135,7 +136,7 @@ def projected_scenarios(
     scenarios are sized and projected in one pass without a join to them. The
     series are spread over the tasks before the fold.
     """
-    series = moments.join(vectors, SERIES).repartition(*SERIES)
+    series = spread(moments.join(vectors, SERIES), SERIES)
     runs = series.select(series.columns + [F.inline(_scenario_array(scenarios))])
     policy = inventory_policy(
         runs,

@@ -18,7 +18,7 @@ from demandspark.operators import (
     scenario,
     weekly,
 )
-from demandspark.session import stage
+from demandspark.session import spread, stage
 from demandspark.sources.order_tables import OrderTables, product_key
 
 
@@ -235,7 +235,7 @@ class RetailTables:
 
     @cached_property
     def traced(self) -> DataFrame:
-        return replenish.with_trace(self.policy.join(self.vectors, SERIES))
+        return replenish.with_trace(spread(self.policy.join(self.vectors, SERIES), SERIES))
 
     @cached_property
     def projection(self) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: str = "8", app: str = "demandspark") -> SparkSession:
@@ -44,6 +44,18 @@ def new_stage_path(spark: SparkSession, name: str) -> str:
     return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash rows over all shuffle partitions ahead of work that is heavy per row.
+
+    The rows are few bytes each, so adaptive execution would merge them into
+    few tasks. An explicit number of partitions keeps it from that, and
+    hashing the keys once more keeps the shuffle from being dropped as
+    redundant.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.xxhash64(*keys))
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a result once that several later steps read.
 
