@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from demandspark.plans.retail import RetailTables
 
 QUERIES: dict[str, Callable[[RetailTables], DataFrame]] = {}
+ONE_PASS: set[str] = set()
 
 
-def query(name: str):
+def query(name: str, one_pass: bool = False):
+    """Register a query; `one_pass` ones read the daily totals once, so these
+    are not written first."""
+
     def register(fn: Callable[[RetailTables], DataFrame]):
         QUERIES[name] = fn
+        if one_pass:
+            ONE_PASS.add(name)
         return fn
 
     return register
@@ -47,7 +53,8 @@ def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         catalog_weekly,
     )
 
-    def bind(fn):
-        return lambda spark, path: plain(fn(RetailTables(spark, path)))
+    def bind(name, fn):
+        staged = name not in ONE_PASS
+        return lambda spark, path: plain(fn(RetailTables(spark, path, staged=staged)))
 
-    return {name: bind(fn) for name, fn in sorted(QUERIES.items())}
+    return {name: bind(name, fn) for name, fn in sorted(QUERIES.items())}

@@ -11,18 +11,18 @@ from demandspark.plans.retail import RetailTables
 from demandspark.session import stage
 
 
-@query("D01_demand_stats")
+@query("D01_demand_stats", one_pass=True)
 def d01(t: RetailTables) -> DataFrame:
     return t.stats
 
 
-@query("D01_demand_stats_dense")
+@query("D01_demand_stats_dense", one_pass=True)
 def d01_dense(t: RetailTables) -> DataFrame:
     """The same from a complete daily fact, spans taken from the rows."""
     return demand.demand_stats(t.daily_dense)
 
 
-@query("D02_recent_prior_28d_growth")
+@query("D02_recent_prior_28d_growth", one_pass=True)
 def d02(t: RetailTables) -> DataFrame:
     return demand.recent_prior_growth(t.daily)
 
@@ -32,14 +32,14 @@ def d03(t: RetailTables) -> DataFrame:
     return rounded(demand.volume_quantiles(t.stats), {"low_q": 6, "high_q": 6})
 
 
-@query("D04_weekly_growth")
+@query("D04_weekly_growth", one_pass=True)
 def d04(t: RetailTables) -> DataFrame:
     return rounded(
         t.growth, {"avg_week_units": 6, "recent_4wk_mean": 6, "prior_4wk_mean": 6}
     )
 
 
-@query("D05_growth_guard")
+@query("D05_growth_guard", one_pass=True)
 def d05(t: RetailTables) -> DataFrame:
     guard = demand.growth_guard(F.col("recent_4wk_mean"), F.col("prior_4wk_mean"))
     return rounded(
@@ -48,7 +48,7 @@ def d05(t: RetailTables) -> DataFrame:
     )
 
 
-@query("D06_trend_effect_direction")
+@query("D06_trend_effect_direction", one_pass=True)
 def d06(t: RetailTables) -> DataFrame:
     span = F.col("series_end") - F.col("series_start") + 1
     effect = demand.trend_effect(F.col("trend_slope"), span, F.col("mean_daily_units"))
@@ -59,12 +59,12 @@ def d06(t: RetailTables) -> DataFrame:
     )
 
 
-@query("D07_monthly_means")
+@query("D07_monthly_means", one_pass=True)
 def d07(t: RetailTables) -> DataFrame:
     return rounded(t.monthly, {"mean_weekly": 6})
 
 
-@query("D08_monthly_seasonality")
+@query("D08_monthly_seasonality", one_pass=True)
 def d08(t: RetailTables) -> DataFrame:
     return rounded(t.seasonal, {"seasonality_index": 6, "seasonality_strength": 6})
 
@@ -88,14 +88,14 @@ def d10(t: RetailTables) -> DataFrame:
     return _segmented(t).select(*SERIES, "total_units", "segment_volume")
 
 
-@query("D11_segment_volatility")
+@query("D11_segment_volatility", one_pass=True)
 def d11(t: RetailTables) -> DataFrame:
     return t.stats.select(
         *SERIES, "cv", demand.segment_volatility(F.col("cv")).alias("segment_volatility")
     )
 
 
-@query("D12_classify_demand")
+@query("D12_classify_demand", one_pass=True)
 def d12(t: RetailTables) -> DataFrame:
     ratio = F.col("zero_demand_days") / (F.col("series_end") - F.col("series_start") + 1)
     return t.stats.select(
@@ -167,24 +167,24 @@ def d18(t: RetailTables) -> DataFrame:
 # -- forecasting ------------------------------------------------------------------------
 
 
-@query("E01_series_contract_check")
+@query("E01_series_contract_check", one_pass=True)
 def e01(t: RetailTables) -> DataFrame:
     return forecast.series_contract_check(t.daily)
 
 
-@query("E02_chronological_split")
+@query("E02_chronological_split", one_pass=True)
 def e02(t: RetailTables) -> DataFrame:
     return forecast.chronological_split(t.daily, t.clock).select(
         *SERIES, "date_id", "units_sold", "split"
     )
 
 
-@query("E02_split_check")
+@query("E02_split_check", one_pass=True)
 def e02_check(t: RetailTables) -> DataFrame:
     return forecast.split_check(forecast.chronological_split(t.daily_dense, t.clock))
 
 
-@query("E03_trailing_window_arrays")
+@query("E03_trailing_window_arrays", one_pass=True)
 def e03(t: RetailTables) -> DataFrame:
     """The arrays as day-ordered text."""
     text = lambda c: F.array_join(
@@ -194,7 +194,7 @@ def e03(t: RetailTables) -> DataFrame:
 
 
 def _baseline(name: str, model: str):
-    @query(name)
+    @query(name, one_pass=True)
     def run(t: RetailTables) -> DataFrame:
         rows = forecast.single_baseline(t.windows, "final_tail", model, t.clock.horizon)
         return rounded(rows, {"forecast_value": 6})
@@ -228,7 +228,7 @@ def e09(t: RetailTables) -> DataFrame:
     return _fitted(t, "sarima")
 
 
-@query("E10_pilot_topn")
+@query("E10_pilot_topn", one_pass=True)
 def e10(t: RetailTables) -> DataFrame:
     return t.pilot
 
@@ -241,7 +241,7 @@ def e10_history(t: RetailTables) -> DataFrame:
 METRIC_PLACES = {m: 6 for m in ("mae", "rmse", "wmae", "wrmse", "abs_error", "bias", "sigma")}
 
 
-@query("E11_holdout_metrics")
+@query("E11_holdout_metrics", one_pass=True)
 def e11(t: RetailTables) -> DataFrame:
     return rounded(t.scored, METRIC_PLACES)
 
@@ -310,7 +310,7 @@ def e18_all(t: RetailTables) -> DataFrame:
     return forecast.evaluation_fact(t.scored_all, t.clock)
 
 
-@query("E19_final_forecast")
+@query("E19_final_forecast", one_pass=True)
 def e19(t: RetailTables) -> DataFrame:
     return t.final
 

@@ -52,7 +52,7 @@ def a01(t: RetailTables) -> DataFrame:
     return raw_files.read_calendar(t.spark, _calendar_file(t))
 
 
-@query("A02_read_sell_prices")
+@query("A02_read_sell_prices", one_pass=True)
 def a02(t: RetailTables) -> DataFrame:
     path = new_stage_path(t.spark, "prices")
     t.source.staged_prices().write.option("header", True).csv(path)
@@ -133,12 +133,12 @@ def a12(t: RetailTables) -> DataFrame:
     return dims.dim_event(t.source.calendar(from_data=True))
 
 
-@query("A13_load_daily_sales")
+@query("A13_load_daily_sales", one_pass=True)
 def a13(t: RetailTables) -> DataFrame:
     return facts.load_daily_sales(t.source.staged_sales(), t.product, t.store)
 
 
-@query("A14_load_weekly_price")
+@query("A14_load_weekly_price", one_pass=True)
 def a14(t: RetailTables) -> DataFrame:
     return facts.load_weekly_price(t.source.staged_prices(), t.product, t.store, t.dates)
 
@@ -177,7 +177,7 @@ def a17(t: RetailTables) -> DataFrame:
     )
 
 
-@query("A18_write_fact_parquet")
+@query("A18_write_fact_parquet", one_pass=True)
 def a18(t: RetailTables) -> DataFrame:
     path = new_stage_path(t.spark, "fact")
     means = t.daily.groupBy(*SERIES).agg(
@@ -194,7 +194,7 @@ def a18(t: RetailTables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
-@query("A21_densify_series")
+@query("A21_densify_series", one_pass=True)
 def a21(t: RetailTables) -> DataFrame:
     return t.daily_dense.select(*SERIES, "date_id", "units_sold")
 

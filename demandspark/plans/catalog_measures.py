@@ -107,6 +107,6 @@ def c36_breakdowns(t: RetailTables) -> DataFrame:
     return measures.inventory_breakdowns(t.baseline, t.product, t.store)
 
 
-@query("C40_forecast_volume_by_week")
+@query("C40_forecast_volume_by_week", one_pass=True)
 def c40(t: RetailTables) -> DataFrame:
     return forecast.forecast_volume_by_week(t.final, t.dates)

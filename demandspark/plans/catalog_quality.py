@@ -26,7 +26,7 @@ def b01(t: RetailTables) -> DataFrame:
     )
 
 
-@query("B02_check_numeric_types")
+@query("B02_check_numeric_types", one_pass=True)
 def b02(t: RetailTables) -> DataFrame:
     return quality.check_numeric_types(t.source.staged_sales(), ["day_index", "units"], "sales")
 
@@ -72,7 +72,7 @@ def b06(t: RetailTables) -> DataFrame:
     )
 
 
-@query("B07_check_price_range")
+@query("B07_check_price_range", one_pass=True)
 def b07(t: RetailTables) -> DataFrame:
     return quality.check_price_range(t.source.staged_prices())
 
@@ -124,7 +124,7 @@ def b13(t: RetailTables) -> DataFrame:
     )
 
 
-@query("B14_profile_sales")
+@query("B14_profile_sales", one_pass=True)
 def b14(t: RetailTables) -> DataFrame:
     return quality.profile_sales(t.source.staged_sales(), t.clock.observed_end)
 
@@ -134,7 +134,7 @@ def b15(t: RetailTables) -> DataFrame:
     return quality.profile_calendar(t.source.calendar(from_data=True))
 
 
-@query("B16_profile_prices")
+@query("B16_profile_prices", one_pass=True)
 def b16(t: RetailTables) -> DataFrame:
     return quality.profile_prices(t.source.staged_prices())
 
@@ -150,12 +150,12 @@ def b17(t: RetailTables) -> DataFrame:
     return quality.quality_summary(_all_checks(t))
 
 
-@query("B18_zero_fraction_per_series")
+@query("B18_zero_fraction_per_series", one_pass=True)
 def b18(t: RetailTables) -> DataFrame:
     return quality.zero_fraction_per_series(t.daily, t.clock.observed_end)
 
 
-@query("B18_daily_totals")
+@query("B18_daily_totals", one_pass=True)
 def b18_daily(t: RetailTables) -> DataFrame:
     return quality.daily_totals(t.daily)
 

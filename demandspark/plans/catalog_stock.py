@@ -23,7 +23,7 @@ def f01(t: RetailTables) -> DataFrame:
     )
 
 
-@query("F02_daily_sigma")
+@query("F02_daily_sigma", one_pass=True)
 def f02(t: RetailTables) -> DataFrame:
     return t.stats.select(
         *SERIES, replenish.daily_sigma(F.col("std_daily_units")).alias("daily_sigma")
@@ -43,22 +43,22 @@ def f03(t: RetailTables) -> DataFrame:
     )
 
 
-@query("F04_safety_stock")
+@query("F04_safety_stock", one_pass=True)
 def f04(t: RetailTables) -> DataFrame:
     return t.policy.select(*SERIES, "daily_sigma", "safety_stock")
 
 
-@query("F05_reorder_point")
+@query("F05_reorder_point", one_pass=True)
 def f05(t: RetailTables) -> DataFrame:
     return t.policy.select(*SERIES, "reorder_point")
 
 
-@query("F06_reorder_quantity")
+@query("F06_reorder_quantity", one_pass=True)
 def f06(t: RetailTables) -> DataFrame:
     return t.policy.select(*SERIES, "reorder_qty")
 
 
-@query("F07_inventory_policy")
+@query("F07_inventory_policy", one_pass=True)
 def f07(t: RetailTables) -> DataFrame:
     return rounded(t.policy, {"lead_time_demand": 6}).select(
         *SERIES, "expected_daily_demand", "daily_sigma", "safety_stock", "reorder_point",
@@ -67,7 +67,7 @@ def f07(t: RetailTables) -> DataFrame:
     )
 
 
-@query("F08_policy_validation")
+@query("F08_policy_validation", one_pass=True)
 def f08(t: RetailTables) -> DataFrame:
     """Violations once one lead time and one order size per store are broken."""
     broken = t.policy.withColumns(

@@ -19,7 +19,7 @@ def c02(t: RetailTables) -> DataFrame:
     return t.wide
 
 
-@query("C03_v_units")
+@query("C03_v_units", one_pass=True)
 def c03(t: RetailTables) -> DataFrame:
     return weekly.v_units(t.daily)
 
@@ -84,7 +84,7 @@ def c13_all(t: RetailTables) -> DataFrame:
     return contribution.all_level_contributions(t.sold_wide)
 
 
-@query("C14_rollup_daily")
+@query("C14_rollup_daily", one_pass=True)
 def c14(t: RetailTables) -> DataFrame:
     return weekly.rollup_daily(t.daily, t.dates)
 

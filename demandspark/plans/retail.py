@@ -28,10 +28,12 @@ class RetailTables:
     Nothing is computed until a result is asked for; each property is a plan.
     """
 
-    def __init__(self, spark: SparkSession, path: str, clock: Clock = Clock()):
+    def __init__(
+        self, spark: SparkSession, path: str, clock: Clock = Clock(), staged: bool = True
+    ):
         self.spark = spark
         self.clock = clock
-        self.source = OrderTables(spark, path, clock)
+        self.source = OrderTables(spark, path, clock, staged)
 
     @property
     def weeks(self) -> tuple[int, int]:

@@ -42,6 +42,7 @@ class OrderTables:
     spark: SparkSession
     path: str
     clock: Clock = Clock()
+    staged: bool = True
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -140,9 +141,10 @@ class OrderTables:
         """Units and money in cents per product, store and day with sales.
 
         The order lines are scanned and joined once; all later tables read
-        the staged result, which has at most one row per series and day.
+        the staged result, which has at most one row per series and day. A
+        caller that reads it once can do without (`staged=False`).
         """
-        return stage(
+        totals = (
             self._lines()
             .groupBy(
                 "product_surr_id",
@@ -154,6 +156,7 @@ class OrderTables:
                 F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"),
             )
         )
+        return stage(totals) if self.staged else totals
 
     def daily_sales(self) -> DataFrame:
         """Days with sales only; a missing day means no sale."""
