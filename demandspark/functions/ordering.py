@@ -38,14 +38,17 @@ def running_totals(
     grand: dict[str, Column] | None = None,
     splits: int = SPLITS,
     written: bool = False,
+    within: list[str] | None = None,
 ) -> DataFrame:
     """Add running sums (own row included) in ascending `order`.
 
     `order` must identify a row, so end it with ids; use a negated number for
     a descending sort. `row_number` names a rank column. `grand` adds totals
     over all rows. Three plans read the rows, so they are written once unless
-    they come straight from a written table.
+    they come straight from a written table. `within` starts over in each of a
+    few groups (scenarios or rankings, not series).
     """
+    within = within or []
     measures = dict(sums)
     if row_number:
         measures[row_number] = F.lit(1)
@@ -56,16 +59,16 @@ def running_totals(
     bucketed = keyed.withColumn("_points", points).withColumn(
         "_bucket", F.size(F.filter("_points", lambda p: p < F.col("_key")))
     )
-    totals = bucketed.groupBy("_bucket").agg(
+    totals = bucketed.groupBy(*within, "_bucket").agg(
         *[F.sum(c).alias(f"_t_{name}") for name, c in measures.items()],
         *[F.sum(c).alias(f"_g_{name}") for name, c in (grand or {}).items()],
     )
-    # One row per bucket, so at most `splits` + 1 rows in these two windows.
-    earlier = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.orderBy("_bucket").rowsBetween(
-        W.unboundedPreceding, W.unboundedFollowing
-    )
+    # One row per bucket, so at most `splits` + 1 rows in a group of these windows.
+    buckets = W.partitionBy(*within).orderBy("_bucket")
+    earlier = buckets.rowsBetween(W.unboundedPreceding, -1)
+    everything = buckets.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     offsets = totals.select(
+        *within,
         "_bucket",
         *[
             F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}")
@@ -73,8 +76,10 @@ def running_totals(
         ],
         *[F.sum(f"_g_{name}").over(everything).alias(f"_all_{name}") for name in grand or {}],
     )
-    inside = W.partitionBy("_bucket").orderBy("_key").rowsBetween(W.unboundedPreceding, 0)
-    joined = bucketed.join(F.broadcast(offsets), "_bucket")
+    inside = (
+        W.partitionBy(*within, "_bucket").orderBy("_key").rowsBetween(W.unboundedPreceding, 0)
+    )
+    joined = bucketed.join(F.broadcast(offsets), [*within, "_bucket"])
     running = {
         name: F.sum(c).over(inside) + F.col(f"_before_{name}") for name, c in measures.items()
     }

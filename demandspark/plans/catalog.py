@@ -25,12 +25,32 @@ def query(name: str, one_pass: bool = False):
     return register
 
 
-def plain(df: DataFrame) -> DataFrame:
+# Whole-number columns that can be NULL; shown as doubles by both engines.
+_OFFSET = ["first_stockout_offset"]
+NULLABLE = {
+    "C06_v_growth_wow": ["units"],
+    "C13_all_level_contributions": ["dept_surr_id", "category_surr_id", "store_surr_id"],
+    "C17_rollup_product_hierarchy": ["units"],
+    "C18_rollup_store_hierarchy": ["units"],
+    "D14_demand_analysis": ["n_active_months", "peak_month", "trough_month"],
+    "D15_demand_rows": ["peak_month", "trough_month"],
+    "D17_seasonality_lookup": ["month", "obs_weeks", "peak_month", "trough_month"],
+    "F12_projection_summary": _OFFSET,
+    "G03_s_baseline": _OFFSET,
+    "G04_s_demand_shock": _OFFSET,
+    "G05_s_lead_time": _OFFSET,
+    "G06_s_service_level": _OFFSET,
+    "G07_s_reorder_policy": _OFFSET,
+    "G08_scenario_result": _OFFSET,
+}
+
+
+def plain(df: DataFrame, doubles: list[str]) -> DataFrame:
     """Decimals as doubles and dates as text, the types both engines print alike."""
 
     def cast(field: T.StructField):
         c = F.col(field.name)
-        if isinstance(field.dataType, T.DecimalType):
+        if isinstance(field.dataType, T.DecimalType) or field.name in doubles:
             return c.cast("double").alias(field.name)
         if isinstance(field.dataType, (T.DateType, T.TimestampType)):
             return c.cast("string").alias(field.name)
@@ -55,6 +75,8 @@ def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     def bind(name, fn):
         staged = name not in ONE_PASS
-        return lambda spark, path: plain(fn(RetailTables(spark, path, staged=staged)))
+        return lambda spark, path: plain(
+            fn(RetailTables(spark, path, staged=staged)), NULLABLE.get(name, [])
+        )
 
     return {name: bind(name, fn) for name, fn in sorted(QUERIES.items())}
