@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from demandspark.llm import decontamination, line_dedup, url_filter
+from demandspark.llm import bpe, decontamination, line_dedup, url_filter
 
 QUERIES = {
     "op2_url_filters": url_filter.op2_url_filters,
+    "op5_bpe": bpe.op5_bpe,
     "op7_decontamination": decontamination.op7_decontamination,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
