@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from demandspark.llm import bpe, decontamination, line_dedup, url_filter
+from demandspark.llm import bpe, decontamination, line_dedup, minhash, url_filter
 
 QUERIES = {
     "op2_url_filters": url_filter.op2_url_filters,
     "op5_bpe": bpe.op5_bpe,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_minhash": minhash.op8_minhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 ORACLE = {
     "op2_url_filters": url_filter.SQL,
+    "op8_minhash": minhash.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
