@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from demandspark.llm import bpe, decontamination, line_dedup, minhash, url_filter
+from demandspark.llm import bpe, decontamination, line_dedup, minhash, substring_dedup, url_filter
 
 QUERIES = {
     "op2_url_filters": url_filter.op2_url_filters,
     "op5_bpe": bpe.op5_bpe,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_minhash": minhash.op8_minhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 ORACLE = {
     "op2_url_filters": url_filter.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
     "op8_minhash": minhash.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
