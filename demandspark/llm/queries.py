@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandspark.llm import bpe, decontamination, line_dedup, minhash, substring_dedup, url_filter
+from demandspark.llm import bpe, decontamination, line_dedup, minhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op2_url_filters": url_filter.op2_url_filters,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_minhash": minhash.op8_minhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLE = {
     "op2_url_filters": url_filter.SQL,
