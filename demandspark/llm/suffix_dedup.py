@@ -245,7 +245,8 @@ class Strings:
 
     def transform(self) -> tuple[np.ndarray, np.ndarray]:
         """(suffix array, BWT): all nodes by their suffix, and the symbol before each."""
-        rank, jump, depth = self.symbol, self.next, 1
+        _, rank = np.unique(self.symbol, return_inverse=True)
+        jump, depth = self.next, 1
         while depth < 32:  # a read has at most 17 symbols
             _, rank = np.unique(rank * np.int64(self.total + 1) + rank[jump], return_inverse=True)
             jump = jump[jump]
