@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from demandspark.llm import bpe, decontamination, line_dedup, minhash, substring_dedup, suffix_dedup, url_filter
+from demandspark.llm import bpe, decontamination, language_id, line_dedup, minhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op2_url_filters": url_filter.op2_url_filters,
+    "op3_language_id": language_id.op3_language_id,
     "op5_bpe": bpe.op5_bpe,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_decontamination": decontamination.op7_decontamination,
