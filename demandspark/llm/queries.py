@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from demandspark.llm import bpe, decontamination, language_id, line_dedup, minhash, substring_dedup, suffix_dedup, url_filter
+from demandspark.llm import bpe, decontamination, embedding_dedup, language_id, line_dedup, minhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_url_filters": url_filter.op2_url_filters,
     "op3_language_id": language_id.op3_language_id,
     "op5_bpe": bpe.op5_bpe,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLE = {
+    "op1_embedding_dedup": embedding_dedup.SQL,
     "op2_url_filters": url_filter.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
     "op8_minhash": minhash.SQL,
