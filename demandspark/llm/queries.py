@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from demandspark.llm import bpe, decontamination, embedding_dedup, language_id, line_dedup, minhash, substring_dedup, suffix_dedup, url_filter
+from demandspark.llm import bpe, decontamination, embedding_dedup, language_id, line_dedup, minhash, pii, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_url_filters": url_filter.op2_url_filters,
     "op3_language_id": language_id.op3_language_id,
+    "op4_pii": pii.op4_pii,
     "op5_bpe": bpe.op5_bpe,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_decontamination": decontamination.op7_decontamination,
