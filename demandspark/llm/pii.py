@@ -143,15 +143,26 @@ def _spans(name: str, kind: str, strict: bool) -> Column:
 
 
 def propose(docs: DataFrame, text_col: str, out_col: str = "__spans") -> DataFrame:
-    """`docs` with all proposed spans, an array for each row; a null text is empty."""
+    """`docs` with all proposed spans, an array for each row; a null text is empty.
+
+    Loose patterns propose only what no strict span overlaps.
+    """
     body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     out = docs.withColumns({f"__m_{n}": F.regexp_extract_all(body, F.lit(p), F.lit(0)) for n, _, _, p in PATTERNS})
     none = F.array().cast("array<string>")
     out = out.withColumns(
         {f"__g_{n}": F.when(F.size(f"__m_{n}") > 0, F.split(body, p, -1)).otherwise(none) for n, _, _, p in PATTERNS}
     )
-    return out.withColumn(out_col, F.concat(*[_spans(n, k, s) for n, k, s, _ in PATTERNS])).drop(
-        *[f"__{x}_{n}" for n, *_ in PATTERNS for x in "mg"]
+    out = out.withColumns(
+        {
+            "__strict": F.concat(*[_spans(n, k, s) for n, k, s, _ in PATTERNS if s]),
+            "__loose": F.concat(*[_spans(n, k, s) for n, k, s, _ in PATTERNS if not s]),
+        }
+    )
+    sure = F.filter("__strict", lambda s: s["passes"])
+    apart = F.filter("__loose", lambda s: ~F.exists(sure, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    return out.withColumn(out_col, F.concat("__strict", apart)).drop(
+        "__strict", "__loose", *[f"__{x}_{n}" for n, *_ in PATTERNS for x in "mg"]
     )
 
 
