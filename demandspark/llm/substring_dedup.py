@@ -7,9 +7,9 @@ never below the true count, so a window whose smaller counter is one is unique.
 The chunk learns for each of its counters whether it reached two.
 
 Pass 2 is exact: the windows estimated repeated, and no others, go to the shards
-with two independent 64-bit hashes (of two different word hashes) and the
-smallest document id of the chunk; the shard gives back the smallest id of all.
-A window is a repeat where that id is below its own document's.
+with two 64-bit hashes and the smallest document id of the chunk; the shard gives
+back the smallest id of all. A window is a repeat where that id is below its own
+document's.
 
 A window that every document has is one entry for each chunk, never a row for
 each occurrence. The number of shards follows the amount of text, so a shard's
@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from demandspark.llm import chunks as C
@@ -36,117 +35,100 @@ SHARD_BYTES = 16 << 20
 
 
 class Windows:
-    """All windows of a chunk: hash, shard, document."""
+    """All windows of a chunk, by hash; documents in the order of their ids.
+
+    A window is known by its place, the number of its first word in the chunk.
+    """
 
     def __init__(self, docs: C.Docs, shards: int, width: int) -> None:
-        self.docs, self.width, self.shards = docs, width, shards
-        parts, owner, counts = [], [], []
-        for i, text in enumerate(docs.texts):
-            words = text.split() if docs.known[i] else []
-            h = window_hashes(word_hashes(words), width) if len(words) >= width else np.empty(0, np.uint64)
-            parts.append(h)
-            owner.append(np.full(len(h), i, np.int32))
-            counts.append(len(h))
-        self.h1 = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        self.doc = np.concatenate(owner) if owner else np.empty(0, np.int32)
-        self.starts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        self.shard = mixed(self.h1 + MIX2) % np.uint64(shards)
-
-    def cells(self, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (shard, counter) keys in order, where each window's is, how often each occurs."""
-        mask = np.uint64((1 << CELL_BITS) - 1)
-        cell = (self.h1 >> np.uint64(CELL_BITS * row)) & mask
-        return np.unique((self.shard << np.uint64(CELL_BITS)) | cell, return_inverse=True, return_counts=True)
-
-    def second(self, at: np.ndarray) -> np.ndarray:
-        """An independent hash of the windows at these places."""
-        out = np.empty(len(at), np.uint64)
-        owner = self.doc[at]
-        for i in np.unique(owner).tolist():
-            here = owner == i if len(at) < 64 else slice(*np.searchsorted(owner, [i, i + 1]).tolist())
-            words = self.docs.texts[i].split()
-            h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-            out[here] = window_hashes(h, self.width, MIX2)[at[here] - self.starts[i]]
-        return out
-
-
-def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
-    return np.searchsorted(keys >> np.uint64(CELL_BITS), np.arange(shards + 1, dtype=np.uint64))
+        known = np.flatnonzero(docs.known)
+        self.order = known[np.argsort(docs.ids[known], kind="stable")]
+        self.ids = docs.ids[self.order]
+        self.width, self.shards = width, shards
+        parts = [word_hashes(docs.texts[i].split()) for i in self.order.tolist()]
+        self.counts = np.array([len(p) for p in parts], np.int64)
+        self.words = np.concatenate([*parts, np.empty(0, np.uint64)])
+        self.doc = np.repeat(np.arange(len(parts), dtype=np.int32), self.counts)
+        h = window_hashes(self.words, width)
+        place = np.flatnonzero(self.doc[: len(h)] == self.doc[len(self.words) - len(h) :])  # within one document
+        h = h[place]
+        order = np.argsort(h)
+        self.hash, self.place = h[order], place[order]
+        new = np.ones(len(h), bool)
+        new[1:] = self.hash[1:] != self.hash[:-1]
+        self.group = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        self.distinct = self.hash[first]
+        self.more = np.diff(np.append(first, len(h))) > 1
+        # The leading part of a hash says its shard and its counter of the first row, so both ascend with it.
+        n, low = np.uint64(shards), np.uint64(0xFFFFFFFF)
+        lead = (self.distinct >> np.uint64(32)) * n + (((self.distinct & low) * n) >> np.uint64(32))
+        self.cuts = np.searchsorted(lead >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+        self.cell = ((lead & low) >> np.uint64(32 - CELL_BITS)).astype(np.uint32)
+
+    def second_cell(self) -> np.ndarray:
+        return (mixed(self.distinct + MIX2) & np.uint64((1 << CELL_BITS) - 1)).astype(np.uint32)
 
 
 def _sketch(shards: int, width: int):
-    """What a chunk tells each shard: its non-zero counters of both rows."""
+    """What a chunk tells each shard: its counters of both rows, in the order of its windows."""
 
     def ask(docs: C.Docs) -> Iterator[tuple[int, bytes]]:
         w = Windows(docs, shards, width)
-        rows = []
-        for r in (0, 1):
-            keys, _, counts = w.cells(r)
-            rows.append(((keys & np.uint64((1 << CELL_BITS) - 1)).astype(np.uint32), counts > 1, _cuts(keys, shards)))
+        second = w.second_cell()
         for s in range(shards):
-            body = []
-            for cells, more, cut in rows:
-                mine = slice(cut[s], cut[s + 1])
-                body += [C.steps(cells[mine]), C.bits(more[mine])]
-            if len(body[0]):
-                yield s, C.packed(*body, level=1)
+            mine = slice(w.cuts[s], w.cuts[s + 1])
+            if mine.start < mine.stop:
+                yield s, C.packed(C.steps(w.cell[mine]), C.planes(second[mine]), C.bits(w.more[mine]), level=1)
 
     return ask
 
 
 def _merge(bodies: list[bytes]) -> list[bytes]:
-    """Adds the sketches up; which counters of each chunk are at two or more."""
+    """Adds the sketches up; of which windows of each chunk both counters are at two or more."""
     asked = []
     for body in bodies:
-        parts = C.unpacked(body)
-        cells = [C.from_steps(parts[0]), C.from_steps(parts[2])]
-        asked.append([(cells[r], C.flags(parts[2 * r + 1], len(cells[r]))) for r in (0, 1)])
-    out: list[list[bytes]] = [[] for _ in asked]
-    for r in (0, 1):
-        total = np.zeros(1 << CELL_BITS, np.uint8)
+        first, second, more = C.unpacked(body)
+        first = C.from_steps(first)
+        asked.append((first, C.numbers(second), C.flags(more, len(first)).astype(np.uint32) + np.uint32(1)))
+    found = [np.ones(len(x[0]), bool) for x in asked]
+    for row in (0, 1):
+        total = np.zeros(1 << CELL_BITS, np.uint32)
         for sketch in asked:
-            cells, more = sketch[r]
-            total[cells] = np.minimum(total[cells] + 1 + more, 2)
-        for i, sketch in enumerate(asked):
-            out[i].append(C.bits(total[sketch[r][0]] > 1))
-    return [C.packed(*x, level=1) for x in out]
-
-
-def _candidates(w: Windows, replies: dict[int, bytes]) -> np.ndarray:
-    """Places of the windows estimated to occur twice or more."""
-    maybe = np.ones(len(w.h1), bool)
-    rows = [w.cells(r) for r in (0, 1)]
-    cuts = [_cuts(keys, w.shards) for keys, _, _ in rows]
-    found = [np.zeros(len(keys), bool) for keys, _, _ in rows]
-    for s in range(w.shards):
-        if cuts[0][s] == cuts[0][s + 1]:
-            continue
-        if s not in replies:
-            raise C.missing(s)
-        for r, data in enumerate(C.unpacked(replies[s])):
-            a, b = cuts[r][s], cuts[r][s + 1]
-            found[r][a:b] = C.flags(data, b - a)
-    for r, (_, where, _) in enumerate(rows):
-        maybe &= found[r][where]
-    return np.flatnonzero(maybe)
+            np.add.at(total, sketch[row], sketch[2])
+        for hit, sketch in zip(found, asked):
+            hit &= total[sketch[row]] > 1
+    return [C.bits(hit) for hit in found]
 
 
 class Repeats:
-    """The candidate windows of a chunk, grouped: one entry for each different window."""
+    """The windows of a chunk estimated to occur twice or more, one entry for each different one."""
 
     def __init__(self, w: Windows, replies: dict[int, bytes]) -> None:
-        self.at = _candidates(w, replies)
-        h1, h2, shard = w.h1[self.at], w.second(self.at), w.shard[self.at]
-        ids = w.docs.ids[w.doc[self.at]]
-        order = np.lexsort((ids, h2, h1, shard))
-        a, b, s = h1[order], h2[order], shard[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (s[1:] != s[:-1])
+        maybe = np.zeros(len(w.distinct), bool)
+        for s in range(w.shards):
+            a, b = w.cuts[s], w.cuts[s + 1]
+            if a < b:
+                if s not in replies:
+                    raise C.missing(s)
+                maybe[a:b] = C.flags(replies[s], b - a)
+        chosen = np.flatnonzero(maybe[w.group])
+        h1, place = w.hash[chosen], w.place[chosen]
+        h2 = window_hashes(w.words, w.width, MIX2)[place]
+        same = h1[1:] == h1[:-1]
+        if (same & (h2[1:] != h2[:-1])).any():  # two windows share the first hash
+            order = np.lexsort((h2, h1))
+            h1, h2, place = h1[order], h2[order], place[order]
+        new = np.ones(len(h1), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         first = np.flatnonzero(new)
-        self.h1, self.h2, self.shard, self.lowest = a[first], b[first], s[first], ids[order][first]
-        self.entry = np.empty(len(order), np.int64)
-        self.entry[order] = np.cumsum(new) - 1
-        self.cuts = np.searchsorted(self.shard, np.arange(w.shards + 1, dtype=np.uint64))
+        self.place, self.entry = place, np.cumsum(new) - 1
+        self.h1, self.h2 = h1[first], h2[first]
+        lowest = np.minimum.reduceat(place, first) if len(first) else place
+        self.lowest = w.ids[w.doc[lowest]]
+        n = np.uint64(w.shards)
+        lead = (self.h1 >> np.uint64(32)) * n + (((self.h1 & np.uint64(0xFFFFFFFF)) * n) >> np.uint64(32))
+        self.cuts = np.searchsorted(lead >> np.uint64(32), np.arange(w.shards + 1, dtype=np.uint64))
 
 
 def _ask_exact(shards: int, width: int):
@@ -186,10 +168,10 @@ def _group(bodies: list[bytes]) -> list[bytes]:
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Which of n positions lie in a window that begins at one of the starts."""
+    """Which of n positions lie in a window that begins at one of the (different) starts."""
     edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + width, n), -1)
+    edge[starts] += 1
+    edge[starts + width] -= 1
     return np.cumsum(edge[:n]) > 0
 
 
@@ -208,20 +190,26 @@ def _remove(shards: int, width: int):
                     if s not in exact:
                         raise C.missing(s)
                     lowest[a:b] -= C.numbers(C.unpacked(exact[s])[0], 8).view(np.int64)
-            repeated = r.at[lowest[r.entry] < docs.ids[w.doc[r.at]]]
-            bounds = np.searchsorted(repeated, w.starts)
-            for i, text in enumerate(docs.texts):
-                words = text.split()
-                mine = repeated[bounds[i] : bounds[i + 1]] - w.starts[i]
-                if len(mine):
-                    gone = covered(mine, width, len(words))
-                    words_kept = [x for x, g in zip(words, gone.tolist()) if not g]
-                else:
-                    words_kept = words
-                ids.append(int(docs.ids[i]) if docs.known[i] else None)
+            repeated = r.place[lowest[r.entry] < w.ids[w.doc[r.place]]]
+            gone = covered(repeated, width, len(w.words))
+            ends = np.cumsum(w.counts)
+            lost = np.concatenate([[0], np.cumsum(gone)])
+            lost = lost[ends] - lost[ends - w.counts]
+            for j, i in enumerate(w.order.tolist()):
+                words = docs.texts[i].split()
+                if lost[j]:
+                    out = gone[ends[j] - w.counts[j] : ends[j]].tolist()
+                    words = [x for x, g in zip(words, out) if not g]
+                ids.append(int(docs.ids[i]))
+                n_words.append(int(w.counts[j]))
+                n_removed.append(int(lost[j]))
+                kept.append(b" ".join(words).decode("utf-8"))
+            for i in np.flatnonzero(~docs.known).tolist():
+                words = docs.texts[i].split()
+                ids.append(None)
                 n_words.append(len(words))
-                n_removed.append(len(words) - len(words_kept))
-                kept.append(b" ".join(words_kept).decode("utf-8"))
+                n_removed.append(0)
+                kept.append(b" ".join(words).decode("utf-8"))
         return pa.table(
             {
                 "id": pa.array(ids, pa.int64()),
