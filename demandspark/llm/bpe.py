@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from demandspark.llm.common import table
 
 #: Text bytes of one chunk.
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 # Letters and numbers of the first 256 code points, and white space, as Unicode has them.

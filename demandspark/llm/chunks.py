@@ -24,7 +24,7 @@ import zstandard
 EXCHANGE = "key string, kind int, shard int, payload binary"
 CHUNK, ASK, REPLY, ASK_EXACT, REPLY_EXACT = range(5)
 #: Text bytes of one chunk.
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
 
 
 def planes(a: np.ndarray, width: int = 4) -> bytes:
@@ -130,13 +130,12 @@ def cutter(ask: Callable[[Docs], Iterator[tuple[int, bytes]]], pack_bytes: int =
 
 
 def messages(table: pa.Table, kind: int) -> list[tuple[str, int, bytes]]:
-    """(key, shard, payload) of the rows of one kind, each shard of a chunk once."""
-    found = {}
-    for key, k, shard, payload in zip(*(table.column(c) for c in ("key", "kind", "shard", "payload"))):
-        if k.as_py() == kind:
-            blob = payload.as_py()
-            found[(key.as_py(), shard.as_py(), blob if kind in (CHUNK, ASK, ASK_EXACT) else b"")] = blob
-    return [(key, shard, blob) for (key, shard, _), blob in found.items()]
+    """(key, shard, payload) of the rows of one kind.
+
+    Chunks of equal content share a key; each of them asks, and any answer serves them all.
+    """
+    rows_of = zip(*(table.column(c) for c in ("key", "kind", "shard", "payload")))
+    return [(key.as_py(), shard.as_py(), payload.as_py()) for key, k, shard, payload in rows_of if k.as_py() == kind]
 
 
 def answer(kind: int, reply_kind: int, work: Callable[[list[bytes]], list[bytes]]):
