@@ -110,7 +110,10 @@ def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
 
 
 def expected_counts(words: list[bytes], counts: np.ndarray, vocabulary: Pieces) -> np.ndarray:
-    """(languages, pieces) expected counts; counts: (words, languages). All pieces are equally likely."""
+    """(languages, pieces) expected counts in whole multiples of 1 / GRAIN; counts: (words, languages).
+
+    All pieces are equally likely. Rounded word by word, so sums are exact.
+    """
     total = np.zeros((counts.shape[1], vocabulary.size + 1))
     weight = np.full(vocabulary.size + 1, 1 / 256)
     weight[-1] = 0
@@ -127,7 +130,7 @@ def expected_counts(words: list[bytes], counts: np.ndarray, vocabulary: Pieces)
                 back[i] += back[i + k + 1] * weight[ids]
         for i in range(length):
             for k, ids in enumerate(lattice[i]):
-                share = fore[i] * weight[ids] * back[i + k + 1] / fore[length]
+                share = np.rint(fore[i] * weight[ids] * back[i + k + 1] / fore[length] * GRAIN)
                 for language in range(counts.shape[1]):
                     total[language] += np.bincount(ids, share * counts[at, language], vocabulary.size + 1)
     return total[:, :-1]
@@ -153,7 +156,7 @@ def _trainer(path: str, languages: list[str]):
 
     def emit(seen: dict[bytes, int], counts: list[np.ndarray]) -> pa.RecordBatch:
         total = expected_counts(list(seen), np.array(counts, np.float64).reshape(len(seen), -1), pieces(path))
-        whole = np.rint(total * GRAIN).astype(np.int64)
+        whole = total.astype(np.int64)
         language, piece = np.nonzero(whole)
         return pa.RecordBatch.from_arrays(
             [pa.array(language.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(whole[language, piece])],
