@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,15 +13,22 @@ SIMULATED = "simulated"
 PROVENANCES = (OBSERVED, DERIVED, SIMULATED)
 
 SERIES = ["product_surr_id", "store_surr_id"]
+#: Days forecast and projected.
+HORIZON = 28
 
 
 @dataclass(frozen=True)
 class Clock:
-    """Day-index windows: observed history, holdout and forecast horizon."""
+    """Day-index windows: observed history, holdout and forecast horizon.
 
+    Day 1 is `origin`, a Monday. The end of history comes from the data, see
+    `OrderTables.clock`.
+    """
+
+    observed_end: int
+    origin: date = date(1970, 1, 5)
     observed_start: int = 1
-    observed_end: int = 2499
-    horizon: int = 28
+    horizon: int = HORIZON
     trailing_days: int = 14
 
     @property
@@ -175,7 +183,7 @@ def demand_rule_rows(rules: DemandRules = DemandRules()) -> list[tuple]:
 
 
 def forecast_rule_rows(
-    clock: Clock = Clock(), rules: ForecastRules = ForecastRules()
+    clock: Clock, rules: ForecastRules = ForecastRules()
 ) -> list[tuple]:
     return [
         ("final_horizon", float(clock.horizon), "forecast days"),
@@ -193,7 +201,7 @@ def forecast_rule_rows(
 
 
 def scenario_rule_rows(
-    clock: Clock = Clock(), policy: PolicyRules = PolicyRules()
+    clock: Clock, policy: PolicyRules = PolicyRules()
 ) -> list[tuple]:
     rows = [
         ("horizon_start_day", clock.forecast_start, "first projected day"),

@@ -53,7 +53,7 @@ def series_contract_check(daily: DataFrame, provenance: str = OBSERVED) -> DataF
     )
 
 
-def chronological_split(daily: DataFrame, clock: Clock = Clock()) -> DataFrame:
+def chronological_split(daily: DataFrame, clock: Clock) -> DataFrame:
     """Label training and holdout days by date alone; later days drop out."""
     day = F.col("date_id")
     return daily.filter(day <= clock.holdout_end).withColumn(
@@ -106,7 +106,7 @@ def trailing_window_arrays(
     return by_day.select(*SERIES, *[window(*w).alias(name) for name, w in windows.items()])
 
 
-def forecast_windows(clock: Clock = Clock()) -> dict[str, tuple[int, int]]:
+def forecast_windows(clock: Clock) -> dict[str, tuple[int, int]]:
     return {
         "train_tail": (clock.trailing_start, clock.train_end),
         "actual": (clock.holdout_start, clock.holdout_end),
@@ -253,7 +253,7 @@ def model_family(model: Column) -> Column:
 
 
 def model_registry(
-    scored: DataFrame, selected: DataFrame, stats: DataFrame, clock: Clock = Clock()
+    scored: DataFrame, selected: DataFrame, stats: DataFrame, clock: Clock
 ) -> DataFrame:
     """One row per evaluated model with its metrics, choice count and reason.
 
@@ -315,7 +315,7 @@ def model_registry(
     )
 
 
-def evaluation_fact(scored: DataFrame, clock: Clock = Clock()) -> DataFrame:
+def evaluation_fact(scored: DataFrame, clock: Clock) -> DataFrame:
     return scored.select(
         (F.col("model_order") + 1).alias("model_id"),
         "model",
@@ -331,7 +331,7 @@ def evaluation_fact(scored: DataFrame, clock: Clock = Clock()) -> DataFrame:
 # -- final forecast ------------------------------------------------------------------------
 
 
-def chosen_baseline(windows: DataFrame, clock: Clock = Clock()) -> DataFrame:
+def chosen_baseline(windows: DataFrame, clock: Clock) -> DataFrame:
     """Best baseline of each series, refitted at the end of history.
 
     The same choice as `select_best_baseline` and `chosen_forecast` make, but
@@ -370,8 +370,8 @@ def chosen_forecast(
     windows: DataFrame,
     scored: DataFrame,
     selected: DataFrame,
+    clock: Clock,
     statistical_final: DataFrame | None = None,
-    clock: Clock = Clock(),
 ) -> DataFrame:
     """Chosen model of each series refitted at the end of history, as an array.
 
@@ -401,7 +401,7 @@ def chosen_forecast(
     )
 
 
-def final_forecast(chosen: DataFrame, clock: Clock = Clock(), z: float = RULES.pi_z) -> DataFrame:
+def final_forecast(chosen: DataFrame, clock: Clock, z: float = RULES.pi_z) -> DataFrame:
     """One row per series and forecast day with its band.
 
     The band is the point plus and minus z times the error deviation, floored
@@ -482,7 +482,7 @@ def forecast_for_series(
     product: DataFrame,
     store: DataFrame,
     token: str,
-    clock: Clock = Clock(),
+    clock: Clock,
     history_days: int = 14,
 ) -> DataFrame:
     """Forecast of one series after its last observed days, ordered by day."""

@@ -85,7 +85,7 @@ def fit_one(y: np.ndarray, model: str, horizon: int, rules: ForecastRules = RULE
 
 
 def pilot_history(
-    daily: DataFrame, pilot: DataFrame, clock: Clock = Clock(), complete: bool = False
+    daily: DataFrame, pilot: DataFrame, clock: Clock, complete: bool = False
 ) -> DataFrame:
     """Full daily history of the pilot series.
 

@@ -261,7 +261,7 @@ def _day_columns(day: str, mean: Column, cover: Column) -> dict[str, Column]:
 
 
 def inventory_projection(
-    traced: DataFrame, keys: list[str] = SERIES, clock: Clock = Clock(), set_id: int = 1
+    traced: DataFrame, clock: Clock, keys: list[str] = SERIES, set_id: int = 1
 ) -> DataFrame:
     """One row per series and projected day.
 

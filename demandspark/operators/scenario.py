@@ -373,9 +373,9 @@ def scenario_runs(results: DataFrame, set_id: int = 1) -> DataFrame:
 
 def reproducibility_record(
     results: DataFrame,
+    clock: Clock,
     scenarios: tuple[Scenario, ...] = SCENARIOS,
     rules: PolicyRules = RULES,
-    clock: Clock = Clock(),
 ) -> DataFrame:
     """One JSON record per scenario: definition, effective values, rows, horizon."""
     effective = results.groupBy("scenario_name", "scenario_type").agg(

@@ -318,7 +318,7 @@ def e19(t: RetailTables) -> DataFrame:
 @query("E19_final_forecast_with_fits")
 def e19_all(t: RetailTables) -> DataFrame:
     chosen = forecast.chosen_forecast(
-        t.windows, t.scored_all, t.selected_all, t.statistical_final, t.clock
+        t.windows, t.scored_all, t.selected_all, t.clock, t.statistical_final
     )
     return forecast.final_forecast(chosen, t.clock)
 

@@ -14,7 +14,7 @@ from demandspark.sources import raw_files
 
 def _calendar_file(t: RetailTables) -> str:
     path = new_stage_path(t.spark, "calendar")
-    t.source.calendar(from_data=True).write.option("header", True).csv(path)
+    t.source.calendar().write.option("header", True).csv(path)
     return path
 
 
@@ -125,12 +125,12 @@ def a10(t: RetailTables) -> DataFrame:
 
 @query("A11_dim_date")
 def a11(t: RetailTables) -> DataFrame:
-    return t.dates_from_data
+    return t.dates
 
 
 @query("A12_dim_event")
 def a12(t: RetailTables) -> DataFrame:
-    return dims.dim_event(t.source.calendar(from_data=True))
+    return dims.dim_event(t.source.calendar())
 
 
 @query("A13_load_daily_sales", one_pass=True)
@@ -201,7 +201,7 @@ def a21(t: RetailTables) -> DataFrame:
 
 @query("A22_dim_week")
 def a22(t: RetailTables) -> DataFrame:
-    return dims.dim_week(t.dates_from_data)
+    return dims.dim_week(t.dates)
 
 
 @query("A23_dimension_values")

@@ -11,7 +11,7 @@ from demandspark.plans.retail import RetailTables
 
 
 def _raw(t: RetailTables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return t.source.calendar(from_data=True), t.source.staged_sales(), t.source.staged_prices()
+    return t.source.calendar(), t.source.staged_sales(), t.source.staged_prices()
 
 
 @query("B01_check_schema")
@@ -61,7 +61,7 @@ def b04(t: RetailTables) -> DataFrame:
 
 @query("B05_check_date_continuity")
 def b05(t: RetailTables) -> DataFrame:
-    return quality.check_date_continuity(t.source.calendar(from_data=True))
+    return quality.check_date_continuity(t.source.calendar())
 
 
 @query("B06_check_negative")
@@ -131,7 +131,7 @@ def b14(t: RetailTables) -> DataFrame:
 
 @query("B15_profile_calendar")
 def b15(t: RetailTables) -> DataFrame:
-    return quality.profile_calendar(t.source.calendar(from_data=True))
+    return quality.profile_calendar(t.source.calendar())
 
 
 @query("B16_profile_prices", one_pass=True)

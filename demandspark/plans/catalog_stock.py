@@ -254,7 +254,7 @@ def g16(t: RetailTables) -> DataFrame:
 
 @query("G17_reproducibility_record")
 def g17(t: RetailTables) -> DataFrame:
-    return scenario.reproducibility_record(t.results).drop("record")
+    return scenario.reproducibility_record(t.results, t.clock).drop("record")
 
 
 @query("G18_scenario_delta_means")

@@ -29,12 +29,15 @@ class RetailTables:
     """
 
     def __init__(
-        self, spark: SparkSession, path: str, clock: Clock = Clock(), staged: bool = True
+        self, spark: SparkSession, path: str, clock: Clock | None = None, staged: bool = True
     ):
         self.spark = spark
-        self.clock = clock
         self.source = OrderTables(spark, path, clock, staged)
 
+    @property
+    def clock(self) -> Clock:
+        return self.source.clock
+
     @property
     def weeks(self) -> tuple[int, int]:
         return 1, (self.clock.observed_end - 1) // 7 + 1
@@ -84,13 +87,6 @@ class RetailTables:
     def dates(self) -> DataFrame:
         return dims.dim_date(self.source.calendar(), self.clock.observed_end)
 
-    @cached_property
-    def dates_from_data(self) -> DataFrame:
-        """Calendar bounded by the ship dates themselves."""
-        calendar = self.source.calendar(from_data=True)
-        last = F.max(F.regexp_replace("d", "^d_", "").cast("int")) - self.clock.horizon
-        return dims.dim_date(calendar, calendar.agg(last).scalar())
-
     # -- facts -----------------------------------------------------------------------
     @cached_property
     def daily(self) -> DataFrame:

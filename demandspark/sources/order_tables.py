@@ -2,12 +2,13 @@
 retail shapes: staged sales, weekly prices, calendar and dimension attributes.
 
 A product is a part brand, a store is the nation of a supplier, a day is the
-ship date counted from `ORIGIN`.
+ship date counted from the Monday of the first one.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date, timedelta
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from demandspark.config import OBSERVED, Clock
 from demandspark.session import stage
 
-ORIGIN = "1995-01-02"
 WEEK_BASE = 10000
 
 
@@ -27,8 +27,8 @@ def _dept_no(product: Column) -> Column:
     return product % 7
 
 
-def day_index(ts: Column) -> Column:
-    return F.date_diff(ts.cast("date"), F.to_date(F.lit(ORIGIN))) + 1
+def day_index(ts: Column, origin: date) -> Column:
+    return F.date_diff(ts.cast("date"), F.lit(origin)) + 1
 
 
 def week_of(day: Column) -> Column:
@@ -41,9 +41,24 @@ class OrderTables:
 
     spark: SparkSession
     path: str
-    clock: Clock = Clock()
+    given: Clock | None = None
     staged: bool = True
 
+    @cached_property
+    def clock(self) -> Clock:
+        """The clock given, or else the span of the ship dates: one pass over one column.
+
+        Without order lines the history is one empty day.
+        """
+        if self.given:
+            return self.given
+        day = F.col("l_shipdate").cast("date")
+        first, last = self.table("lineitem").agg(F.min(day), F.max(day)).first()
+        if first is None:
+            return Clock(1)
+        origin = first - timedelta(days=first.weekday())
+        return Clock((last - origin).days + 1, origin)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
@@ -69,25 +84,12 @@ class OrderTables:
         )
 
     # -- calendar ---------------------------------------------------------------
-    def calendar(self, from_data: bool = False) -> DataFrame:
-        """Calendar rows for the observed days and the forecast horizon.
-
-        `from_data` takes the first and last day from the ship dates (one pass
-        over one column); otherwise the clock gives them and nothing is read.
-        """
-        if from_data:
-            bounds = self.table("lineitem").agg(
-                F.min(day_index(F.col("l_shipdate"))).alias("lo"),
-                F.max(day_index(F.col("l_shipdate"))).alias("hi"),
-            )
-            days = bounds.select(
-                F.explode(F.sequence("lo", F.col("hi") + self.clock.horizon)).alias("n")
-            )
-        else:
-            days = self.spark.range(
-                self.clock.observed_start, self.clock.forecast_end + 1, numPartitions=1
-            ).select(F.col("id").cast("int").alias("n"))
-        date = F.date_add(F.to_date(F.lit(ORIGIN)), F.col("n") - 1)
+    def calendar(self) -> DataFrame:
+        """Calendar rows for the observed days and the forecast horizon."""
+        days = self.spark.range(
+            self.clock.observed_start, self.clock.forecast_end + 1, numPartitions=1
+        ).select(F.col("id").cast("int").alias("n"))
+        date = F.date_add(F.lit(self.clock.origin), F.col("n") - 1)
         monthday = F.date_format("date", "MM-dd")
         return (
             days.withColumn("date", date)
@@ -149,7 +151,7 @@ class OrderTables:
             .groupBy(
                 "product_surr_id",
                 "store_surr_id",
-                day_index(F.col("l_shipdate")).alias("date_id"),
+                day_index(F.col("l_shipdate"), self.clock.origin).alias("date_id"),
             )
             .agg(
                 F.sum(F.col("l_quantity").cast("long")).alias("units_sold"),

@@ -37,10 +37,15 @@ def mean(column: str, stored: int = 4, places: int = 6) -> str:
 
 
 # -- source binding ----------------------------------------------------------------
+# Day 1 is the Monday of the first ship date, the last ship date ends the history.
+cte("x_clock", """
+  SELECT CAST(date_trunc('week', min(l_shipdate)) AS DATE) AS origin,
+         date_diff('day', CAST(date_trunc('week', min(l_shipdate)) AS DATE), CAST(max(l_shipdate) AS DATE)) + 1 AS final_day
+  FROM lineitem""")
 cte("x_line", """
   SELECT CAST(substr(p_brand, 7) AS INTEGER) AS product_surr_id,
          s_nationkey + 1 AS store_surr_id,
-         date_diff('day', DATE '1995-01-02', CAST(l_shipdate AS DATE)) + 1 AS date_id,
+         date_diff('day', (SELECT origin FROM x_clock), CAST(l_shipdate AS DATE)) + 1 AS date_id,
          CAST(l_quantity AS BIGINT) AS qty,
          CAST(round(l_extendedprice * 100) AS BIGINT) AS cents
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey""")
@@ -52,7 +57,7 @@ cte("x_series", "SELECT DISTINCT product_surr_id, store_surr_id FROM x_sparse")
 cte("x_daily", """
   SELECT s.product_surr_id, s.store_surr_id, CAST(d.n AS INTEGER) AS date_id,
          COALESCE(f.units_sold, 0) AS units_sold
-  FROM x_series s CROSS JOIN (SELECT unnest(range(1, 2500)) AS n) d
+  FROM x_series s CROSS JOIN (SELECT unnest(range(1, (SELECT final_day FROM x_clock) + 1)) AS n) d
   LEFT JOIN x_sparse f ON f.product_surr_id = s.product_surr_id
     AND f.store_surr_id = s.store_surr_id AND f.date_id = d.n""")
 cte("x_product", """
@@ -68,16 +73,16 @@ cte("x_store", """
            WHEN 'AMERICA' THEN 'Central' WHEN 'ASIA' THEN 'East' ELSE 'Unknown' END AS region_id
   FROM nation JOIN region ON n_regionkey = r_regionkey""")
 cte("x_dates", """
-  SELECT CAST(n AS INTEGER) AS date_id, CAST(DATE '1995-01-02' + CAST(n - 1 AS INTEGER) AS DATE) AS dt,
+  SELECT CAST(n AS INTEGER) AS date_id, CAST((SELECT origin FROM x_clock) + CAST(n - 1 AS INTEGER) AS DATE) AS dt,
          CAST((n - 1) // 7 + 1 AS INTEGER) AS week_id,
          CAST((n - 1) // 7 + 10001 AS INTEGER) AS wm_yr_wk,
          CAST((n - 1) % 7 + 1 AS INTEGER) AS weekday_num,
-         dayname(CAST(DATE '1995-01-02' + CAST(n - 1 AS INTEGER) AS DATE)) AS weekday_name,
-         CAST(month(CAST(DATE '1995-01-02' + CAST(n - 1 AS INTEGER) AS DATE)) AS INTEGER) AS month,
-         monthname(CAST(DATE '1995-01-02' + CAST(n - 1 AS INTEGER) AS DATE)) AS month_name,
-         CAST(quarter(CAST(DATE '1995-01-02' + CAST(n - 1 AS INTEGER) AS DATE)) AS INTEGER) AS quarter,
-         CAST(year(CAST(DATE '1995-01-02' + CAST(n - 1 AS INTEGER) AS DATE)) AS INTEGER) AS year
-  FROM (SELECT unnest(range(1, (SELECT max(date_id) FROM x_line) + 29)) AS n)""")
+         dayname(CAST((SELECT origin FROM x_clock) + CAST(n - 1 AS INTEGER) AS DATE)) AS weekday_name,
+         CAST(month(CAST((SELECT origin FROM x_clock) + CAST(n - 1 AS INTEGER) AS DATE)) AS INTEGER) AS month,
+         monthname(CAST((SELECT origin FROM x_clock) + CAST(n - 1 AS INTEGER) AS DATE)) AS month_name,
+         CAST(quarter(CAST((SELECT origin FROM x_clock) + CAST(n - 1 AS INTEGER) AS DATE)) AS INTEGER) AS quarter,
+         CAST(year(CAST((SELECT origin FROM x_clock) + CAST(n - 1 AS INTEGER) AS DATE)) AS INTEGER) AS year
+  FROM (SELECT unnest(range(1, (SELECT final_day FROM x_clock) + 29)) AS n)""")
 cte("x_weeks", """
   SELECT wm_yr_wk, min(week_id) AS week_id, arg_min(year, date_id) AS year,
          arg_min(quarter, date_id) AS quarter, arg_min(month, date_id) AS month,

@@ -12,15 +12,15 @@ def add(name: str, sql: str) -> None:
 K = "product_surr_id, store_surr_id"
 
 cte("x_stats_raw", f"""
-  SELECT {K}, 1 AS series_start, 2499 AS series_end, CAST(sum(units_sold) AS BIGINT) AS total_units,
+  SELECT {K}, 1 AS series_start, CAST((SELECT final_day FROM x_clock) AS INTEGER) AS series_end, CAST(sum(units_sold) AS BIGINT) AS total_units,
          stddev_samp(units_sold) AS sd, avg(units_sold) AS mu,
          CAST(count(*) FILTER (units_sold = 0) AS BIGINT) AS zero_demand_days,
-         sum(units_sold) FILTER (date_id > 2499 - 28) AS recent,
-         sum(units_sold) FILTER (date_id BETWEEN 2499 - 55 AND 2499 - 28) AS prior,
+         sum(units_sold) FILTER (date_id > (SELECT final_day FROM x_clock) - 28) AS recent,
+         sum(units_sold) FILTER (date_id BETWEEN (SELECT final_day FROM x_clock) - 55 AND (SELECT final_day FROM x_clock) - 28) AS prior,
          regr_slope(CAST(units_sold AS DOUBLE), CAST(date_id AS DOUBLE)) AS slope
   FROM x_daily GROUP BY {K}""")
 cte("x_stats", f"""
-  SELECT {K}, series_start, series_end, total_units, round(total_units / 2499.0, 4) AS mean_daily_units,
+  SELECT {K}, series_start, series_end, total_units, round(total_units / CAST((SELECT final_day FROM x_clock) AS DOUBLE), 4) AS mean_daily_units,
          round(sd, 4) AS std_daily_units, round(sd / nullif(mu, 0), 4) AS cv, zero_demand_days,
          round(CAST(recent AS DOUBLE) / nullif(prior, 0) - 1, 6) AS demand_growth_rate,
          round(slope, 8) AS trend_slope FROM x_stats_raw""")
@@ -167,17 +167,17 @@ FROM (SELECT {K}, count(*) AS n_rows, count(DISTINCT date_id) AS n_days,
              CAST(0 AS BIGINT) AS n_wrong_provenance FROM x_sparse GROUP BY {K})""")
 add("E02_chronological_split", f"""
 SELECT {K}, date_id, CAST(units_sold AS INTEGER) AS units_sold,
-       CASE WHEN date_id <= 2471 THEN 'train' ELSE 'valid' END AS split FROM x_sparse""")
+       CASE WHEN date_id <= (SELECT final_day FROM x_clock) - 28 THEN 'train' ELSE 'valid' END AS split FROM x_sparse""")
 add("E02_split_check", f"""
-SELECT {K}, count(*) FILTER (date_id <= 2471) AS n_train, count(*) FILTER (date_id > 2471) AS n_valid,
-       max(CASE WHEN date_id <= 2471 THEN date_id END) + 1
-         = min(CASE WHEN date_id > 2471 THEN date_id END) AS is_contiguous FROM x_daily GROUP BY {K}""")
+SELECT {K}, count(*) FILTER (date_id <= (SELECT final_day FROM x_clock) - 28) AS n_train, count(*) FILTER (date_id > (SELECT final_day FROM x_clock) - 28) AS n_valid,
+       max(CASE WHEN date_id <= (SELECT final_day FROM x_clock) - 28 THEN date_id END) + 1
+         = min(CASE WHEN date_id > (SELECT final_day FROM x_clock) - 28 THEN date_id END) AS is_contiguous FROM x_daily GROUP BY {K}""")
 cte("x_win", f"""
   SELECT {K},
-         list(units_sold ORDER BY date_id) FILTER (date_id BETWEEN 2458 AND 2471) AS tail,
-         list(units_sold ORDER BY date_id) FILTER (date_id BETWEEN 2472 AND 2499) AS actual,
-         list(units_sold ORDER BY date_id) FILTER (date_id BETWEEN 2486 AND 2499) AS final_tail
-  FROM x_daily WHERE date_id >= 2458 GROUP BY {K}""")
+         list(units_sold ORDER BY date_id) FILTER (date_id BETWEEN (SELECT final_day FROM x_clock) - 41 AND (SELECT final_day FROM x_clock) - 28) AS tail,
+         list(units_sold ORDER BY date_id) FILTER (date_id BETWEEN (SELECT final_day FROM x_clock) - 27 AND (SELECT final_day FROM x_clock)) AS actual,
+         list(units_sold ORDER BY date_id) FILTER (date_id BETWEEN (SELECT final_day FROM x_clock) - 13 AND (SELECT final_day FROM x_clock)) AS final_tail
+  FROM x_daily WHERE date_id >= (SELECT final_day FROM x_clock) - 41 GROUP BY {K}""")
 add("E03_trailing_window_arrays", f"""
 SELECT {K}, array_to_string(tail, ',') AS train_tail, array_to_string(actual, ',') AS actual,
        array_to_string(final_tail, ',') AS final_tail FROM x_win""")
@@ -239,16 +239,16 @@ _ORD = "list_position(['naive', 'seasonal_naive', 'moving_average', 'weighted_ma
 cte("x_champion", f"SELECT model, n_series FROM x_count ORDER BY n_series DESC, {_ORD} LIMIT 1")
 add("E16_champion_model", "SELECT * FROM x_champion")
 add("E17_model_registry_baselines", """
-SELECT m.model_order + 1 AS model_id, m.model, 'baseline' AS family, '1-2471' AS training_window,
-       2472 AS validation_start, 2499 AS validation_end, wmae, wrmse, mae, rmse, bias,
+SELECT m.model_order + 1 AS model_id, m.model, 'baseline' AS family, '1-' || ((SELECT final_day FROM x_clock) - 28) AS training_window,
+       CAST((SELECT final_day FROM x_clock) - 27 AS INTEGER) AS validation_start, CAST((SELECT final_day FROM x_clock) AS INTEGER) AS validation_end, wmae, wrmse, mae, rmse, bias,
        coalesce(c.n_series, 0) AS n_selected, m.model = (SELECT model FROM x_champion) AS is_selected
 FROM x_model m LEFT JOIN x_count c ON c.model = m.model""")
 add("E18_evaluation_fact", f"""
-SELECT model_order + 1 AS model_id, model, {K}, 2472 AS validation_start, 2499 AS validation_end,
+SELECT model_order + 1 AS model_id, model, {K}, CAST((SELECT final_day FROM x_clock) - 27 AS INTEGER) AS validation_start, CAST((SELECT final_day FROM x_clock) AS INTEGER) AS validation_end,
        {_R6}, 28 AS n_holdout, 'derived' AS data_provenance FROM x_metric""")
 _final = " ".join(f"WHEN '{m}' THEN {f}" for m, f in _fc("final_tail").items())
 cte("x_final", f"""
-  SELECT {K}, model, CAST(2499 + h AS INTEGER) AS forecast_date, CAST(h AS INTEGER) AS h,
+  SELECT {K}, model, CAST((SELECT final_day FROM x_clock) + h AS INTEGER) AS forecast_date, CAST(h AS INTEGER) AS h,
          round(p, 4) AS forecast_value,
          round(CASE WHEN sigma > 0 THEN greatest(p - sigma * 1.96, 0) ELSE p END, 4) AS lower_bound,
          round(CASE WHEN sigma > 0 THEN p + sigma * 1.96 ELSE p END, 4) AS upper_bound
@@ -258,7 +258,7 @@ cte("x_final", f"""
         JOIN x_metric m ON m.product_surr_id = w.product_surr_id AND m.store_surr_id = w.store_surr_id
           AND m.model = b.best_model, (SELECT unnest(range(1, 29)) AS h))""")
 add("E19_final_forecast", f"""
-SELECT {K}, model, 2499 AS forecast_origin, h AS forecast_horizon, forecast_date, forecast_value,
+SELECT {K}, model, CAST((SELECT final_day FROM x_clock) AS INTEGER) AS forecast_origin, h AS forecast_horizon, forecast_date, forecast_value,
        lower_bound, upper_bound, true AS is_final, 'derived' AS data_provenance FROM x_final""")
 _A6 = ", ".join(
     f"{mean(f'round({m}, 6)', 6)} AS {m}" for m in ("mae", "rmse", "wmae", "wrmse", "abs_error", "bias")
@@ -269,6 +269,6 @@ SELECT model_order + 1 AS model_id, model, count(DISTINCT product_surr_id * 1000
 add("E21_forecast_for_series", f"""
 SELECT date_id, CAST(units_sold AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS lower_bound,
        CAST(NULL AS DOUBLE) AS upper_bound, 'observed' AS data_provenance
-FROM x_daily {_NAMED} WHERE {TOKEN} AND date_id > 2485
+FROM x_daily {_NAMED} WHERE {TOKEN} AND date_id > (SELECT final_day FROM x_clock) - 14
 UNION ALL SELECT forecast_date, forecast_value, lower_bound, upper_bound, 'derived'
 FROM x_final {_NAMED} WHERE {TOKEN}""")

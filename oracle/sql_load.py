@@ -34,7 +34,7 @@ SELECT {_IDS} FROM x_series JOIN x_product USING (product_surr_id) JOIN x_store
 add("A04_read_sales_wide", f"""
 SELECT {_IDS}, CAST(count(*) AS INTEGER) AS n_days, CAST(sum(units_sold) AS BIGINT) AS units,
        CAST(max(CASE WHEN date_id = 1 THEN units_sold END) AS INTEGER) AS first_day_units,
-       CAST(max(CASE WHEN date_id = 2499 THEN units_sold END) AS INTEGER) AS last_day_units
+       CAST(max(CASE WHEN date_id = (SELECT final_day FROM x_clock) THEN units_sold END) AS INTEGER) AS last_day_units
 FROM x_daily JOIN x_product USING (product_surr_id) JOIN x_store USING (store_surr_id) GROUP BY ALL""")
 add("A05_melt_sales_long", """
 SELECT product_id || '_' || store_id AS id, product_id AS item_id, store_id, date_id AS day_index,
@@ -89,7 +89,7 @@ SELECT product_surr_id, store_surr_id, date_id, year,
 FROM x_sparse JOIN x_dates USING (date_id)""")
 add("A18_write_fact_parquet", """
 SELECT product_surr_id, store_surr_id, CAST(sum(units_sold) AS DOUBLE) AS total_units,
-       round(sum(units_sold) / 2499.0, 4) AS mean_daily_units,
+       round(sum(units_sold) / CAST((SELECT final_day FROM x_clock) AS DOUBLE), 4) AS mean_daily_units,
        'derived' AS data_provenance, 1 AS etl_run_id FROM x_sparse GROUP BY 1, 2""")
 add("A21_densify_series", """
 SELECT product_surr_id, store_surr_id, date_id, CAST(units_sold AS INTEGER) AS units_sold FROM x_daily""")

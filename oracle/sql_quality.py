@@ -181,7 +181,7 @@ SELECT count(DISTINCT (product_surr_id, store_surr_id)) AS series_rows,
        count(DISTINCT product_surr_id) AS product_count, count(DISTINCT store_surr_id) AS store_count,
        CAST(sum(units_sold) AS BIGINT) AS total_demand,
        round(1 - CAST(count(*) FILTER (units_sold <> 0) AS DOUBLE)
-         / (count(DISTINCT (product_surr_id, store_surr_id)) * 2499), 6) AS zero_demand_fraction,
+         / (count(DISTINCT (product_surr_id, store_surr_id)) * (SELECT final_day FROM x_clock)), 6) AS zero_demand_fraction,
        CAST(count(*) FILTER (units_sold < 0) AS BIGINT) AS negative_value_count,
        CAST(0 AS BIGINT) AS missing_cells, CAST(0 AS BIGINT) AS duplicate_ids,
        min(date_id) AS day_start, max(date_id) AS day_end FROM x_sparse""")
@@ -215,7 +215,7 @@ SELECT count(*) AS rows, CAST(0 AS BIGINT) AS duplicate_rows, CAST(0 AS BIGINT)
 add("B17_quality_summary", f"""
 SELECT status, count(*) AS n_checks FROM ({' UNION ALL '.join(_CHECKS)}) GROUP BY status""")
 cte("x_zero", f"""
-  SELECT {K}, round(1 - count(*) FILTER (units_sold <> 0) / 2499.0, 6) AS zero_fraction
+  SELECT {K}, round(1 - count(*) FILTER (units_sold <> 0) / CAST((SELECT final_day FROM x_clock) AS DOUBLE), 6) AS zero_fraction
   FROM x_sparse GROUP BY {K}""")
 add("B18_zero_fraction_per_series", "SELECT * FROM x_zero")
 add("B18_daily_totals", """

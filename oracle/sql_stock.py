@@ -92,7 +92,7 @@ cte("x_fold", f"""
                 AND r.store_surr_id = s.store_surr_id AND r.scenario_id = s.scenario_id
               WHERE s.i < 28))))""")
 cte("x_day", f"""
-  SELECT f.product_surr_id, f.store_surr_id, f.scenario_id, f.i, 2499 + f.i AS day_id,
+  SELECT f.product_surr_id, f.store_surr_id, f.scenario_id, f.i, (SELECT final_day FROM x_clock) + f.i AS day_id,
          round(start_oh, 4) AS starting_inventory, round(dem, 4) AS demand_forecast,
          round(lt_demand, 4) AS lead_time_demand, {_r4('ss')} AS safety_stock,
          {_r4('rop')} AS reorder_point, round(oh + oo - bo, 4) AS inventory_position,
@@ -362,7 +362,7 @@ SELECT scenario_name, scenario_type, count(*) AS row_count, max(lead_time_days)
        CAST(CASE WHEN scenario_name = 'reorder_policy_alt' THEN 14.0 ELSE 7.0 END AS DOUBLE)
          AS reorder_qty_multiple,
        CAST(CASE WHEN scenario_name = 'demand_shock_p20' THEN 0.2 ELSE 0 END AS DOUBLE) AS demand_adjustment_pct,
-       2500 AS horizon_start, 2527 AS horizon_end
+       CAST((SELECT final_day FROM x_clock) + 1 AS INTEGER) AS horizon_start, CAST((SELECT final_day FROM x_clock) + 28 AS INTEGER) AS horizon_end
 FROM x_result GROUP BY scenario_name, scenario_type""")
 _M6 = ", ".join(
     f"{mean(c, 6)} AS {c}"
