@@ -77,10 +77,6 @@ def tier(score: Column, tiers: tuple[tuple[float, str], ...]) -> Column:
     return expr.otherwise(tiers[-1][1])
 
 
-def count_where(predicate: Column) -> Column:
-    return F.count_if(predicate)
-
-
 def scaled(x: Column, places: int = 4) -> Column:
     """A rounded value as a whole number, so that sums do not depend on order."""
     return F.round(x * F.lit(float(10**places))).cast("long")

@@ -136,7 +136,8 @@ def contributions_topn(
     n: int = 10,
 ) -> DataFrame:
     """Top products, departments and states of the filtered revenue."""
-    n = max(1, min(int(n or 10), 50))
+    if n < 1:
+        raise ValueError("n must be at least 1")
     kept = filter_by_dimensions(weekly, product, store, filters or {})
     wide = kept.groupBy("product_surr_id", "store_surr_id").agg(F.sum("revenue").alias("revenue"))
     wide = wide.join(product.select("product_surr_id", "product_id", "dept_id"), "product_surr_id")

@@ -86,18 +86,51 @@ def densify_daily(daily: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Existing rows plus the incoming rows whose key is new."""
-    new = incoming.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
+    """Existing rows plus the incoming rows whose key is new.
+
+    Of incoming rows that share a key the first in the order of all columns stays.
+    """
+    new = one_per_key(incoming, key).join(existing.select(*key), key, "left_anti")
     return existing.unionByName(new)
 
 
+def one_per_key(df: DataFrame, key: list[str]) -> DataFrame:
+    """One row of each key, the first in the order of the other columns."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    first = df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_first"))
+    return first.select(*key, *[F.col(f"_first.{c}").alias(c) for c in rest]).select(*df.columns)
+
+
 def upsert_by_key(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Incoming rows replace existing ones of the same key."""
-    return existing.join(incoming.select(*key), key, "left_anti").unionByName(incoming)
+    """Incoming rows replace existing ones of the same key.
 
+    Of incoming rows that share a key the first in the order of all columns counts.
+    """
+    new = one_per_key(incoming, key)
+    return existing.join(new.select(*key), key, "left_anti").unionByName(new)
 
-def replace_slice(df: DataFrame, path: str, slice_by: list[str]) -> None:
-    """Overwrite only the slices present in `df`; a re-run gives the same table."""
+
+def replace_slice(
+    df: DataFrame, path: str, slice_by: list[str], slices: list[tuple] | None = None
+) -> None:
+    """Overwrite only the slices present in `df`; a re-run gives the same table.
+
+    `slices` names the slices that are replaced: one without rows in `df` is
+    cleared, and rows of `df` outside them are an error.
+    """
+    if slices is not None:
+        spark = df.sparkSession
+        wanted = spark.createDataFrame(slices, df.select(*slice_by).schema)
+        stray = df.join(wanted, slice_by, "left_anti").limit(1).count()
+        if stray:
+            raise ValueError("rows outside the slices that are replaced")
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for row in slices:
+            parts = "/".join(f"{c}={v}" for c, v in zip(slice_by, row))
+            folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{parts}")
+            folder.getFileSystem(conf).delete(folder, True)
     (
         df.repartition(*slice_by, *[c for c in SERIES if c in df.columns])
         .write.mode("overwrite")
@@ -119,6 +152,8 @@ def write_fact(
     typed = df.select(
         *[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns]
     ).withColumns({"data_provenance": F.lit(provenance), "etl_run_id": F.lit(run_id)})
+    if slice_by:  # each slice is written by the tasks that hold it, not by all
+        typed = typed.repartition(*slice_by, *[c for c in SERIES if c in typed.columns])
     writer = typed.write.mode("overwrite")
     if slice_by:
         writer = writer.partitionBy(*slice_by)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -231,21 +232,17 @@ def champion_model(selected: DataFrame) -> DataFrame:
     )
 
 
-# Parameters of each model.
-_PARAMS = {
-    "naive": ("baseline", '{"method":"last observed value"}'),
-    "seasonal_naive": ("baseline", '{"method":"last week\'s pattern","period":7}'),
-    "moving_average": ("baseline", '{"method":"mean of last days","window":7}'),
-    "weighted_ma": ("baseline", '{"method":"weighted mean of last days","window":7}'),
-    "ets_holt_winters": (
-        "statistical",
-        '{"method":"additive Holt-Winters","seasonal_periods":7,"fallback":"naive"}',
-    ),
-    "sarima": (
-        "statistical",
-        '{"method":"SARIMA","order":[0,1,1],"seasonal_order":[0,1,1,7],"fallback":"seasonal_naive"}',
-    ),
-}
+def model_parameters(model: str, rules: ForecastRules = RULES) -> str:
+    """The numbers a model works with, as JSON."""
+    week = rules.seasonality
+    numbers: dict[str, dict] = {
+        "seasonal_naive": {"period": week},
+        "moving_average": {"window": rules.ma_window},
+        "weighted_ma": {"window": rules.ma_window},
+        "ets_holt_winters": {"period": week, "min_points": rules.min_train_points},
+        "sarima": {"order": [0, 1, 1], "seasonal_order": [0, 1, 1, week], "min_points": rules.min_train_points},
+    }
+    return json.dumps({"model": model, **numbers.get(model, {})})
 
 
 def model_family(model: Column) -> Column:
@@ -274,8 +271,8 @@ def model_registry(
     )
     champion = champion_model(selected).agg(F.max("model")).scalar()
     params, family = F.lit(None).cast("string"), model_family(F.col("model"))
-    for m, (_, text) in _PARAMS.items():
-        params = F.when(F.col("model") == m, text).otherwise(params)
+    for m in MODEL_ORDER:
+        params = F.when(F.col("model") == m, model_parameters(m)).otherwise(params)
     counts = selection_counts(selected)
     is_selected = F.when(F.col("family") == "baseline", F.col("model") == champion).otherwise(
         statistical_wins(F.col("wmae"), on_pilot)

@@ -1,7 +1,7 @@
-"""Statistical fits of the pilot series, one grouped-map task per series.
+"""Statistical fits, one grouped-map task per series.
 
-Spark selects the pilot series, fills their days and hands each history to one
-task; a task holds one series, whose length the calendar bounds. The fits try
+Spark fills the days of the series asked for, all by default, and hands each
+history to one task; a task holds one series, whose length the calendar bounds. The fits try
 a fixed grid of parameters and keep the one with the least squared one-step
 error, so they give the same result everywhere.
 """
@@ -66,15 +66,31 @@ def airline(y: np.ndarray, horizon: int, period: int = 7) -> np.ndarray:
     return np.array(levels[-horizon:])
 
 
+def level_only(y: np.ndarray, horizon: int) -> np.ndarray:
+    """Simple exponential smoothing: the level alone, with the best smoothing of the grid."""
+    alpha = np.linspace(0.05, 0.95, 19)
+    level, sse = np.full(alpha.size, y[0]), np.zeros(alpha.size)
+    for value in y[1:]:
+        error = value - level
+        sse += error * error
+        level = level + alpha * error
+    return np.repeat(level[int(np.argmin(sse))], horizon)
+
+
 def fit_one(y: np.ndarray, model: str, horizon: int, rules: ForecastRules = RULES):
-    """(forecast, fitted): the fallback baseline where a fit is not possible."""
-    last_week = y[-rules.seasonality :]
-    fallback = (
-        np.repeat(y[-1], horizon)
-        if model == "ets_holt_winters"
-        else np.resize(last_week, horizon)
-    )
-    if y.size < rules.min_train_points or not np.isfinite(y).all() or not (y > 0).any():
+    """(forecast, fitted): a simpler model where a fit is not possible.
+
+    Holt-Winters falls back to the level alone, and to the last value for
+    series without demand or with values that are not finite.
+    """
+    usable = bool(np.isfinite(y).all() and (y > 0).any())
+    if model != "ets_holt_winters":
+        fallback = np.resize(y[-rules.seasonality :], horizon)
+    elif usable:
+        fallback = np.clip(level_only(y, horizon), 0.0, None)
+    else:
+        fallback = np.repeat(y[-1], horizon)
+    if y.size < rules.min_train_points or not usable:
         return fallback, False
     forecast = (holt_winters if model == "ets_holt_winters" else airline)(
         y, horizon, rules.seasonality
@@ -84,16 +100,16 @@ def fit_one(y: np.ndarray, model: str, horizon: int, rules: ForecastRules = RULE
     return np.clip(forecast, 0.0, None), True
 
 
-def pilot_history(
-    daily: DataFrame, pilot: DataFrame, clock: Clock, complete: bool = False
+def series_history(
+    daily: DataFrame, clock: Clock, pairs: DataFrame | None = None, complete: bool = False
 ) -> DataFrame:
-    """Full daily history of the pilot series.
+    """Full daily history of all series, or of those in `pairs`.
 
     A complete fact is taken as it is and series with missing days drop out;
     otherwise missing days are days without demand.
     """
     days = daily.filter(F.col("date_id").between(clock.observed_start, clock.observed_end))
-    kept = pair_filter(days, F.broadcast(pilot))  # at most pilot_top_n rows
+    kept = days if pairs is None else pair_filter(days, pairs)
     if not complete:
         return densify_daily(kept, clock.observed_start, clock.observed_end)
     n = clock.observed_end - clock.observed_start + 1

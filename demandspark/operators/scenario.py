@@ -53,6 +53,7 @@ def scenario_param_rules(grid: DataFrame, rules: PolicyRules = RULES) -> DataFra
                 tests.append((
                     (kind == name) & (column.isNull() | F.isnan(column)), f"{param} is required"
                 ))
+                tests.append(((kind == name) & (F.abs(column) == float("inf")), f"{param} is not finite"))
             else:
                 tests.append(((kind == name) & column.isNotNull(), f"{param} is not accepted"))
 

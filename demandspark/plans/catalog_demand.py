@@ -208,7 +208,7 @@ _baseline("E07_f_weighted_ma", "weighted_ma")
 
 def _fitted(t: RetailTables, model: str) -> DataFrame:
     fits = forecast_fit.fit_statistical(
-        t.pilot_history, t.clock.observed_end, t.clock.horizon, (model,)
+        t.history, t.clock.observed_end, t.clock.horizon, (model,)
     )
     return fits.select(
         *SERIES,
@@ -317,10 +317,7 @@ def e19(t: RetailTables) -> DataFrame:
 
 @query("E19_final_forecast_with_fits")
 def e19_all(t: RetailTables) -> DataFrame:
-    chosen = forecast.chosen_forecast(
-        t.windows, t.scored_all, t.selected_all, t.clock, t.statistical_final
-    )
-    return forecast.final_forecast(chosen, t.clock)
+    return forecast.final_forecast(t.chosen_all, t.clock)
 
 
 @query("E20_model_support_accuracy")

@@ -144,12 +144,12 @@ def a14(t: RetailTables) -> DataFrame:
 
 
 def _loaded_and_new(t: RetailTables) -> tuple[DataFrame, DataFrame]:
-    """Series totals of the odd stores as loaded, all of the last half as incoming."""
+    """First-half totals of the odd stores as loaded, totals of all other rows as incoming."""
     keys = [*SERIES]
     total = F.sum("units_sold").alias("units")
     half = t.clock.observed_end // 2
-    existing = t.daily.filter((F.col("store_surr_id") % 2 == 1) & (F.col("date_id") <= half))
-    incoming = t.daily.filter(F.col("date_id") > half)
+    loaded = (F.col("store_surr_id") % 2 == 1) & (F.col("date_id") <= half)
+    existing, incoming = t.daily.filter(loaded), t.daily.filter(~loaded)
     return existing.groupBy(*keys).agg(total), incoming.groupBy(*keys).agg(total)
 
 

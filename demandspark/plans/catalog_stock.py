@@ -151,11 +151,8 @@ def g02(t: RetailTables) -> DataFrame:
     )
 
 
-RESULT_PLACES = {}
-
-
 def _one(t: RetailTables, name: str) -> DataFrame:
-    return t.results.filter(F.col("scenario_name") == name)
+    return t.scenario(name)
 
 
 @query("G03_s_baseline")

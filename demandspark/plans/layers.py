@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from demandspark.config import DERIVED, OBSERVED, SERIES, SIMULATED
-from demandspark.operators import demand, facts, forecast, replenish, risk, scenario, weekly
+from demandspark.config import (
+    DERIVED,
+    OBSERVED,
+    SERIES,
+    SIMULATED,
+    assumption_set_row,
+    demand_rule_rows,
+    forecast_rule_rows,
+    rules_table,
+    scenario_definitions,
+    scenario_rule_rows,
+)
+from demandspark.operators import demand, dims, facts, forecast, replenish, risk, scenario, weekly
 from demandspark.plans.retail import RetailTables
 
 DAYS_PER_SLICE = 364
@@ -46,6 +57,14 @@ def write_layers(tables: RetailTables, out: str, run_id: int = 1) -> dict[str, s
         """Stored decimals back as doubles, for computing."""
         return df.withColumns({c: F.col(c).cast("double") for c in TYPES if c in df.columns})
 
+    save("dim_date", tables.dates, OBSERVED)
+    save("dim_week", dims.dim_week(tables.dates), DERIVED)
+    for name in ("product", "store", "department", "category"):
+        save(f"dim_{name}", getattr(tables, name), OBSERVED)
+    rules = demand_rule_rows() + forecast_rule_rows(clock) + scenario_rule_rows(clock)
+    save("business_rules", rules_table(spark, rules), DERIVED)
+    save("assumption_set", assumption_set_row(spark), SIMULATED)
+    save("scenario_definition", scenario_definitions(spark), SIMULATED)
     slice_of = F.floor((F.col("date_id") - 1) / DAYS_PER_SLICE).cast("int").alias("day_slice")
     daily = save(
         "fact_daily_sales", tables.daily.select("*", slice_of), OBSERVED, ["day_slice"]
@@ -57,6 +76,7 @@ def write_layers(tables: RetailTables, out: str, run_id: int = 1) -> dict[str, s
         DERIVED,
     )
     stats = demand.demand_stats(daily, clock.observed_start, clock.observed_end)
+    save("fact_dow_factor", demand.dow_factors(tables.dow_fine), DERIVED)
     seasonal = demand.monthly_seasonality(demand.monthly_means(anchor, tables.dates))
     save("fact_demand_seasonality", demand.seasonality_fact(seasonal), DERIVED)
     analysis = numbers(
@@ -71,22 +91,17 @@ def write_layers(tables: RetailTables, out: str, run_id: int = 1) -> dict[str, s
     )
     save(
         "fact_forecast_evaluation",
-        forecast.evaluation_fact(forecast.evaluate(windows), clock),
+        forecast.evaluation_fact(tables.scored_all if tables.fits else forecast.evaluate(windows), clock),
         DERIVED,
     )
-    final = numbers(
-        save(
-            "fact_forecast",
-            forecast.final_forecast(forecast.chosen_baseline(windows, clock), clock),
-            DERIVED,
-        )
-    )
+    chosen = tables.chosen_all if tables.fits else forecast.chosen_baseline(windows, clock)
+    final = numbers(save("fact_forecast", forecast.final_forecast(chosen, clock), DERIVED))
     vectors = forecast.final_vectors(final)
     policy = replenish.inventory_policy(analysis)
     save(
         "fact_inventory_projection",
         replenish.inventory_projection(
-            replenish.with_trace(policy.join(vectors, SERIES)), clock=clock
+            replenish.with_trace(policy.join(vectors, SERIES)), clock
         ),
         SIMULATED,
         ["assumption_set_id"],
@@ -97,5 +112,7 @@ def write_layers(tables: RetailTables, out: str, run_id: int = 1) -> dict[str, s
         SIMULATED,
         ["scenario_name"],
     ).withColumn("data_provenance", F.lit(SIMULATED))
+    save("scenario_run", scenario.scenario_runs(results), SIMULATED)
+    save("scenario_comparison", scenario.scenario_deltas(results), SIMULATED, ["scenario_name"])
     save("fact_risk", risk.risk_fact(results), SIMULATED, ["risk_type"])
     return paths

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from demandspark.config import SERIES, Clock
+from demandspark.config import SCENARIOS, SERIES, Clock
 from demandspark.operators import (
     demand,
     dims,
@@ -23,14 +23,23 @@ from demandspark.sources.order_tables import OrderTables, product_key
 
 
 class RetailTables:
-    """Lazy dimensions and facts of one data folder.
+    """Dimensions and facts of one data folder, each made when first asked for.
 
-    Nothing is computed until a result is asked for; each property is a plan.
+    Most properties are plans and run nothing. Asking for one that several later
+    steps read (daily totals, scenario results, risk ranks, fits) writes it to
+    the shared folder at once; see `session.stage`.
     """
 
     def __init__(
-        self, spark: SparkSession, path: str, clock: Clock | None = None, staged: bool = True
+        self,
+        spark: SparkSession,
+        path: str,
+        clock: Clock | None = None,
+        staged: bool = True,
+        fits: bool = False,
     ):
+        """`fits` lets statistical models take part in the choice that stock and scenarios use."""
+        self.fits = fits
         self.spark = spark
         self.source = OrderTables(spark, path, clock, staged)
 
@@ -177,8 +186,17 @@ class RetailTables:
 
     @cached_property
     def chosen(self) -> DataFrame:
+        if self.fits:
+            return self.chosen_all
         return forecast.chosen_baseline(self.windows, self.clock)
 
+    @cached_property
+    def chosen_all(self) -> DataFrame:
+        """The full rule: statistical winners among the chosen models."""
+        return forecast.chosen_forecast(
+            self.windows, self.scored_all, self.selected_all, self.clock, self.statistical_final
+        )
+
     @cached_property
     def final(self) -> DataFrame:
         return forecast.final_forecast(self.chosen, self.clock)
@@ -189,14 +207,18 @@ class RetailTables:
 
     @cached_property
     def pilot_history(self) -> DataFrame:
-        return forecast_fit.pilot_history(self.daily, self.pilot, self.clock)
+        return forecast_fit.series_history(self.daily, self.clock, self.pilot)
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return forecast_fit.series_history(self.daily, self.clock)
 
     @cached_property
     def statistical_holdout(self) -> DataFrame:
-        """Pilot fits on the training days, to be scored on the holdout."""
+        """Fits on the training days, to be scored on the holdout."""
         return stage(
             forecast_fit.fit_statistical(
-                self.pilot_history, self.clock.train_end, self.clock.horizon
+                self.history, self.clock.train_end, self.clock.horizon
             )
         )
 
@@ -204,7 +226,7 @@ class RetailTables:
     def statistical_final(self) -> DataFrame:
         return stage(
             forecast_fit.fit_statistical(
-                self.pilot_history, self.clock.observed_end, self.clock.horizon
+                self.history, self.clock.observed_end, self.clock.horizon
             )
         )
 
@@ -244,9 +266,18 @@ class RetailTables:
         """Outcome of all scenarios, written once for the ranks and reports."""
         return stage(scenario.scenario_result(self.moments, self.vectors))
 
+    def scenario(self, name: str) -> DataFrame:
+        """Outcome of one scenario; the others are not projected."""
+        rows = scenario.scenario_result(
+            self.moments, self.vectors, tuple(s for s in SCENARIOS if s.name == name)
+        )
+        place = [s.name for s in SCENARIOS].index(name) + 1
+        return rows.withColumn("scenario_id", F.lit(place))
+
     @cached_property
     def baseline(self) -> DataFrame:
-        return self.results.filter("scenario_type = 'baseline'")
+        """The baseline, written once for the ranks and reports."""
+        return stage(self.scenario("baseline"))
 
     @cached_property
     def deltas(self) -> DataFrame:

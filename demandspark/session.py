@@ -29,13 +29,15 @@ def local_session(cores: str = "8", app: str = "demandspark") -> SparkSession:
 def stage_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
 
-    Only where none is named (local tests) is a temporary one set.
+    Only a local session (tests, bench) may do without: it gets a temporary one.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="demandspark-"))
     return sc.getCheckpointDir()
 

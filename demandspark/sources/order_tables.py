@@ -31,6 +31,13 @@ def day_index(ts: Column, origin: date) -> Column:
     return F.date_diff(ts.cast("date"), F.lit(origin)) + 1
 
 
+def _whole_units(quantity: Column) -> Column:
+    """Units are whole: a fraction is an error, not cut off."""
+    return F.when(quantity != F.floor(quantity), F.raise_error(F.lit("fractional units"))).otherwise(
+        quantity.cast("long")
+    )
+
+
 def week_of(day: Column) -> Column:
     return (F.floor((day - 1) / 7) + 1).cast("int")
 
@@ -154,7 +161,7 @@ class OrderTables:
                 day_index(F.col("l_shipdate"), self.clock.origin).alias("date_id"),
             )
             .agg(
-                F.sum(F.col("l_quantity").cast("long")).alias("units_sold"),
+                F.sum(_whole_units(F.col("l_quantity"))).alias("units_sold"),
                 F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"),
             )
         )

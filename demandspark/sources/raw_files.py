@@ -44,7 +44,9 @@ def sales_schema(n_days: int) -> T.StructType:
 
 
 def _read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool) -> DataFrame:
-    return spark.read.schema(schema).option("header", header).csv(path)
+    """A wrong field fails the read; a header must name the columns of the schema in their order."""
+    reader = spark.read.schema(schema).option("header", header).option("mode", "FAILFAST")
+    return reader.option("enforceSchema", not header).csv(path)
 
 
 def read_calendar(spark: SparkSession, path: str, header: bool = True) -> DataFrame:

@@ -71,10 +71,10 @@ SELECT product_surr_id, store_surr_id, CAST(wm_yr_wk AS INTEGER) AS wm_yr_wk,
        'observed' AS data_provenance FROM x_price""")
 cte("x_half_old", """
   SELECT product_surr_id, store_surr_id, CAST(sum(units_sold) AS BIGINT) AS units FROM x_sparse
-  WHERE store_surr_id % 2 = 1 AND date_id <= 1249 GROUP BY ALL""")
+  WHERE store_surr_id % 2 = 1 AND date_id <= (SELECT final_day FROM x_clock) // 2 GROUP BY ALL""")
 cte("x_half_new", """
   SELECT product_surr_id, store_surr_id, CAST(sum(units_sold) AS BIGINT) AS units FROM x_sparse
-  WHERE date_id > 1249 GROUP BY ALL""")
+  WHERE NOT (store_surr_id % 2 = 1 AND date_id <= (SELECT final_day FROM x_clock) // 2) GROUP BY ALL""")
 add("A15_insert_if_absent", """
 SELECT * FROM x_half_old UNION ALL SELECT * FROM x_half_new n WHERE NOT EXISTS (
   SELECT 1 FROM x_half_old o WHERE o.product_surr_id = n.product_surr_id

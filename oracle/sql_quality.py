@@ -168,7 +168,7 @@ check(
             "category_upper": "SELECT count(*) FILTER (category_id <> upper(category_id)) AS n FROM x_product",
             "month_range": "SELECT count(*) FILTER (month NOT BETWEEN 1 AND 12) AS n FROM x_dates",
             "quarter_range": "SELECT count(*) FILTER (quarter NOT BETWEEN 1 AND 4) AS n FROM x_dates",
-            "year_range": "SELECT count(*) FILTER (year NOT BETWEEN 1990 AND 2030) AS n FROM x_dates",
+            "year_range": "SELECT count(*) FILTER (year NOT BETWEEN 2000 AND 2030) AS n FROM x_dates",
             "tier_known": """SELECT count(*) FILTER (risk_tier NOT IN ('Critical', 'High', 'Medium', 'Low'))
                              AS n FROM x_ranked""",
             "rank_positive": "SELECT count(*) FILTER (risk_rank < 1) AS n FROM x_ranked",

@@ -77,7 +77,7 @@ def test_intervals(spark):
         [(1, 1, "naive", 2.0, [10.0]), (2, 1, "naive", None, [10.0]), (3, 1, "naive", 9.0, [10.0])],
         "product_surr_id int, store_surr_id int, model string, sigma double, point array<double>",
     )
-    got = {r["product_surr_id"]: (r["lower_bound"], r["upper_bound"]) for r in forecast.final_forecast(chosen).collect()}
+    got = {r["product_surr_id"]: (r["lower_bound"], r["upper_bound"]) for r in forecast.final_forecast(chosen, Clock(observed_end=9)).collect()}
     assert got == {1: (6.08, 13.92), 2: (10.0, 10.0), 3: (0.0, 27.64)}
 
 

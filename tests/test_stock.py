@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from demandspark.config import SERIES, Scenario
+from demandspark.config import Clock, SERIES, Scenario
 from demandspark.functions.exprs import tier, z_service
 from demandspark.config import RISK_TIERS
 from demandspark.operators import replenish, risk, scenario
@@ -110,7 +110,7 @@ def test_projection_identities_and_replay(case):
     m, v = case
     policy = replenish.inventory_policy(m)
     traced = replenish.with_trace(policy.join(v, SERIES))
-    days = replenish.inventory_projection(traced)
+    days = replenish.inventory_projection(traced, Clock(observed_end=2499))
     assert days.count() == 30 * 28
     check = replenish.trace_replay_check(days, policy)
     bad = [c for c in check.columns if c.startswith("bad_")]

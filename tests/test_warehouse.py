@@ -183,3 +183,47 @@ def test_written_layers_agree_with_lazy_ones(spark, tmp_path):
     )
     assert read["fact_daily_sales"].filter("data_provenance = 'observed'").count() == t.daily.count()
     assert read["fact_inventory_projection"].count() == read["fact_forecast"].count()
+
+
+def test_slices_named_for_replacement_are_cleared(spark, tmp_path):
+    path = str(tmp_path / "t")
+    facts.replace_slice(spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "w int, n int"), path, ["w"])
+    facts.replace_slice(spark.createDataFrame([(2, 21)], "w int, n int"), path, ["w"], [(1,), (2,)])
+    assert sorted(map(tuple, spark.read.parquet(path).select("w", "n").collect())) == [(2, 21), (3, 30)]
+    with pytest.raises(ValueError):
+        facts.replace_slice(spark.createDataFrame([(3, 1)], "w int, n int"), path, ["w"], [(2,)])
+
+
+def test_repeated_incoming_keys_give_one_row(spark):
+    old = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = spark.createDataFrame([(1, "z"), (1, "y"), (2, "q"), (2, "p")], "k int, v string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(facts.upsert_by_key(old, new, ["k"])) == [(1, "y"), (2, "p")]
+    assert rows(facts.insert_if_absent(old, new, ["k"])) == [(1, "a"), (2, "p")]
+
+
+def test_later_days_move_the_clock(spark, tmp_path):
+    """30 added days are in the daily rows, the weekly revenue, the statistics and the forecast."""
+    import datetime
+    import shutil
+
+    from demandspark.plans.retail import RetailTables
+
+    source = "/root/testdata/sf0.001"
+    for name in ("part", "supplier", "nation", "region"):
+        shutil.copy(f"{source}/{name}.parquet", tmp_path)
+    line = spark.read.parquet(f"{source}/lineitem.parquet")
+    last = line.agg(F.max("l_shipdate")).first()[0]
+    later = line.filter(F.col("l_shipdate") > last - datetime.timedelta(days=30)).withColumn(
+        "l_shipdate", F.col("l_shipdate") + F.expr("interval 30 days")
+    )
+    line.unionByName(later).write.parquet(str(tmp_path / "lineitem.parquet"))
+    before, after = RetailTables(spark, source), RetailTables(spark, str(tmp_path))
+    assert after.clock.observed_end == before.clock.observed_end + 30
+    added = after.daily.agg(F.sum("units_sold")).first()[0] - before.daily.agg(F.sum("units_sold")).first()[0]
+    assert added == later.agg(F.sum("l_quantity")).first()[0]
+    total = lambda t: t.stats.agg(F.sum("total_units")).first()[0]
+    assert total(after) - total(before) == added
+    weeks = after.weekly_units.agg(F.max("week_id"), F.sum("units")).first()
+    assert weeks[0] == (after.clock.observed_end - 1) // 7 + 1 and weeks[1] == total(after)
+    assert after.final.agg(F.min("forecast_date")).first()[0] == after.clock.observed_end + 1
