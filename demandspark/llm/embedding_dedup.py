@@ -38,9 +38,9 @@ from demandspark.session import stage
 class CosineRules:
     least: float = 0.95
     block_dims: int = 16
-    part: int = 8192
+    part: int = 32_768
     """Vectors in one part of a cell."""
-    first_grid: int = 20_000
+    first_grid: int = 10_000
     """Vectors up to which one coordinate makes the grid; each further one serves three times as many."""
 
     @property
@@ -140,12 +140,13 @@ def linked(x: np.ndarray, times: np.ndarray, home: np.ndarray, present: np.ndarr
     first, end, budget = blocks[b]
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
     part = y[:, first:end].astype(np.float32)
-    square = np.einsum("ij,ij->i", part, part)
+    # One product gives the squared distances: |a|^2 + |b|^2 - 2ab.
+    square, one = np.einsum("ij,ij->i", part, part)[:, None], np.ones((len(part), 1), np.float32)
+    left, right = np.hstack([-2 * part, square, one]), np.hstack([part, one, square])[present].T
     links, forest = np.zeros(len(x), np.int64), _Forest()
     for at in range(0, len(home), 256):
         rows = home[at : at + 256]
-        distance = square[rows][:, None] + square[present][None, :] - 2 * (part[rows] @ part[present].T)
-        near_row, near_col = np.nonzero(distance <= np.float32(budget + 1e-5))
+        near_row, near_col = np.divmod(np.flatnonzero(left[rows] @ right <= np.float32(budget + 1e-5)), len(present))
         bounds = np.searchsorted(near_row, np.arange(len(rows) + 1))
         for k, i in enumerate(rows.tolist()):
             others = present[near_col[bounds[k] : bounds[k + 1]]]
