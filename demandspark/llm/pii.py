@@ -252,7 +252,9 @@ class SpanClassifier:
 
 def train(docs: DataFrame, text_col: str = "text", rules: PiiRules = PiiRules()) -> SpanClassifier:
     """Learns from the votes on all proposed spans of the texts; no labels are used."""
-    spans = propose(docs.select(F.col(f"`{text_col}`").alias("text")), "text").select(F.explode("__spans").alias("s"))
+    # An outer explode: for a plain one the optimizer would evaluate the spans once more to test for empty arrays.
+    spans = propose(docs.select(F.col(f"`{text_col}`").alias("text")), "text").select(F.explode_outer("__spans").alias("s"))
+    spans = spans.where(F.col("s").isNotNull())
     counted = (
         spans.select(F.col("s.pattern").alias("pattern"), votes(F.col("s")).alias("votes"), F.explode(features(F.col("s"))).alias("feature"))
         .groupBy("pattern", "votes", "feature")
