@@ -242,3 +242,28 @@ def op7_decontamination(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
         contaminated("hits").alias("contaminated"),
     )
+
+
+SQL = r"""
+WITH dw AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+iw AS (
+  SELECT item_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+pat AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS s
+  FROM iw, unnest(range(1, greatest(len(w) - 12, 1) + 1)) r(i) WHERE len(w) > 0),
+win AS (
+  SELECT doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') AS s
+  FROM dw, (SELECT DISTINCT m FROM pat) k, unnest(range(1, len(w) - m + 2)) r(i) WHERE len(w) >= m),
+hit AS (SELECT DISTINCT doc_id, i, m, item_id FROM win JOIN pat USING (m, s)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM hit, unnest(range(i, i + m)) r(p) GROUP BY doc_id),
+named AS (SELECT doc_id, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS items FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+  coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated
+FROM dw d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named a ON a.doc_id = d.doc_id
+"""

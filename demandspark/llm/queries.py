@@ -20,6 +20,8 @@ ORACLE = {
     "op1_embedding_dedup": embedding_dedup.SQL,
     "op2_url_filters": url_filter.SQL,
     "op6_substring_dedup": substring_dedup.SQL,
+    "op7_decontamination": decontamination.SQL,
     "op8_minhash": minhash.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op10_suffix_dedup": suffix_dedup.SQL,
 }
