@@ -28,7 +28,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from demandspark.llm.common import table
+from demandspark.llm.common import releasing_cogroup, releasing_group, releasing_map, table
 
 #: Text bytes of one chunk.
 PACK_BYTES = 8 << 20
@@ -212,48 +212,61 @@ def _encode_shard(path: str):
     return run
 
 
-def _assemble(id_col: str, out_col: str):
-    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, all_tokens, all_ends, at_all = [], [], [np.zeros(1, np.int64)], 0
-        replies = {s.as_py(): p for s, p in zip(answers.column("shard"), answers.column("payload"))}
-        for kind, payload in zip(chunks.column("kind"), chunks.column("payload")):
-            if kind.as_py() != 0:
-                continue
-            id_blob, lengths, places, shard = _unpacked(payload.as_py())
-            ids.append(pa.ipc.open_stream(id_blob).read_all().column("id"))
-            lengths, places, shard = _numbers(lengths).astype(np.int64), _numbers(places), _numbers(shard)
-            counts, starts = np.zeros(len(shard), np.int64), np.zeros(len(shard), np.int64)
-            flat, at = [], 0
-            for s in np.unique(shard).tolist():
-                if s not in replies:
-                    raise ValueError(f"no answer of shard {s}: the chunk was recomputed from other rows")
-                sizes, tokens = map(_numbers, _unpacked(replies[s].as_py()))
-                mine = np.flatnonzero(shard == s)
-                counts[mine] = sizes
-                starts[mine] = at + np.cumsum(sizes, dtype=np.int64) - sizes
-                flat.append(tokens)
-                at += len(tokens)
-            flat = np.concatenate(flat) if flat else np.empty(0, np.uint32)
-            # Position by position: the ids of its pre-token.
-            n = counts[places]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            source = np.repeat(starts[places] - (ends - n), n) + np.arange(total)
-            all_tokens.append(flat[source].astype(np.int32))
-            bounds = np.concatenate([[0], ends])[np.cumsum(lengths)]
-            all_ends.append(at_all + bounds)
-            at_all += total
-        if not ids:
-            return None
-        offsets = pa.array(np.concatenate(all_ends).astype(np.int64), pa.int64())
-        tokens = pa.LargeListArray.from_arrays(offsets, pa.array(np.concatenate(all_tokens), pa.int32()))
-        return pa.table({id_col: pa.chunked_array([c for x in ids for c in x.chunks]).combine_chunks(), out_col: tokens.cast(pa.list_(pa.int32()))})
-
-    def whole(chunks: pa.Table, answers: pa.Table, empty) -> pa.Table:
-        out = run(chunks, answers)
-        return empty if out is None else out
-
-    return whole
+def _token_lists(chunks: pa.Table, answers: pa.Table) -> Iterator[tuple[object, np.ndarray]]:
+    """(id, token ids) of every document of a chunk: each position gets the ids of its pre-token."""
+    replies = {s.as_py(): p for s, p in zip(answers.column("shard"), answers.column("payload"))}
+    for kind, payload in zip(chunks.column("kind"), chunks.column("payload")):
+        if kind.as_py() != 0:
+            continue
+        id_blob, lengths, places, shard = _unpacked(payload.as_py())
+        ids = pa.ipc.open_stream(id_blob).read_all().column("id").to_pylist()
+        ends, places, shard = np.cumsum(_numbers(lengths), dtype=np.int64), _numbers(places), _numbers(shard)
+        counts, starts = np.zeros(len(shard), np.int64), np.zeros(len(shard), np.int64)
+        flat, at = [np.empty(0, np.uint32)], 0
+        for s in np.unique(shard).tolist():
+            if s not in replies:
+                raise ValueError(f"no answer of shard {s}: the chunk was recomputed from other rows")
+            sizes, tokens = map(_numbers, _unpacked(replies[s].as_py()))
+            mine = np.flatnonzero(shard == s)
+            counts[mine] = sizes
+            starts[mine] = at + np.cumsum(sizes, dtype=np.int64) - sizes
+            flat.append(tokens)
+            at += len(tokens)
+        flat = np.concatenate(flat)
+        for i, a, b in zip(ids, [0, *ends.tolist()], ends.tolist()):
+            n = counts[places[a:b]]
+            stop = np.cumsum(n)
+            source = np.repeat(starts[places[a:b]] - (stop - n), n)
+            yield i, flat[source + np.arange(len(source))]
+
+
+def _tables(kind: pa.DataType):
+    """What is done with the token lists of a chunk: the ids themselves, or their round trip."""
+
+    def ids_of(found) -> pa.Table:
+        found = list(found)
+        lists = pa.array([x.astype(np.int32) for _, x in found], pa.list_(pa.int32()))
+        return pa.table({"id": pa.array([i for i, _ in found], kind), "ids": lists})
+
+    def digests_of(found, pieces: list[bytes]) -> pa.Table:
+        rows = [(i, len(x), *digests(x, pieces)) for i, x in found]
+        ids, n, sums, texts = zip(*rows) if rows else ((), (), (), ())
+        return pa.table(
+            {
+                "id": pa.array(ids, kind),
+                "n_tokens": pa.array(n, pa.int64()),
+                "ids_sha256": pa.array(sums, pa.string()),
+                "decoded_sha256": pa.array(texts, pa.string()),
+            }
+        )
+
+    return ids_of, digests_of
+
+
+def digests(ids: np.ndarray, pieces: list[bytes]) -> tuple[str, str]:
+    """sha256 of the ids as little-endian 32-bit numbers, and of the bytes they decode to."""
+    decoded = hashlib.sha256(decode_ids(ids, pieces)).hexdigest()
+    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), decoded
 
 
 def encode(
@@ -269,23 +282,35 @@ def encode(
     One row for each input row, repeated and null ids included; a null text is
     an empty one. Other columns are left out; join them by id.
     """
+    return _encoded(docs, id_col, text_col, path, pack_bytes, False).select(
+        F.col("id").alias(id_col), F.col("ids").alias(out_col)
+    )
+
+
+def round_trip(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pack_bytes: int = PACK_BYTES
+) -> DataFrame:
+    """(id_col, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, and decoded again where it was put together."""
+    return _encoded(docs, id_col, text_col, path, pack_bytes, True).withColumnRenamed("id", id_col)
+
+
+def _encoded(docs: DataFrame, id_col: str, text_col: str, path: str | None, pack_bytes: int, decoded: bool) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_type
+
     path = path or default_path()
-    spark = docs.sparkSession
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    cut = slim.mapInArrow(_cutter("id", "text", shards, pack_bytes), _EXCHANGE)
-    answers = cut.groupBy("key").applyInArrow(_encode_shard(path), "key string, shard int, payload binary")
     kind = slim.schema["id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow_kind, assemble = to_arrow_type(kind), _assemble("id", "ids")
+    ids_of, digests_of = _tables(to_arrow_type(kind))
 
     def put(chunks: pa.Table, replies: pa.Table) -> pa.Table:
-        empty = pa.table({"id": pa.array([], arrow_kind), "ids": pa.array([], pa.list_(pa.int32()))})
-        return assemble(chunks, replies, empty)
+        found = _token_lists(chunks, replies)
+        return digests_of(found, token_bytes(path)) if decoded else ids_of(found)
 
-    out = cut.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(put, f"id {kind.simpleString()}, ids array<int>")
-    return out.select(F.col("id").alias(id_col), F.col("ids").alias(out_col))
+    cut = slim.mapInArrow(releasing_map(_cutter("id", "text", shards, pack_bytes)), _EXCHANGE)
+    answers = cut.groupBy("key").applyInArrow(releasing_group(_encode_shard(path)), "key string, shard int, payload binary")
+    made = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if decoded else "ids array<int>"
+    return cut.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(releasing_cogroup(put), f"id {kind.simpleString()}, {made}")
 
 
 def decode_ids(ids: np.ndarray, pieces: list[bytes]) -> bytes:
@@ -320,6 +345,4 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs))
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))

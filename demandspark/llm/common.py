@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -90,3 +91,44 @@ def in_pieces(rows: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[
 def with_field(schema: StructType, name: str, kind: str) -> StructType:
     """A schema with one more field of a type in DDL."""
     return StructType([*schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields])
+
+
+# -- memory of Python workers -----------------------------------------------------------
+def release_memory() -> None:
+    """Gives freed memory back to the system: a worker serves later stages as well."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing_map(run):
+    """A mapInArrow function that releases memory when its task ends."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return mapped
+
+
+def releasing_group(run):
+    """The same for applyInArrow, after each group."""
+
+    def grouped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        release_memory()
+        return out
+
+    return grouped
+
+
+def releasing_cogroup(run):
+    """The same for cogrouped tables."""
+
+    def cogrouped(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        release_memory()
+        return out
+
+    return cogrouped

@@ -24,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from demandspark.llm.bpe import _ranks, default_path
-from demandspark.llm.common import in_pieces, table
+from demandspark.llm.common import in_pieces, releasing_map, table
 
-#: Pieces of up to eight bytes are used; single bytes are all among them.
-LONGEST = 8
+#: Pieces of up to six bytes are used; single bytes are all among them.
+LONGEST = 6
 #: A longer run of bytes without white space is cut into parts of this length.
 WORD_BYTES = 64
+#: Text taken up at once.
+PIECE_BYTES = 2 << 20
 #: Different words of a task that are scored at once, then forgotten.
-WORDS_AT_ONCE = 200_000
+WORDS_AT_ONCE = 250_000
 #: Expected counts are summed as whole multiples of this.
 GRAIN = 1 << 16
 UNKNOWN = "und"
@@ -46,7 +48,7 @@ class LanguageRules:
 
 
 class Pieces:
-    """The vocabulary by length: sorted keys of up to eight bytes, and their ids."""
+    """The vocabulary by length: sorted keys of up to six bytes, and their ids."""
 
     def __init__(self, path: str) -> None:
         known = sorted(p for p in _ranks(path) if len(p) <= LONGEST)
@@ -166,7 +168,7 @@ def _trainer(path: str, languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         counts = np.zeros((WORDS_AT_ONCE, len(languages)))
-        for batch in in_pieces(batches):
+        for batch in in_pieces(batches, PIECE_BYTES):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 words = words_of(text)
                 if not words:
@@ -210,7 +212,7 @@ def train(
     size = pieces(path).size
     counts = np.zeros((size + 1, len(languages)))
     if languages:
-        summed = slim.mapInArrow(_trainer(path, languages), "language int, piece int, n bigint").groupBy("language", "piece").agg(F.sum("n").alias("n"))
+        summed = slim.mapInArrow(releasing_map(_trainer(path, languages)), "language int, piece int, n bigint").groupBy("language", "piece").agg(F.sum("n").alias("n"))
         for language, piece, n in summed.toLocalIterator():
             counts[piece, language] = n / GRAIN
     model = counts + rules.smoothing
@@ -226,7 +228,7 @@ def _predictor(shared, columns: list[str]):
         vocabulary = pieces(model.path)
         seen: dict[bytes, int] = {}
         scores = np.empty((0, len(model.languages)))
-        for batch in in_pieces(batches):
+        for batch in in_pieces(batches, PIECE_BYTES):
             texts, letters = batch.column("__text").to_pylist(), batch.column("__letters").to_pylist()
             found = [words_of(t) if l else [] for t, l in zip(texts, letters)]
             fresh = list(dict.fromkeys(w for words in found for w in words if w not in seen))
@@ -269,7 +271,7 @@ def predict(
     given = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("__text"), letters.alias("__letters"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*[given.schema[c] for c in keep], *StructType.fromDDL("__name string, __sure double").fields])
-    out = given.mapInArrow(_predictor(shared, keep), schema)
+    out = given.mapInArrow(releasing_map(_predictor(shared, keep)), schema)
     return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__name").alias(name_col), F.col("__sure").alias(score_col))
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from demandspark.llm.common import LOWER, byte_views, in_pieces, table, window_hashes, word_hashes
+from demandspark.llm.common import LOWER, byte_views, in_pieces, releasing_group, releasing_map, table, window_hashes, word_hashes
 from demandspark.llm.components import components
 from demandspark.session import stage
 
@@ -228,7 +228,7 @@ def near_groups(
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = slim.schema["id"].dataType
     name = kind.simpleString()
-    features = stage(slim.mapInArrow(_features(rules), f"id {name}, n bigint, digest binary, bands array<bigint>"))
+    features = stage(slim.mapInArrow(releasing_map(_features(rules)), f"id {name}, n bigint, digest binary, bands array<bigint>"))
     full = features.where("digest is not null and id is not null")
 
     # One node for each set.
@@ -255,7 +255,7 @@ def near_groups(
     side = F.broadcast(members) if n_members <= rules.broadcast_members else members
     texts = slim.where("text is not null").join(side, "id")
     signed = texts.select("id", "text", "cluster", "blocks", "block").mapInArrow(
-        _sets(rules), f"id {name}, cluster {name}, blocks int, block int, signature binary, shingles binary"
+        releasing_map(_sets(rules)), f"id {name}, cluster {name}, blocks int, block int, signature binary, shingles binary"
     )
     packs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_members // 2000)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -269,7 +269,7 @@ def near_groups(
         .otherwise(F.concat_ws("/", F.col("cluster").cast("string"), F.least("block", "other"), F.greatest("block", "other")))
         .alias("task"),
     )
-    links = paired.groupBy("task").applyInArrow(_verify(rules, to_arrow_type(kind)), f"u {name}, v {name}")
+    links = paired.groupBy("task").applyInArrow(releasing_group(_verify(rules, to_arrow_type(kind))), f"u {name}, v {name}")
 
     groups = stage(components(links).select(F.col("node"), F.col("component")))
     named = stage(placed.select("id", "node").distinct()).join(groups, "node", "left")

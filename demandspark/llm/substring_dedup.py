@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from demandspark.llm import chunks as C
-from demandspark.llm.common import MIX2, chunk_count, mixed, table, window_hashes, word_hashes
+from demandspark.llm.common import MIX2, chunk_count, mixed, releasing_cogroup, releasing_group, releasing_map, table, window_hashes, word_hashes
 
 WINDOW = 13
 #: Counters of a sketch row in one shard; a shard gets the windows of about 16 MB of text.
@@ -233,14 +233,14 @@ def drop_repeated_windows(
     """
     shards = max(8, chunk_count(docs, text_col, SHARD_BYTES))
     slim = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    cut = slim.mapInArrow(C.cutter(_sketch(shards, width), pack_bytes), C.EXCHANGE)
+    cut = slim.mapInArrow(releasing_map(C.cutter(_sketch(shards, width), pack_bytes)), C.EXCHANGE)
     whole = cut.groupBy("key")
-    sketched = whole.applyInArrow(C.answer(C.ASK, C.REPLY, _merge), C.EXCHANGE)
-    asked = cut.groupBy("key").cogroup(sketched.groupBy("key")).applyInArrow(_ask_exact(shards, width), C.EXCHANGE)
-    exact = asked.groupBy("key").applyInArrow(C.answer(C.ASK_EXACT, C.REPLY_EXACT, _group), C.EXCHANGE)
+    sketched = whole.applyInArrow(releasing_group(C.answer(C.ASK, C.REPLY, _merge)), C.EXCHANGE)
+    asked = cut.groupBy("key").cogroup(sketched.groupBy("key")).applyInArrow(releasing_cogroup(_ask_exact(shards, width)), C.EXCHANGE)
+    exact = asked.groupBy("key").applyInArrow(releasing_group(C.answer(C.ASK_EXACT, C.REPLY_EXACT, _group)), C.EXCHANGE)
     both = sketched.unionByName(exact)
     out = cut.groupBy("key").cogroup(both.groupBy("key")).applyInArrow(
-        _remove(shards, width), "id bigint, n_words bigint, n_removed bigint, kept string"
+        releasing_cogroup(_remove(shards, width)), "id bigint, n_words bigint, n_removed bigint, kept string"
     )
     return out.withColumnRenamed("id", id_col)
 
