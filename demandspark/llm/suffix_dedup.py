@@ -5,8 +5,9 @@
    send the hashes of their anchors to shards and learn which of them occur
    twice. A window whose anchor occurs once is unique and needs no suffixes.
 2. Reads. A repeated anchor gives one read, the bytes of all windows that hold
-   it (168 at most). Equal reads of a chunk are one read, the earliest; the
-   later ones are repeats as a whole. Reads go to the bucket of their anchor.
+   it (168 at most). Equal reads are one, the earliest, in a chunk and again in
+   its bucket; later ones are repeats as a whole. Reads go to the bucket of
+   their anchor, and an anchor with one read left has nothing to compare.
 3. Merge. In a bucket the reads of each source make a multi-string BWT. Its
    symbols are strings of ten bytes, so that ten refinements reach 100 bytes.
    The transforms are merged by refining their interleave: each round reads the
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from demandspark.llm import chunks as C
-from demandspark.llm.common import MIX, chunk_count, mixed, table
+from demandspark.llm.common import MIX, chunk_count, mixed, releasing_cogroup, releasing_group, releasing_map, table
 from demandspark.llm.substring_dedup import covered
 
 WIDTH = 100
@@ -41,20 +42,31 @@ SPREAD = WIDTH - GRAM + 1
 #: Text of one shard of anchors or bucket of reads.
 SHARD_BYTES = 16 << 20
 #: Reads merged at once (an anchor's reads stay together), and transforms of one merge.
-MERGE_READS = 1000
-TRANSFORMS = 8
-#: Text for which anchors are found at once.
-PIECE_BYTES = 1 << 20
+MERGE_READS = 500
+TRANSFORMS = 4
+#: Text for which anchors are found at once, in the processor's cache.
+PIECE_BYTES = 1 << 17
+FACTORS = np.array([0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
 def gram_hashes(text: np.ndarray) -> np.ndarray:
-    """Hash of every 32 consecutive bytes, never zero."""
-    h = mixed(text.astype(np.uint64) + MIX)
-    width = 1
-    while width < GRAM:
-        h = h[:-width] * (MIX + np.uint64(2 * width)) + h[width:]
-        width *= 2
-    return mixed(h) | np.uint64(1)
+    """Hash of every 32 consecutive bytes, never zero.
+
+    Different strings with one hash only make more reads, never a wrong repeat.
+    """
+    n = len(text)
+    words = np.empty(n - 7, np.uint64)  # eight bytes at every place
+    for r in range(min(8, len(words))):
+        words[r::8] = text[r : r + (n - r) // 8 * 8].view("<u8")
+    words *= MIX
+    words ^= words >> np.uint64(32)
+    m = n - GRAM + 1
+    h = words[:m] * FACTORS[0]
+    for k in (1, 2, 3):
+        h += words[8 * k : 8 * k + m] * FACTORS[k]
+    h ^= h >> np.uint64(32)
+    h *= MIX
+    return h | np.uint64(1)
 
 
 def _sliding(a: np.ndarray, width: int, pick) -> np.ndarray:
@@ -201,7 +213,7 @@ def _ask_reads(shards: int):
 # -- transforms and their merge -----------------------------------------------------------
 def _order(symbols: np.ndarray, most: int) -> np.ndarray:
     """Stable order of symbols up to `most`, by digits of 16 bits."""
-    order = np.argsort(symbols.astype(np.uint16), kind="stable")
+    order = np.argsort(symbols.astype(np.uint16, copy=False), kind="stable")
     if most > 0xFFFF:
         order = order[np.argsort((symbols >> 16).astype(np.uint16)[order], kind="stable")]
     return order
@@ -247,7 +259,7 @@ class Strings:
         """(suffix array, BWT): all nodes by their suffix, and the symbol before each."""
         _, rank = np.unique(self.symbol, return_inverse=True)
         jump, depth = self.next, 1
-        while depth < 32:  # a read has at most 17 symbols
+        while depth < 16:  # a read has at most 16 symbols before its end
             _, rank = np.unique(rank * np.int64(self.total + 1) + rank[jump], return_inverse=True)
             jump = jump[jump]
             depth *= 2
@@ -258,9 +270,11 @@ class Strings:
 
 def merge_transforms(bwts: list[np.ndarray], rounds: int) -> np.ndarray:
     """Interleave of the transforms: the source of every row, ordered by `rounds` symbols."""
-    source = np.repeat(np.arange(len(bwts)), [len(b) for b in bwts]).astype(np.uint16)
+    kind = np.uint8 if len(bwts) < 256 else np.uint16
+    source = np.repeat(np.arange(len(bwts), dtype=kind), [len(b) for b in bwts])
     every = np.concatenate(bwts)
     most = int(every.max()) if len(every) else 0
+    every = every.astype(np.uint16 if most <= 0xFFFF else np.uint32)
     symbols = np.empty_like(every)
     for _ in range(rounds):
         symbols[np.argsort(source, kind="stable")] = every
@@ -327,6 +341,18 @@ def _merge_bucket(bodies: list[bytes]) -> list[bytes]:
     del texts
     lengths, offsets, ids, places, group = map(np.concatenate, (lengths, offsets, ids, places, group))
     starts = np.cumsum(lengths) - lengths
+    # Equal reads are one: the earliest goes on, later ones are repeats as a whole.
+    blob, seen = text.tobytes(), {}
+    entry = np.fromiter(
+        (seen.setdefault((o, blob[a : a + n]), len(seen)) for a, n, o in zip(starts.tolist(), lengths.tolist(), offsets.tolist())),
+        np.int64,
+        len(starts),
+    )
+    del blob, seen
+    order = np.lexsort((places, ids, entry))
+    own = order[np.flatnonzero(np.diff(entry[order], prepend=-1))]
+    every, twin = (lengths, ids, places), own[entry]
+    starts, lengths, offsets, ids, places, group = (x[own] for x in (starts, lengths, offsets, ids, places, group))
     grams = np.lib.stride_tricks.sliding_window_view(text, GRAM)[starts + offsets]
     key = np.zeros(len(starts), np.uint64)
     for k in range(0, GRAM, 8):
@@ -334,6 +360,10 @@ def _merge_bucket(bodies: list[bytes]) -> list[bytes]:
     order = np.argsort(key, kind="stable")
     mask = np.zeros((len(starts), SPREAD), bool)
     cuts = np.flatnonzero(np.concatenate([[True], np.diff(key[order].astype(np.uint64)) != 0, [True]]))
+    # An anchor with one read has nothing to compare; the reads of another stay together.
+    sizes = np.diff(cuts)
+    order = order[np.repeat(sizes > 1, sizes)]
+    cuts = np.concatenate([[0], np.cumsum(sizes[sizes > 1])])
     at = 0
     while at < len(cuts) - 1:
         end = at + 1
@@ -347,7 +377,11 @@ def _merge_bucket(bodies: list[bytes]) -> list[bytes]:
         _, source = np.unique(group[mine], return_inverse=True)
         mask[mine] = repeated_windows(part, np.cumsum(n) - n, n, source % TRANSFORMS, ids[mine], places[mine])
         at = end
-    return [C.packed(C.bits(m.ravel()), level=1) for m in np.split(mask, np.cumsum(counts)[:-1])]
+    mask = mask[entry]
+    n, doc, place = every
+    later = (doc != doc[twin]) | (place != place[twin])
+    mask[later] = np.arange(SPREAD) <= (n[later] - WIDTH)[:, None]
+    return [C.bits(m.ravel()) for m in np.split(mask, np.cumsum(counts)[:-1])]
 
 
 def _remove(shards: int):
@@ -364,7 +398,7 @@ def _remove(shards: int):
                 if len(mine):
                     if s not in masks:
                         raise C.missing(s)
-                    mask[mine] = C.flags(C.unpacked(masks[s])[0], len(mine) * SPREAD).reshape(-1, SPREAD)
+                    mask[mine] = C.flags(masks[s], len(mine) * SPREAD).reshape(-1, SPREAD)
             first_row, inner = np.nonzero(mask)
             starts = [r.start[r.first[first_row]] + inner]
             copies = np.ones(len(r.entry), bool)
@@ -414,13 +448,13 @@ def drop_repeated_bytes(
     """
     shards = max(8, chunk_count(docs, text_col, SHARD_BYTES))
     slim = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    cut = slim.mapInArrow(C.cutter(_ask_anchors(shards), pack_bytes), C.EXCHANGE)
-    counted = cut.groupBy("key").applyInArrow(C.answer(C.ASK, C.REPLY, _count_anchors), C.EXCHANGE)
-    asked = cut.groupBy("key").cogroup(counted.groupBy("key")).applyInArrow(_ask_reads(shards), C.EXCHANGE)
-    merged = asked.groupBy("key").applyInArrow(C.answer(C.ASK_EXACT, C.REPLY_EXACT, _merge_bucket), C.EXCHANGE)
+    cut = slim.mapInArrow(releasing_map(C.cutter(_ask_anchors(shards), pack_bytes)), C.EXCHANGE)
+    counted = cut.groupBy("key").applyInArrow(releasing_group(C.answer(C.ASK, C.REPLY, _count_anchors)), C.EXCHANGE)
+    asked = cut.groupBy("key").cogroup(counted.groupBy("key")).applyInArrow(releasing_cogroup(_ask_reads(shards)), C.EXCHANGE)
+    merged = asked.groupBy("key").applyInArrow(releasing_group(C.answer(C.ASK_EXACT, C.REPLY_EXACT, _merge_bucket)), C.EXCHANGE)
     both = counted.unionByName(merged)
     out = cut.groupBy("key").cogroup(both.groupBy("key")).applyInArrow(
-        _remove(shards), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+        releasing_cogroup(_remove(shards)), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     )
     return out.withColumnRenamed("id", id_col)
 
@@ -429,3 +463,27 @@ def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = drop_repeated_bytes(docs)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as two hexadecimal digits each, so that text functions count bytes.
+SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (
+  SELECT doc_id, p, substr(x, 2 * p + 1, 200) AS s FROM h, unnest(range(0, len(x) // 2 - 99)) r(p) WHERE len(x) >= 200),
+low AS (SELECT s, min(struct_pack(d := doc_id, p := p)) AS first FROM win GROUP BY s),
+late AS (
+  SELECT doc_id, w.p, w.p - lag(w.p) OVER (PARTITION BY doc_id ORDER BY w.p) AS step
+  FROM win w JOIN low USING (s) WHERE first < struct_pack(d := doc_id, p := w.p)),
+runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (
+    SELECT *, sum(CASE WHEN step <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM late) GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM runs),
+kept AS (
+  SELECT doc_id, count(*) AS n, sum(b - a) AS gone, max(b) AS stop,
+    string_agg(substr((SELECT x FROM h WHERE h.doc_id = g.doc_id), 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS x
+  FROM gaps g GROUP BY doc_id)
+SELECT h.doc_id, CAST(len(h.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(k.x, '') || substr(h.x, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN kept k ON k.doc_id = h.doc_id
+"""
