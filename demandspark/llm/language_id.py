@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, functions as F
 from demandspark.llm.bpe import _ranks, default_path
 from demandspark.llm.common import in_pieces, releasing_map, table
 
-#: Pieces of up to six bytes are used; single bytes are all among them.
-LONGEST = 6
 #: A longer run of bytes without white space is cut into parts of this length.
 WORD_BYTES = 64
+#: All pieces that a word can hold are used; single bytes are all among them.
+LONGEST = WORD_BYTES
 #: Text taken up at once.
 PIECE_BYTES = 2 << 20
 #: Different words of a task that are scored at once, then forgotten.
@@ -48,44 +48,50 @@ class LanguageRules:
 
 
 class Pieces:
-    """The vocabulary by length: sorted keys of up to six bytes, and their ids."""
+    """The vocabulary as a tree of bytes: nodes with children first, each with a row of 256 nodes."""
 
     def __init__(self, path: str) -> None:
         known = sorted(p for p in _ranks(path) if len(p) <= LONGEST)
         self.size = len(known)
-        self.keys, self.ids = [None], [None]
-        for n in range(1, LONGEST + 1):
-            mine = [(int.from_bytes(p, "little"), i) for i, p in enumerate(known) if len(p) == n]
-            mine.sort()
-            self.keys.append(np.array([k for k, _ in mine], np.uint64))
-            self.ids.append(np.array([i for _, i in mine], np.int32))
-        self.short = []
-        for n in (1, 2):
-            table = np.full(256**n, self.size, np.int32)
-            table[self.keys[n].astype(np.int64)] = self.ids[n]
-            self.short.append(table)
-
-    def find(self, eight: np.ndarray, n: int) -> np.ndarray:
-        """Ids of the first n of eight bytes; `size` where they are no piece."""
-        key = eight & np.uint64((1 << 8 * n) - 1) if n < 8 else eight
-        if n <= 2:
-            return self.short[n - 1][key.astype(np.int64)]
-        keys, ids = self.keys[n], self.ids[n]
-        if not len(keys):
-            return np.full(len(key), self.size, np.int32)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where(keys[at] == key, ids[at], np.int32(self.size))
-
-    def lattice(self, words: list[bytes]) -> list[list[np.ndarray]]:
-        """For words of one length: ids of the piece from i of n bytes, at [i][n - 1]."""
-        length = len(words[0])
-        padded = np.zeros((len(words), length + 8), np.uint8)
-        padded[:, :length] = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), length)
-        out = []
-        for i in range(length):
-            eight = np.ascontiguousarray(padded[:, i : i + 8]).view("<u8").ravel()
-            out.append([self.find(eight, n) for n in range(1, min(LONGEST, length - i) + 1)])
-        return out
+        nodes = sorted({p[:n] for p in known for n in range(len(p) + 1)})
+        inner = {p[:-1] for p in nodes if p}
+        nodes.sort(key=lambda p: p not in inner)
+        number = {p: i for i, p in enumerate(nodes)}
+        self.inner = len(inner)
+        self.child = np.full(self.inner * 256, -1, np.int32)
+        for p, i in number.items():
+            if p:
+                self.child[number[p[:-1]] * 256 + p[-1]] = i
+        self.piece = np.full(len(nodes), self.size, np.int32)
+        self.piece[[number[p] for p in known]] = np.arange(self.size)
+
+    def lattice(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For n words of one length: (from, to, piece, cuts) of all pieces in them.
+
+        `from` and `to` are byte * n + word, in the order of `from`; those from
+        byte i are cuts[i] to cuts[i + 1].
+        """
+        length, n = len(words[0]), len(words)
+        text = np.ascontiguousarray(np.frombuffer(b"".join(words), np.uint8).reshape(n, length).T).ravel()
+        at, node = np.arange(length * n, dtype=np.int32), self.child[text]
+        begin, end, piece = [], [], []
+        for depth in range(1, length + 1):
+            ids = self.piece[node]
+            is_piece = ids < self.size
+            begin.append(at[is_piece])
+            end.append(begin[-1] + depth * n)
+            piece.append(ids[is_piece])
+            goes_on = node < self.inner
+            goes_on[np.searchsorted(at, (length - depth) * n) :] = False
+            at, node = at[goes_on], node[goes_on]
+            node = self.child[node * 256 + text[at + depth * n]]
+            at, node = at[node >= 0], node[node >= 0]
+            if not len(at):
+                break
+        begin, end, piece = map(np.concatenate, (begin, end, piece))
+        order = np.argsort(begin, kind="stable")
+        begin = begin[order]
+        return begin, end[order], piece[order], np.searchsorted(begin, np.arange(length + 1) * n)
 
 
 @functools.cache
@@ -116,40 +122,38 @@ def expected_counts(words: list[bytes], counts: np.ndarray, vocabulary: Pieces)
 
     All pieces are equally likely. Rounded word by word, so sums are exact.
     """
-    total = np.zeros((counts.shape[1], vocabulary.size + 1))
-    weight = np.full(vocabulary.size + 1, 1 / 256)
-    weight[-1] = 0
+    total = np.zeros((counts.shape[1], vocabulary.size))
+    weight = 1 / 256
     for at, part in _by_length(words):
         length, n = len(part[0]), len(part)
-        lattice = vocabulary.lattice(part)
-        fore, back = np.zeros((length + 1, n)), np.zeros((length + 1, n))
-        fore[0], back[length] = 1, 1
+        begin, end, piece, cuts = vocabulary.lattice(part)
+        fore, back = np.zeros((length + 1) * n), np.zeros((length + 1) * n)
+        fore[:n], back[length * n :] = 1, 1
         for i in range(length):
-            for k, ids in enumerate(lattice[i]):
-                fore[i + k + 1] += fore[i] * weight[ids]
+            mine = slice(cuts[i], cuts[i + 1])
+            fore[end[mine]] += fore[begin[mine]] * weight
         for i in range(length - 1, -1, -1):
-            for k, ids in enumerate(lattice[i]):
-                back[i] += back[i + k + 1] * weight[ids]
-        for i in range(length):
-            for k, ids in enumerate(lattice[i]):
-                share = np.rint(fore[i] * weight[ids] * back[i + k + 1] / fore[length] * GRAIN)
-                for language in range(counts.shape[1]):
-                    total[language] += np.bincount(ids, share * counts[at, language], vocabulary.size + 1)
-    return total[:, :-1]
+            mine = slice(cuts[i], cuts[i + 1])
+            back[i * n : (i + 1) * n] = np.bincount(begin[mine] - i * n, back[end[mine]] * weight, n)
+        word = begin % n
+        share = np.rint(fore[begin] * weight * back[end] / fore[length * n + word] * GRAIN)
+        for language in range(counts.shape[1]):
+            total[language] += np.bincount(piece, share * counts[at[word], language], vocabulary.size)
+    return total
 
 
 def word_scores(words: list[bytes], model: np.ndarray, vocabulary: Pieces) -> np.ndarray:
     """(words, languages): log of the sum over all segmentations. model: (pieces + 1, languages), last row zero."""
     out = np.empty((len(words), model.shape[1]))
     for at, part in _by_length(words):
-        length = len(part[0])
-        lattice = vocabulary.lattice(part)
-        fore = np.zeros((length + 1, len(part), model.shape[1]))
-        fore[0] = 1
+        length, n = len(part[0]), len(part)
+        begin, end, piece, cuts = vocabulary.lattice(part)
+        fore = np.zeros(((length + 1) * n, model.shape[1]))
+        fore[:n] = 1
         for i in range(length):
-            for k, ids in enumerate(lattice[i]):
-                fore[i + k + 1] += fore[i] * model[ids]
-        out[at] = np.log(fore[length])
+            mine = slice(cuts[i], cuts[i + 1])
+            fore[end[mine]] += fore[begin[mine]] * model[piece[mine]]
+        out[at] = np.log(fore[length * n :])
     return out
 
 

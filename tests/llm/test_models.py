@@ -120,6 +120,26 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(sum(len(p) * counts[i] for p, i in number.items()), sum(map(len, words)), rtol=1e-3)
 
 
+def test_forward_sums_use_the_whole_vocabulary():
+    path = bpe.default_path()
+    v = G.pieces(path)
+    known = sorted(bpe._ranks(path))
+    assert v.size == len(known)
+    number = {p: i for i, p in enumerate(known)}
+    model = np.random.default_rng(1).random((v.size + 1, 2)) / 1000
+    model[-1] = 0
+
+    def ways(w):
+        return [[number[w[:n]], *rest] for n in range(1, len(w) + 1) if w[:n] in number for rest in ways(w[n:])] if w else [[]]
+
+    longest = max((p for p in known if p == p.lower() and len(set(p)) > 2 and len(p) < 16), key=len)
+    words = [b" government", b" information", longest, b" the", b" a"]
+    total = [sum(np.prod(model[x], axis=0) for x in ways(w)) for w in words]
+    assert np.allclose(G.word_scores(words, model, v), np.log(total))
+    counts = G.expected_counts(words, np.ones((len(words), 1)), v)[0] / G.GRAIN
+    assert all(counts[number[w]] > 0.9 for w in (b" government", b" information", longest))
+
+
 def test_languages_learned_and_odd_texts(spark):
     docs = [(i, " ".join(["the house and the garden"] * 3), "en") for i in range(20)]
     docs += [(20 + i, " ".join(["das haus und der garten"] * 3), "de") for i in range(20)]
