@@ -36,6 +36,8 @@ PIECE_BYTES = 2 << 20
 WORDS_AT_ONCE = 250_000
 #: Expected counts are summed as whole multiples of this.
 GRAIN = 1 << 16
+#: A probability below this is summed again by its logarithms: a term lost to underflow is far too small for one above it.
+TINY = 1e-200
 UNKNOWN = "und"
 
 
@@ -153,10 +155,29 @@ def word_scores(words: list[bytes], model: np.ndarray, vocabulary: Pieces) -> np
         for i in range(length):
             mine = slice(cuts[i], cuts[i + 1])
             fore[end[mine]] += fore[begin[mine]] * model[piece[mine]]
-        out[at] = np.log(fore[length * n :])
+        total = fore[length * n :]
+        small = np.flatnonzero((total < TINY).any(1))
+        total[small] = 1
+        out[at] = np.log(total)
+        if len(small):
+            out[at[small]] = _log_scores([part[w] for w in small.tolist()], model, vocabulary)
     return out
 
 
+def _log_scores(words: list[bytes], model: np.ndarray, vocabulary: Pieces) -> np.ndarray:
+    """The same for words of one length, by sums of logarithms, which cannot underflow."""
+    length, n = len(words[0]), len(words)
+    begin, end, piece, cuts = vocabulary.lattice(words)
+    fore = np.full(((length + 1) * n, model.shape[1]), -np.inf)
+    fore[:n] = 0
+    with np.errstate(divide="ignore"):
+        for i in range(length):
+            mine = slice(cuts[i], cuts[i + 1])
+            # A word's pieces from one byte end at different bytes, so no place comes twice.
+            fore[end[mine]] = np.logaddexp(fore[end[mine]], fore[begin[mine]] + np.log(model[piece[mine]]))
+    return fore[length * n :]
+
+
 def _trainer(path: str, languages: list[str]):
     number = {x: i for i, x in enumerate(languages)}
 

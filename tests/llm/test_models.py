@@ -140,6 +140,30 @@ def test_forward_sums_use_the_whole_vocabulary():
     assert all(counts[number[w]] > 0.9 for w in (b" government", b" information", longest))
 
 
+def test_runs_that_no_language_has_seen_do_not_underflow(spark):
+    path = bpe.default_path()
+    v = G.pieces(path)
+    model = np.full((v.size + 1, 2), 0.05 / 1e9)
+    model[-1] = 0
+    known = {p: i for i, p in enumerate(sorted(bpe._ranks(path)))}
+    model[known[b" the"], 0] = model[known[b" das"], 1] = 0.3
+    run = "\u2550\U0001f642" * 9 + "\u2550"
+    word = run.encode()[:64]
+    scores = G.word_scores([word, word[:8]], model, v)
+    assert np.isfinite(scores).all() and (scores[0] < np.log(1e-300)).all()
+    far = [0.0] + [-np.inf] * len(word)
+    for e in range(1, len(word) + 1):
+        for b in range(e):
+            if word[b:e] in known:
+                far[e] = np.logaddexp(far[e], far[b] + np.log(0.05 / 1e9))
+    assert np.allclose(scores[0], far[-1], rtol=1e-12)
+    learned = G.LanguageModel(["de", "en"], model[:, ::-1].copy(), np.log([0.5, 0.5]), path)
+    rows = [(1, "das das " + run * 4), (2, "the the " + run * 4), (3, "x " + run * 4)]
+    got = {r.doc_id: r for r in G.predict(spark.createDataFrame(rows, "doc_id bigint, text string"), learned).collect()}
+    assert [got[i].lang_pred for i in (1, 2)] == ["de", "en"]
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[1].score > 0.99 and abs(got[3].score - 0.5) < 1e-6
+
+
 def test_languages_learned_and_odd_texts(spark):
     docs = [(i, " ".join(["the house and the garden"] * 3), "en") for i in range(20)]
     docs += [(20 + i, " ".join(["das haus und der garten"] * 3), "de") for i in range(20)]
