@@ -15,6 +15,10 @@
    sources by a stable sort on them. The suffixes themselves are not sorted
    again. Neighbours in the merged order give the common prefixes; runs of
    100 bytes or more are the repeated intervals.
+   An anchor with more than HOT_READS places in all (a common phrase with ever
+   new surroundings) has no reads. Its windows, the equal ones of a chunk as
+   one, go to the bucket of their own hash and meet there as bytes, so they
+   spread over all buckets.
 4. The smallest (document, start) of an interval stays, every other window of it
    is a repeat. Chunks get a mask for each read and drop the covered bytes.
 
@@ -41,6 +45,8 @@ STEP = 10
 SPREAD = WIDTH - GRAM + 1
 #: Text of one shard of anchors or bucket of reads.
 SHARD_BYTES = 16 << 20
+#: Places of one anchor up to which its reads stay together in one merge.
+HOT_READS = 4096
 #: Reads merged at once (an anchor's reads stay together), and transforms of one merge.
 MERGE_READS = 500
 TRANSFORMS = 4
@@ -134,36 +140,85 @@ def _ask_anchors(shards: int):
         for s in range(shards):
             mine = slice(a.cuts[s], a.cuts[s + 1])
             if mine.start < mine.stop:
-                yield s, C.packed(C.steps(keys[mine]), C.bits(a.times[mine] > 1), level=1)
+                yield s, C.packed(C.steps(keys[mine]), C.planes(a.times[mine].astype(np.uint32)), level=1)
 
     return ask
 
 
-def _count_anchors(bodies: list[bytes]) -> list[bytes]:
-    """Which anchors of each chunk occur twice or more in all chunks together."""
-    asked = []
-    for body in bodies:
-        keys, more = C.unpacked(body)
-        keys = C.from_steps(keys)
-        asked.append((keys, C.flags(more, len(keys))))
-    every = np.concatenate([k for k, _ in asked])
-    distinct, which = np.unique(every, return_inverse=True)
-    total = np.bincount(which, weights=np.concatenate([1 + m for _, m in asked]), minlength=len(distinct))
-    found = (total > 1)[which]
-    ends = np.cumsum([len(k) for k, _ in asked])
-    return [C.packed(C.bits(x), level=1) for x in np.split(found, ends[:-1])]
+def _count_anchors(hot_reads: int):
+    """Which anchors of each chunk occur twice or more, and more than `hot_reads` times, in all chunks together."""
+
+    def count(bodies: list[bytes]) -> list[bytes]:
+        asked = [C.unpacked(body) for body in bodies]
+        keys = [C.from_steps(k) for k, _ in asked]
+        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+        times = np.concatenate([C.numbers(t) for _, t in asked])
+        total = np.bincount(which, weights=times, minlength=len(distinct))[which]
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        return [C.packed(C.bits(x > 1), C.bits(x > hot_reads), level=1) for x in np.split(total, ends)]
+
+    return count
+
+
+def _window_hashes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(starts), np.uint64)
+    windows = np.lib.stride_tricks.sliding_window_view(text, WIDTH) if len(starts) else None
+    for at in range(0, len(starts), 1 << 16):
+        part, h = windows[starts[at : at + (1 << 16)]], out[at : at + (1 << 16)]
+        for k in [*range(0, WIDTH - 7, 8), WIDTH - 8]:
+            h[:] = mixed(h * MIX + np.ascontiguousarray(part[:, k : k + 8]).view("<u8").ravel())
+    return out
+
+
+class HotWindows:
+    """The windows that hold a hot anchor of a chunk; equal ones are one, the earliest."""
+
+    def __init__(self, a: Anchored, hot: np.ndarray, shards: int) -> None:
+        at = a.at[hot[a.which]]
+        doc = np.searchsorted(a.bounds, at, "right") - 1
+        low, high = np.maximum(at - SPREAD + 1, a.bounds[doc]), np.minimum(at, a.bounds[doc + 1] - WIDTH)
+        n = np.maximum(high - low + 1, 0)
+        self.start = np.unique(np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+        doc = np.searchsorted(a.bounds, self.start, "right") - 1
+        self.ids, self.places = a.ids[doc], self.start - a.bounds[doc]
+        h = _window_hashes(a.text, self.start)
+        order = np.lexsort((self.places, self.ids, h))
+        lead = np.maximum.accumulate(np.where(np.diff(h[order], prepend=h[order][:1] + np.uint64(1)) != 0, np.arange(len(h)), 0))
+        self.first = np.empty(len(h), np.int64)
+        self.first[order] = order[lead]
+        windows = np.lib.stride_tricks.sliding_window_view(a.text, WIDTH) if len(h) else None
+        others = np.flatnonzero(self.first != np.arange(len(h)))
+        for i in range(0, len(others), 1 << 16):  # other bytes with the same hash stand for themselves
+            mine = others[i : i + (1 << 16)]
+            unlike = mine[(windows[self.start[mine]] != windows[self.start[self.first[mine]]]).any(1)]
+            self.first[unlike] = unlike
+        self.sent = np.flatnonzero(self.first == np.arange(len(h)))
+        bucket = (mixed(h[self.sent]) % np.uint64(shards)).astype(np.int64)
+        self.by_bucket = self.sent[np.argsort(bucket, kind="stable")]
+        self.cuts = np.searchsorted(np.sort(bucket), np.arange(shards + 1))
+
+    def repeats(self, later: np.ndarray) -> np.ndarray:
+        """Starts of all windows that are repeats; later: which of the windows sent are (one flag for each window)."""
+        own = (self.ids == self.ids[self.first]) & (self.places == self.places[self.first])
+        return self.start[np.where(own, later[self.first], True)]
+
+
+def _replied(a: Anchored, replies: dict[int, bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors of a chunk are repeated and not hot, and which are hot."""
+    repeated, hot = np.zeros(len(a.keys), bool), np.zeros(len(a.keys), bool)
+    for s in range(shards):
+        if a.cuts[s] < a.cuts[s + 1]:
+            if s not in replies:
+                raise C.missing(s)
+            for out, x in zip((repeated, hot), C.unpacked(replies[s])):
+                out[a.cuts[s] : a.cuts[s + 1]] = C.flags(x, a.cuts[s + 1] - a.cuts[s])
+    return repeated & ~hot, hot
 
 
 class Reads:
-    """The reads of a chunk's repeated anchors; equal ones are one."""
+    """The reads of a chunk's repeated anchors that are not hot; equal ones are one."""
 
-    def __init__(self, a: Anchored, replies: dict[int, bytes], shards: int) -> None:
-        repeated = np.zeros(len(a.keys), bool)
-        for s in range(shards):
-            if a.cuts[s] < a.cuts[s + 1]:
-                if s not in replies:
-                    raise C.missing(s)
-                repeated[a.cuts[s] : a.cuts[s + 1]] = C.flags(C.unpacked(replies[s])[0], a.cuts[s + 1] - a.cuts[s])
+    def __init__(self, a: Anchored, repeated: np.ndarray, shards: int) -> None:
         chosen = np.flatnonzero(repeated[a.which])
         at = a.at[chosen]
         self.doc = np.searchsorted(a.bounds, at, "right") - 1
@@ -190,11 +245,14 @@ def _ask_reads(shards: int):
         found, replies = [], C.replies_of(right, C.REPLY)
         for key, _, blob in C.messages(left, C.CHUNK):
             a = Anchored(C.Docs.of(blob), shards)
-            r = Reads(a, replies, shards)
+            repeated, hot = _replied(a, replies, shards)
+            r, w = Reads(a, repeated, shards), HotWindows(a, hot, shards)
+            windows = np.lib.stride_tricks.sliding_window_view(a.text, WIDTH) if len(w.sent) else np.empty((0, WIDTH), np.uint8)
             ids, start = a.ids[r.doc[r.first]], (r.start - a.bounds[r.doc])[r.first]
             for s in range(shards):
                 mine = r.by_bucket[r.cuts[s] : r.cuts[s + 1]]
-                if not len(mine):
+                more = w.by_bucket[w.cuts[s] : w.cuts[s + 1]]
+                if not len(mine) and not len(more):
                     continue
                 texts = [r.texts[i] for i in mine.tolist()]
                 body = C.packed(
@@ -203,6 +261,9 @@ def _ask_reads(shards: int):
                     C.planes(r.offset[r.first[mine]].astype(np.uint32)),
                     C.planes(ids[mine].view(np.uint64), 8),
                     C.planes(start[mine].astype(np.uint64), 8),
+                    windows[w.start[more]].tobytes(),
+                    C.planes(w.ids[more].view(np.uint64), 8),
+                    C.planes(w.places[more].astype(np.uint64), 8),
                 )
                 found.append((f"x{s}", C.ASK_EXACT, s, C.packed(key.encode(), body, level=1)))
         return C.rows(found)
@@ -326,10 +387,31 @@ def repeated_windows(
 
 
 def _merge_bucket(bodies: list[bytes]) -> list[bytes]:
-    """The masks of all reads of a bucket, for each chunk in its order."""
+    """The masks of all reads of a bucket, and flags of its windows of hot anchors, for each chunk in its order."""
+    parts = [C.unpacked(body) for body in bodies]
+    later = _merge_windows([p[5:] for p in parts])
+    masks = _merge_reads([p[:5] for p in parts])
+    return [C.packed(C.bits(m.ravel()), C.bits(x), level=1) for m, x in zip(masks, later)]
+
+
+def _merge_windows(bodies: list[list[bytes]]) -> list[np.ndarray]:
+    """Which windows also start earlier, at a smaller (id, place)."""
+    seen: dict[bytes, int] = {}
+    entry = np.array([seen.setdefault(t[k : k + WIDTH], len(seen)) for t, _, _ in bodies for k in range(0, len(t), WIDTH)], np.int64)
+    ids = np.concatenate([C.numbers(d, 8).view(np.int64) for _, d, _ in bodies])
+    places = np.concatenate([C.numbers(p, 8).view(np.int64) for _, _, p in bodies])
+    order = np.lexsort((places, ids, entry))
+    first = order[np.flatnonzero(np.diff(entry[order], prepend=-1))][entry] if len(entry) else entry
+    later = (ids != ids[first]) | (places != places[first])
+    return np.split(later, np.cumsum([len(t) // WIDTH for t, _, _ in bodies])[:-1])
+
+
+def _merge_reads(bodies: list[list[bytes]]) -> list[np.ndarray]:
+    if not any(text for text, *_ in bodies):
+        return [np.zeros((0, SPREAD), bool) for _ in bodies]
     texts, lengths, offsets, ids, places, group, counts = [], [], [], [], [], [], []
     for i, body in enumerate(bodies):
-        text, n, o, d, p = C.unpacked(body)
+        text, n, o, d, p = body
         texts.append(text)
         lengths.append(C.numbers(n).astype(np.int64))
         offsets.append(C.numbers(o).astype(np.int64))
@@ -381,7 +463,7 @@ def _merge_bucket(bodies: list[bytes]) -> list[bytes]:
     n, doc, place = every
     later = (doc != doc[twin]) | (place != place[twin])
     mask[later] = np.arange(SPREAD) <= (n[later] - WIDTH)[:, None]
-    return [C.bits(m.ravel()) for m in np.split(mask, np.cumsum(counts)[:-1])]
+    return np.split(mask, np.cumsum(counts)[:-1])
 
 
 def _remove(shards: int):
@@ -391,16 +473,21 @@ def _remove(shards: int):
         for _, _, blob in C.messages(left, C.CHUNK):
             docs = C.Docs.of(blob)
             a = Anchored(docs, shards)
-            r = Reads(a, replies, shards)
+            repeated, hot = _replied(a, replies, shards)
+            r, w = Reads(a, repeated, shards), HotWindows(a, hot, shards)
+            later = np.zeros(len(w.start), bool)
             mask = np.zeros((len(r.first), SPREAD), bool)
             for s in range(shards):
                 mine = r.by_bucket[r.cuts[s] : r.cuts[s + 1]]
-                if len(mine):
+                more = w.by_bucket[w.cuts[s] : w.cuts[s + 1]]
+                if len(mine) or len(more):
                     if s not in masks:
                         raise C.missing(s)
-                    mask[mine] = C.flags(masks[s], len(mine) * SPREAD).reshape(-1, SPREAD)
+                    reads, windows = C.unpacked(masks[s])
+                    mask[mine] = C.flags(reads, len(mine) * SPREAD).reshape(-1, SPREAD)
+                    later[more] = C.flags(windows, len(more))
             first_row, inner = np.nonzero(mask)
-            starts = [r.start[r.first[first_row]] + inner]
+            starts = [r.start[r.first[first_row]] + inner, w.repeats(later)]
             copies = np.ones(len(r.entry), bool)
             copies[r.first] = False
             copies = np.flatnonzero(copies)
@@ -436,7 +523,7 @@ def _remove(shards: int):
 
 
 def drop_repeated_bytes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pack_bytes: int = C.PACK_BYTES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pack_bytes: int = C.PACK_BYTES, hot_reads: int = HOT_READS
 ) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept binary), a row for each input row.
 
@@ -449,7 +536,7 @@ def drop_repeated_bytes(
     shards = max(8, chunk_count(docs, text_col, SHARD_BYTES))
     slim = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
     cut = slim.mapInArrow(releasing_map(C.cutter(_ask_anchors(shards), pack_bytes)), C.EXCHANGE)
-    counted = cut.groupBy("key").applyInArrow(releasing_group(C.answer(C.ASK, C.REPLY, _count_anchors)), C.EXCHANGE)
+    counted = cut.groupBy("key").applyInArrow(releasing_group(C.answer(C.ASK, C.REPLY, _count_anchors(hot_reads))), C.EXCHANGE)
     asked = cut.groupBy("key").cogroup(counted.groupBy("key")).applyInArrow(releasing_cogroup(_ask_reads(shards)), C.EXCHANGE)
     merged = asked.groupBy("key").applyInArrow(releasing_group(C.answer(C.ASK_EXACT, C.REPLY_EXACT, _merge_bucket)), C.EXCHANGE)
     both = counted.unionByName(merged)

@@ -309,6 +309,34 @@ def test_suffix_dedup_equals_brute_force(spark, seed, pack):
     assert X.drop_repeated_bytes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pack,hot", [(1 << 20, 0), (4000, 2), (4000, 40)])
+def test_windows_of_hot_anchors_equal_brute_force(spark, pack, hot):
+    rng = random.Random(pack + hot)
+    phrase = "licensed under the terms that this one common line of text gives to all who read it, with no warranty "
+    rows = []
+    for i in range(80):
+        about = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 90))) for _ in range(3)]
+        cut = phrase[: rng.choice([50, 70, 99, 100, 103])]
+        rows.append((i, about[0] + cut + about[1] + cut + rng.choice(["", about[0], "same tail " * 9]) + about[2]))
+    rows += [(200, phrase * 4), (201, phrase * 4), (None, phrase * 3), (202, "z" * 700), (203, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = X.drop_repeated_bytes(df, pack_bytes=pack, hot_reads=hot).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == removed_bytes(rows)
+
+
+def test_no_merge_holds_a_hot_anchor():
+    rng = random.Random(5)
+    phrase = b"this line, which is shorter than a window is wide, is in every document of the whole corpus!"
+    texts = [bytes(rng.randrange(256) for _ in range(120)) + phrase + bytes(rng.randrange(256) for _ in range(120)) for _ in range(300)]
+    a = X.Anchored(X.C.Docs(np.arange(300), np.ones(300, bool), texts), 4)
+    counted = {s: X._count_anchors(50)([body])[0] for s, body in X._ask_anchors(4)(X.C.Docs(np.arange(300), np.ones(300, bool), texts))}
+    repeated, hot = X._replied(a, counted, 4)
+    reads, windows = X.Reads(a, repeated, 4), X.HotWindows(a, hot, 4)
+    key = a.key[np.isin(a.at, reads.start[reads.first] + reads.offset[reads.first])]
+    assert hot.any() and np.unique(key, return_counts=True)[1].max(initial=0) <= 50
+    assert np.diff(windows.cuts).max() < 0.3 * len(windows.sent)  # spread over the buckets
+
+
 def test_merged_transforms_are_in_order():
     rng = random.Random(1)
     for _ in range(30):
