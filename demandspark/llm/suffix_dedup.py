@@ -225,10 +225,13 @@ class Reads:
         self.start = np.maximum(at - SPREAD + 1, a.bounds[self.doc])
         self.end = np.minimum(at + WIDTH, a.bounds[self.doc + 1])
         self.offset = at - self.start
-        # The first of equal reads stands for them: documents are in order of their ids.
+        # The earliest of equal reads stands for them; rows with one id are one document.
+        self.id, self.place = a.ids[self.doc], self.start - a.bounds[self.doc]
         seen: dict[tuple[int, bytes], int] = {}
         blob, entry, first = a.blob, np.empty(len(at), np.int64), []
-        for i, (x, y, o) in enumerate(zip(self.start.tolist(), self.end.tolist(), self.offset.tolist())):
+        starts, ends, offsets = self.start.tolist(), self.end.tolist(), self.offset.tolist()
+        for i in np.lexsort((self.place, self.id)).tolist():
+            x, y, o = starts[i], ends[i], offsets[i]
             e = seen.setdefault((o, blob[x:y]), len(first))
             if e == len(first):
                 first.append(i)
@@ -486,11 +489,12 @@ def _remove(shards: int):
                     reads, windows = C.unpacked(masks[s])
                     mask[mine] = C.flags(reads, len(mine) * SPREAD).reshape(-1, SPREAD)
                     later[more] = C.flags(windows, len(more))
-            first_row, inner = np.nonzero(mask)
-            starts = [r.start[r.first[first_row]] + inner, w.repeats(later)]
-            copies = np.ones(len(r.entry), bool)
-            copies[r.first] = False
-            copies = np.flatnonzero(copies)
+            # A read at the (id, start) of the earliest equal one is no copy of it.
+            lead = r.first[r.entry]
+            same = (r.id == r.id[lead]) & (r.place == r.place[lead])
+            own, copies = np.flatnonzero(same), np.flatnonzero(~same)
+            row, inner = np.nonzero(mask[r.entry[own]])
+            starts = [r.start[own[row]] + inner, w.repeats(later)]
             n = r.end[copies] - r.start[copies] - WIDTH + 1
             step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             starts.append(np.repeat(r.start[copies], n) + step)

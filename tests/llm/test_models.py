@@ -324,6 +324,16 @@ def test_windows_of_hot_anchors_equal_brute_force(spark, pack, hot):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == removed_bytes(rows)
 
 
+@pytest.mark.parametrize("pack", [1 << 20, 1])
+def test_rows_of_one_id_are_one_document(spark, pack):
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdefgh") for _ in range(300))
+    rows = [(1, "x" * 40 + text), (1, text), (1, text), (2, text), (3, "y" + text[:150])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = X.drop_repeated_bytes(df, pack_bytes=pack).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == removed_bytes(rows)
+
+
 def test_no_merge_holds_a_hot_anchor():
     rng = random.Random(5)
     phrase = b"this line, which is shorter than a window is wide, is in every document of the whole corpus!"
