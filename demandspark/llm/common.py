@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from demandspark.session import new_stage_path
+
 #: ASCII A-Z lower-cased, every other byte as it is.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 UPPER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -132,3 +135,55 @@ def releasing_cogroup(run):
         return out
 
     return cogrouped
+
+
+# -- written tables that replace each other ---------------------------------------------
+class Generations:
+    """Written tables of which each one makes the one before it needless.
+
+    A new table is complete before the old one is deleted, so a job that fails
+    or loses executors still finds the last complete one.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name, self.path = spark, name, None
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = new_stage_path(self.spark, self.name)
+        df.write.parquet(path)
+        self.clear()
+        self.path = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        if self.path is not None:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+            self.path = None
+
+
+#: A key is hot when it holds more than one in so many of the rows.
+HOT_SHARE = 10_000
+
+
+def hot_lookup(rows: DataFrame, side: DataFrame, on: dict[str, str], weight: str, values: list[str]) -> DataFrame:
+    """`rows` with the columns `values` of `side`, whose keys `on` names by those of `rows` (nulls equal nulls).
+
+    A key of `side` is there once and `weight` bounds the rows that hold it.
+    Hot keys, at most HOT_SHARE of them whatever the tables, are broadcast; the
+    others meet their rows in a shuffle that no key can fill. Rows without a
+    partner go.
+    """
+    total = side.agg(F.sum(F.col(weight).cast("decimal(38,0)"))).first()[0] or 0
+    side = side.select(*[F.col(k).alias(f"__s{i}") for i, k in enumerate(on.values())], weight, *values)
+    names = [f"__s{i}" for i in range(len(on))]
+
+    def equal(left: DataFrame, right: DataFrame):
+        tests = [left[a].eqNullSafe(right[b]) for a, b in zip(on, names)]
+        return functools.reduce(lambda x, y: x & y, tests)
+
+    is_hot = F.col(weight).cast("decimal(38,0)") * HOT_SHARE > F.lit(total)
+    hot, cold = side.where(is_hot).drop(weight), side.where(~is_hot).drop(weight)
+    first = rows.join(F.broadcast(hot), equal(rows, hot)).drop(*names)
+    rest = rows.join(F.broadcast(hot), equal(rows, hot), "left_anti")
+    return first.unionByName(rest.join(cold, equal(rest, cold)).drop(*names))
