@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandspark.llm import bpe, decontamination, embedding_dedup, language_id, line_dedup, minhash, pii, substring_dedup, suffix_dedup, url_filter
+from demandspark.llm import bpe, decontamination, embedding_dedup, language_id, line_dedup, minhash, phrases, pii, quality, substring_dedup, suffix_dedup, url_filter, vector_codes
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_quality": quality.op11_quality,
+    "op12_phrases": phrases.op12_phrases,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 ORACLE = {
     "op1_embedding_dedup": embedding_dedup.SQL,
@@ -24,4 +27,6 @@ ORACLE = {
     "op8_minhash": minhash.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op10_suffix_dedup": suffix_dedup.SQL,
+    "op12_phrases": phrases.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
