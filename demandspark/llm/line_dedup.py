@@ -23,8 +23,8 @@ from demandspark.session import stage
 class LineRules:
     max_ratio: float = 0.1
     """A line on a larger share of the site's pages goes."""
-    min_pages: int = 5
-    """A line on fewer pages stays, so that small sites keep their text."""
+    min_pages: int = 2
+    """A page's own lines stay: a line on one page is no boilerplate, whatever the ratio."""
     broadcast_rows: int = 100_000
     """Boilerplate lines up to which their table (about 60 bytes a row) is broadcast."""
     salts: int = 32
@@ -44,7 +44,7 @@ def boilerplate(docs: DataFrame, text_col: str, host_col: str, rules: LineRules
 
     A page counts once for a line that it repeats. Blank lines are never
     boilerplate. A null host is a site of its own; null texts count as pages
-    without lines.
+    without lines, and repeated rows as pages each.
     """
     pages = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("site_pages"))
@@ -127,7 +127,7 @@ held AS (
 bad AS (
   SELECT h.source, h.line FROM (SELECT source, line, count(*) AS pages FROM held GROUP BY ALL) h
   JOIN total t ON h.source IS NOT DISTINCT FROM t.source
-  WHERE pages >= 5 AND pages > 0.1::DOUBLE * site_pages),
+  WHERE pages >= 2 AND pages > 0.1::DOUBLE * site_pages),
 lists AS (SELECT source, list(line) AS bad FROM bad GROUP BY source)
 SELECT p.doc_id, p.source, CAST(len(lines) AS BIGINT) AS n_lines,
   CAST(len(list_filter(lines, lambda x: list_contains(coalesce(l.bad, []), x))) AS BIGINT) AS n_removed,

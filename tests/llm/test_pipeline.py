@@ -34,7 +34,7 @@ def plain(docs, items):
     pages, count = Counter(d[3] for d in docs), Counter()
     for _, text, _, source, _ in docs:
         count.update((source, x) for x in set(text.split("\n")) if x.strip(" "))
-    bad = {k for k, n in count.items() if n >= 5 and n > 0.1 * pages[k[0]]}
+    bad = {k for k, n in count.items() if n >= 2 and n > 0.1 * pages[k[0]]}
     docs = [(d[0], "\n".join(x for x in d[1].split("\n") if (d[3], x) not in bad)) for d in docs]
     groups = brute_groups(docs, 80)
     docs = [d for d in docs if groups[d[0]] == d[0]]
