@@ -14,6 +14,7 @@ probe strings meet by digest shard, each shard is an array of the same form.
 from __future__ import annotations
 
 import itertools
+import math
 import os
 import tempfile
 import uuid
@@ -39,15 +40,25 @@ RULES = [
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 ]
-# The default blocklist, domains of advertising, gambling, pills, spam and adult pages.
-BLOCKED = [
-    "ads-track.example.com",
-    "adult-x.example.com",
-    "casino-win.example.net",
-    "cheap-pills.example.net",
-    "free-bets.example.net",
-    "spam-farm.example.org",
-]
+# The default blocklist is a table made from a rule: two words of advertising, gambling, pills, spam or adult pages
+# with a hyphen, bare or numbered 1 to 9, under each zone.
+FIRST_WORDS = "ads adult banner bets bonus casino cheap click crypto dating diet discount fake fast free gamble loan lotto lucky poker popup slots spam xxx".split()
+SECOND_WORDS = "bets bonus cam cash chat club coins deals farm feed girls jackpot mall offers pharma pills pop shop spins sites track traffic win x".split()
+ZONES = ["example.com", "example.net", "example.org"]
+NUMBERED = 10
+
+
+def default_list(spark: SparkSession) -> DataFrame:
+    """(entry): every pair of words, bare and numbered, in every zone."""
+    sizes = [len(FIRST_WORDS), len(SECOND_WORDS), NUMBERED, len(ZONES)]
+    rest, picked = F.col("id"), []
+    for n in sizes:
+        picked.append((rest % n + 1).cast("int"))
+        rest = F.floor(rest / n)
+    first, second, number, zone = picked
+    word = [F.element_at(F.array(*map(F.lit, words)), at) for words, at in ((FIRST_WORDS, first), (SECOND_WORDS, second), (ZONES, zone))]
+    digit = F.when(number > 1, (number - 1).cast("string")).otherwise("")
+    return spark.range(math.prod(sizes)).select(F.concat(word[0], F.lit("-"), word[1], digit, F.lit("."), word[2]).alias("entry"))
 
 
 def host_of(url: Column) -> Column:
@@ -211,15 +222,18 @@ def filter_urls(
     """`pages` with host, path, rule and verdict (these replace columns of the names).
 
     `blocked` is the blocklist: a list, or a DataFrame whose first column has
-    the entries. Null entries are left out, repeated ones count once. A null
-    URL, or one without `://`, has an empty host and path, no rule, and passes.
+    the entries (`default_list` if none is given). Null entries are left out,
+    repeated ones count once. A null URL, or one without `://`, has an empty
+    host and path, no rule, and passes. Every row is judged alone, whole and
+    however long, so repeated rows get equal verdicts; an empty table gives
+    none.
     """
     spark = pages.sparkSession
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     url = F.col(f"`{url_col}`")
     urls = pages.select(*[F.col(f"`{c}`") for c in keep], host_of(url).alias("__host"), path_of(url).alias("__path"))
     if blocked is None:
-        blocked = BLOCKED
+        blocked = default_list(spark)
     if isinstance(blocked, list):
         entries, n, labels = None, len(blocked), max([b.count(".") + 1 for b in blocked if b], default=1)
     else:
@@ -246,27 +260,36 @@ def filter_urls(
 
 
 def op2_url_filters(spark, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    out = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "url")
 
 
 SQL = """
-WITH cut AS (
+WITH entry AS MATERIALIZED (
+  SELECT a || '-' || b || n || '.' || z AS d
+  FROM (SELECT unnest([{first}]) AS a), (SELECT unnest([{second}]) AS b),
+    (SELECT CASE WHEN k > 0 THEN CAST(k AS VARCHAR) ELSE '' END AS n FROM range({numbered}) r(k)), (SELECT unnest([{zones}]) AS z)),
+cut AS (
   SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-part AS (
+part AS MATERIALIZED (
   SELECT page_id, url,
     translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+place AS (SELECT DISTINCT host, path, string_split(host, '.') AS w FROM part),
+probe AS (
+  SELECT host, path, unnest(list_transform(range(1, len(w) + 1), lambda i: array_to_string(w[i:], '.'))) AS d FROM place
+  UNION ALL SELECT host, path, host || path FROM place),
+listed AS (SELECT DISTINCT host, path FROM probe JOIN entry USING (d)),
 judged AS (
-  SELECT *, CASE
-    WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
-    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
-    WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
-    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule,
-    EXISTS (SELECT 1 FROM (VALUES {blocked}) b(d)
-            WHERE host = d OR suffix(host, '.' || d) OR host || path = d) AS listed
-  FROM part)
+  SELECT part.*, CASE
+    WHEN (part.host = 'example.net' OR suffix(part.host, '.example.net')) AND prefix(part.path, '/en/') THEN 'example.net/en/'
+    WHEN (part.host = 'example.com' OR suffix(part.host, '.example.com')) AND prefix(part.path, '/de/') THEN 'example.com/de/'
+    WHEN (part.host = 'org' OR suffix(part.host, '.org')) AND prefix(part.path, '/fr/') THEN 'org/fr/'
+    WHEN (part.host = 'net' OR suffix(part.host, '.net')) AND prefix(part.path, '/') THEN 'net/' END AS rule,
+    l.host IS NOT NULL AS listed
+  FROM part LEFT JOIN listed l ON l.host = part.host AND l.path = part.path)
 SELECT page_id, url, host, path, rule,
   CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
        WHEN listed THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
-""".replace("{blocked}", ", ".join(f"('{b}')" for b in BLOCKED))
+""".format(numbered=NUMBERED, **{k: ", ".join(f"'{w}'" for w in words) for k, words in (("first", FIRST_WORDS), ("second", SECOND_WORDS), ("zones", ZONES))})

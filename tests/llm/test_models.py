@@ -91,6 +91,16 @@ def test_urls_equal_a_plain_version(spark, most):
         assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: plain_url(u) for i, u in rows}
 
 
+def test_urls_of_an_empty_table_and_the_default_list(spark):
+    none = spark.createDataFrame([], "page_id bigint, url string")
+    assert U.filter_urls(none).count() == 0
+    listed = {r.entry for r in U.default_list(spark).collect()}
+    assert len(listed) == U.default_list(spark).count() == len(U.FIRST_WORDS) * len(U.SECOND_WORDS) * 30
+    urls = ["http://m.casino-win.example.com/a", "http://spam-farm7.example.org", "http://casino-winner.example.com/", "http://example.com/casino-win.example.com", "http://casino-win.example.com"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    assert [r.verdict for r in U.filter_urls(df).orderBy("page_id").collect()] == ["block", "block", "allow", "allow", "block"]
+
+
 def test_digest_array_confirms_strings(monkeypatch):
     monkeypatch.setattr(U, "digest", lambda text: len(text) % 3)  # all digests collide
     words = [f"host{i}".encode() for i in range(50)]
