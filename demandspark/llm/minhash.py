@@ -7,9 +7,9 @@
    components of these stars are the candidate clusters, so any two documents
    of one bucket are in one cluster. At similarity 0.85 a pair misses all bands
    with probability 7e-9, at 0.8 with 3e-6.
-3. Within a cluster all pairs are verified: first by how many minima agree (a
-   pair goes on from five standard deviations below the threshold), then on the
-   full shingle sets. A large cluster is cut into blocks, and every pair of
+3. Within a cluster all pairs are verified: first by how many minima agree (so
+   few that a link fails this with a thousandth of the chance that the bands miss
+   it), then on the full shingle sets. A large cluster is cut into blocks, and every pair of
    blocks is a task of its own. A task gives the edges of a spanning forest of
    its links, never the links themselves.
 4. The components of these edges are the groups.
@@ -22,6 +22,7 @@ execution can split them.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,10 +50,24 @@ class NearRules:
     """Rows (id and cluster) up to which the members of clusters are broadcast to read their texts."""
 
     @property
-    def agreement(self) -> float:
-        """Share of agreeing minima from which a pair is compared on its full sets."""
-        s, n = self.percent / 100, self.bands * self.rows
-        return s - 5 * (s * (1 - s) / n) ** 0.5
+    def band_miss(self) -> float:
+        """Chance that no band is equal for a pair exactly at the threshold."""
+        return (1 - (self.percent / 100) ** self.rows) ** self.bands
+
+    @property
+    def agreement(self) -> int:
+        """Agreeing minima from which a pair is compared on its full sets.
+
+        A pair at the threshold has fewer with a thousandth of the chance that
+        the bands miss it, so this test loses next to nothing beyond them.
+        """
+        s, n, below, k = self.percent / 100, self.bands * self.rows, 0.0, 0
+        while k < n:
+            below += math.comb(n, k) * s**k * (1 - s) ** (n - k)
+            if below > self.band_miss / 1000:
+                break
+            k += 1
+        return k
 
 
 def shingles(text: bytes | None, words: int = 5) -> np.ndarray:
@@ -167,7 +182,7 @@ def spanning_links(sets, signatures: np.ndarray, sides: np.ndarray, rules: NearR
     """
     n, forest, out = len(sets), _Forest(len(sets)), []
     sizes = np.array([len(s) for s in sets])
-    least = rules.agreement * signatures.shape[1]
+    least = rules.agreement
     two = sides.any() and not sides.all()
     for i in range(n - 1):
         others = np.arange(i + 1, n)

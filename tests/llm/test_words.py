@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -170,6 +171,12 @@ def test_line_dedup_equals_brute_force(spark, rows_broadcast):
     assert any(v[2] for v in got.values())
 
 
+def test_small_sites_are_judged_by_the_ratio(spark):
+    docs = [(1, "menu\nown\nown", "a"), (2, "menu\nother", "a"), (3, "alone", "b"), (4, "x\ny", "c"), (4, "x\ny", "c")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    assert sorted((r.doc_id, r.text) for r in L.drop_boilerplate(df).collect()) == [(1, "own\nown"), (2, "other"), (3, "alone"), (4, ""), (4, "")]
+
+
 def test_line_dedup_of_an_empty_table(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert L.drop_boilerplate(none).count() == 0
@@ -223,6 +230,22 @@ def test_near_groups_equal_brute_force(spark, block):
     assert {r.doc_id: r.n_shingles for r in got}[901] == 0
 
 
+def test_links_at_the_threshold_are_found_and_none_below(spark):
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(104)]  # 100 shingles; a text without its last words is a subset
+        rows += [(3 * g, " ".join(words)), (3 * g + 1, " ".join(words[:89])), (3 * g + 2, " ".join(words[20:]))]
+    got = {r.doc_id: r.component_id for r in M.near_groups(frame(spark, rows), rules=M.NearRules(percent=85)).collect()}
+    assert got == {i: i - 1 if i % 3 == 1 else i for i, _ in rows}
+
+
+def test_the_agreement_test_loses_less_than_the_bands():
+    for percent in (50, 80, 85, 95):
+        rules = M.NearRules(percent=percent)
+        s, n = percent / 100, rules.bands * rules.rows
+        assert sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(rules.agreement)) <= rules.band_miss / 1000
+
+
 def test_near_groups_of_an_empty_table(spark):
     assert M.near_groups(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
