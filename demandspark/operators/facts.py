@@ -112,34 +112,6 @@ def upsert_by_key(existing: DataFrame, incoming: DataFrame, key: list[str]) -> D
     return existing.join(new.select(*key), key, "left_anti").unionByName(new)
 
 
-def replace_slice(
-    df: DataFrame, path: str, slice_by: list[str], slices: list[tuple] | None = None
-) -> None:
-    """Overwrite only the slices present in `df`; a re-run gives the same table.
-
-    `slices` names the slices that are replaced: one without rows in `df` is
-    cleared, and rows of `df` outside them are an error.
-    """
-    if slices is not None:
-        spark = df.sparkSession
-        wanted = spark.createDataFrame(slices, df.select(*slice_by).schema)
-        stray = df.join(wanted, slice_by, "left_anti").limit(1).count()
-        if stray:
-            raise ValueError("rows outside the slices that are replaced")
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for row in slices:
-            parts = "/".join(f"{c}={v}" for c, v in zip(slice_by, row))
-            folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{parts}")
-            folder.getFileSystem(conf).delete(folder, True)
-    (
-        df.repartition(*slice_by, *[c for c in SERIES if c in df.columns])
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*slice_by)
-        .parquet(path)
-    )
-
-
 def write_fact(
     df: DataFrame,
     path: str,

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, functions as F
 
 from demandspark.config import DERIVED, SERIES
 from demandspark.operators import dims, facts
+from demandspark.operators.sliced import SlicedTable
 from demandspark.plans.catalog import query
 from demandspark.plans.retail import RetailTables
 from demandspark.session import new_stage_path
@@ -163,18 +166,26 @@ def a16(t: RetailTables) -> DataFrame:
     return facts.upsert_by_key(*_loaded_and_new(t), SERIES)
 
 
+@query("A16_upsert_written_table")
+def a16_written(t: RetailTables) -> DataFrame:
+    """Lifetime units of every series in slices by store, then totals without the last year merged in for a third of the stores."""
+    table = SlicedTable(t.spark, new_stage_path(t.spark, "totals"), ["store_surr_id"])
+    table.replace(t.daily.groupBy(*SERIES).agg(F.sum("units_sold").alias("units")))
+    before = t.daily.filter((F.col("store_surr_id") % 3 == 0) & (F.col("date_id") <= t.clock.observed_end - 365))
+    table.upsert(before.groupBy(*SERIES).agg(F.sum("units_sold").alias("units")), SERIES)
+    return table.read().select(*SERIES, "units")
+
+
 @query("A17_replace_slice")
 def a17(t: RetailTables) -> DataFrame:
-    """Writes all years of daily sales, then replaces one year with doubled units."""
-    path = new_stage_path(t.spark, "slices")
+    """Writes all years of daily sales, then replaces the middle year by doubled units read from the table itself."""
+    table = SlicedTable(t.spark, new_stage_path(t.spark, "slices"), ["year"])
     years = t.dates.select("date_id", "year")
-    daily = t.daily.join(F.broadcast(years), "date_id")
-    facts.replace_slice(daily, path, ["year"])
-    again = daily.filter("year = 1998").withColumn("units_sold", F.col("units_sold") * 2)
-    facts.replace_slice(again, path, ["year"])
-    return t.spark.read.schema(daily.schema).parquet(path).select(
-        *SERIES, "date_id", "year", "units_sold"
-    )
+    table.replace(t.daily.join(F.broadcast(years), "date_id"))
+    middle = (t.clock.origin + timedelta(days=t.clock.observed_end // 2 - 1)).year
+    again = table.read().filter(F.col("year") == middle).withColumn("units_sold", F.col("units_sold") * 2)
+    table.replace(again, [(middle,)])
+    return table.read().select(*SERIES, "date_id", "year", "units_sold")
 
 
 @query("A18_write_fact_parquet", one_pass=True)

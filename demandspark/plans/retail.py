@@ -285,4 +285,4 @@ class RetailTables:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return risk.risk_fact(self.results)
+        return risk.risk_fact(self.baseline)

@@ -83,9 +83,15 @@ add("A16_upsert_by_key", """
 SELECT * FROM x_half_new UNION ALL SELECT * FROM x_half_old n WHERE NOT EXISTS (
   SELECT 1 FROM x_half_new o WHERE o.product_surr_id = n.product_surr_id
     AND o.store_surr_id = n.store_surr_id)""")
+add("A16_upsert_written_table", """
+SELECT product_surr_id, store_surr_id,
+       CAST(CASE WHEN store_surr_id % 3 = 0 AND count(*) FILTER (WHERE date_id <= last_day - 365) > 0
+         THEN sum(units_sold) FILTER (WHERE date_id <= last_day - 365) ELSE sum(units_sold) END AS BIGINT) AS units
+FROM x_sparse, (SELECT final_day AS last_day FROM x_clock) GROUP BY 1, 2""")
 add("A17_replace_slice", """
 SELECT product_surr_id, store_surr_id, date_id, year,
-       CAST(units_sold * CASE WHEN year = 1998 THEN 2 ELSE 1 END AS INTEGER) AS units_sold
+       CAST(units_sold * CASE WHEN year = (SELECT year FROM x_dates WHERE date_id = (SELECT final_day FROM x_clock) // 2)
+         THEN 2 ELSE 1 END AS INTEGER) AS units_sold
 FROM x_sparse JOIN x_dates USING (date_id)""")
 add("A18_write_fact_parquet", """
 SELECT product_surr_id, store_surr_id, CAST(sum(units_sold) AS DOUBLE) AS total_units,

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from demandspark.operators import contribution, dims, facts, quality, weekly
+from demandspark.operators.sliced import SlicedTable
 from demandspark.session import new_stage_path
 from demandspark.sources import raw_files
 
@@ -163,11 +164,11 @@ def test_insert_upsert_and_slices(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(facts.insert_if_absent(old, new, ["k"])) == [(1, "a"), (2, "b"), (3, "y")]
     assert rows(facts.upsert_by_key(old, new, ["k"])) == [(1, "a"), (2, "x"), (3, "y")]
-    path = new_stage_path(spark, "t")
-    facts.replace_slice(spark.createDataFrame([(1, 10), (2, 20)], "w int, n int"), path, ["w"])
+    table = SlicedTable(spark, new_stage_path(spark, "t"), ["w"])
+    table.replace(spark.createDataFrame([(1, 10), (2, 20)], "w int, n int"))
     for _ in range(2):  # a re-run changes nothing
-        facts.replace_slice(spark.createDataFrame([(2, 21)], "w int, n int"), path, ["w"])
-    assert sorted((r["w"], r["n"]) for r in spark.read.parquet(path).collect()) == [(1, 10), (2, 21)]
+        table.replace(spark.createDataFrame([(2, 21)], "w int, n int"))
+    assert sorted((r["w"], r["n"]) for r in table.read().collect()) == [(1, 10), (2, 21)]
 
 
 def test_written_layers_agree_with_lazy_ones(spark, tmp_path):
@@ -186,12 +187,12 @@ def test_written_layers_agree_with_lazy_ones(spark, tmp_path):
 
 
 def test_slices_named_for_replacement_are_cleared(spark, tmp_path):
-    path = str(tmp_path / "t")
-    facts.replace_slice(spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "w int, n int"), path, ["w"])
-    facts.replace_slice(spark.createDataFrame([(2, 21)], "w int, n int"), path, ["w"], [(1,), (2,)])
-    assert sorted(map(tuple, spark.read.parquet(path).select("w", "n").collect())) == [(2, 21), (3, 30)]
+    table = SlicedTable(spark, str(tmp_path / "t"), ["w"])
+    table.replace(spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "w int, n int"))
+    table.replace(spark.createDataFrame([(2, 21)], "w int, n int"), [(1,), (2,)])
+    assert sorted(map(tuple, table.read().select("w", "n").collect())) == [(2, 21), (3, 30)]
     with pytest.raises(ValueError):
-        facts.replace_slice(spark.createDataFrame([(3, 1)], "w int, n int"), path, ["w"], [(2,)])
+        table.replace(spark.createDataFrame([(3, 1)], "w int, n int"), [(2,)])
 
 
 def test_repeated_incoming_keys_give_one_row(spark):
