@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from demandspark.config import SCENARIOS, SERIES, SIMULATED, Clock, PolicyRules, Scenario
 from demandspark.functions.exprs import exact_mean, mean_of_scaled, ratio, scaled, unscaled
 from demandspark.operators.replenish import inventory_policy, projection_summary, with_trace
-from demandspark.session import spread
+from demandspark.session import spread, stage
 
 RULES = PolicyRules()
 SIMULATION_TYPES = (
@@ -31,12 +31,8 @@ _PARAMETERS = (
 )
 
 
-def scenario_param_rules(grid: DataFrame, rules: PolicyRules = RULES) -> DataFrame:
-    """Rows of a what-if grid with the rules they break, one row per violation.
-
-    Columns: `scenario_type` and one nullable column per parameter. A type
-    accepts only its own parameters, and needs them.
-    """
+def _broken_rules(rules: PolicyRules) -> Column:
+    """Texts of the rules that a row of a what-if grid breaks."""
     p = {name: F.col(name) for name in _PARAMETERS}
     kind = F.col("scenario_type")
     needs = {
@@ -69,8 +65,38 @@ def scenario_param_rules(grid: DataFrame, rules: PolicyRules = RULES) -> DataFra
     outside("reorder_policy", (multiple <= 0) | (multiple > 60), "reorder_qty_multiple out of bounds")
     outside("reorder_policy", (cap <= 0) | (cap > 120), "max_order_qty_coverage_days out of bounds")
     outside("reorder_policy", cap < multiple, "cap below the multiple")
-    broken = F.array_compact(F.array(*[F.when(t, F.lit(text)) for t, text in tests]))
-    return grid.withColumn("violation", F.explode(broken))
+    return F.array_compact(F.array(*[F.when(t, F.lit(text)) for t, text in tests]))
+
+
+def scenario_param_rules(grid: DataFrame, rules: PolicyRules = RULES) -> DataFrame:
+    """Rows of a what-if grid with the rules they break, one row per violation.
+
+    Columns: `scenario_type` and one nullable column per parameter. A type
+    accepts only its own parameters, and needs them.
+    """
+    return grid.withColumn("violation", F.explode(_broken_rules(rules)))
+
+
+def split_grid(grid: DataFrame, rules: PolicyRules = RULES) -> tuple[DataFrame, DataFrame]:
+    """The rows of a grid that can be run, and (scenario_id, scenario_name, violation) of the others.
+
+    Columns: `scenario_id`, `scenario_name`, `scenario_type` and the
+    parameters. A row also needs a type, an id and a name, and an id of its own.
+    """
+    # The `isin` of a null type is null, so such a row breaks no rule of the types.
+    more = [
+        (F.col("scenario_id").isNull(), "scenario_id is required"),
+        (F.col("scenario_name").isNull(), "scenario_name is required"),
+        (F.col("scenario_type").isNull(), "scenario_type is required"),
+        (F.col("_rows") > 1, "scenario_id is not unique"),
+    ]
+    own = F.array_compact(F.array(*[F.when(t, F.lit(text)) for t, text in more]))
+    rows = grid.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("_rows"))
+    seen = rows.select(F.col("scenario_id").alias("_id"), F.when(F.col("scenario_id").isNotNull(), F.col("_rows")).otherwise(1).alias("_rows"))
+    judged = grid.join(seen, grid["scenario_id"].eqNullSafe(seen["_id"])).withColumn("_broken", F.concat(own, _broken_rules(rules)))
+    good = judged.filter(F.size("_broken") == 0).select(*grid.columns)
+    bad = judged.select("scenario_id", "scenario_name", F.explode("_broken").alias("violation"))
+    return good, bad
 
 
 def weight_rules(weights: DataFrame) -> DataFrame:
@@ -138,7 +164,56 @@ def projected_scenarios(
     series are spread over the tasks before the fold.
     """
     series = spread(moments.join(vectors, SERIES), SERIES)
-    runs = series.select(series.columns + [F.inline(_scenario_array(scenarios))])
+    return _projected(series.select(series.columns + [F.inline(_scenario_array(scenarios))]), rules)
+
+
+def projected_grid(
+    moments: DataFrame,
+    vectors: DataFrame,
+    grid: DataFrame,
+    rules: PolicyRules = RULES,
+    grid_rows: int = 64,
+    series_rows: int = 2048,
+) -> DataFrame:
+    """Every series under every row of a grid that is a table, with policy and trace.
+
+    The rows must be sound, see `split_grid`. All pairs are the result, so they
+    are made in cells: a block of about `grid_rows` of the grid, packed into one
+    row, meets about `series_rows` series. Blocks are copied once for each group
+    of series and series once for each block; no task holds more than a few
+    cells, whatever the sizes of both sides.
+    """
+    entry = F.struct(
+        "scenario_id", "scenario_name", "scenario_type",
+        *[F.col(name).cast("double").alias(f"_{name}") for name in _PARAMETERS],
+    )
+    sound = stage(grid.select(entry.alias("_run")))
+    series = stage(moments.join(vectors, SERIES))
+    blocks = max(1, -(-sound.count() // grid_rows))
+    groups = max(1, -(-series.count() // series_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    packed = (
+        sound.groupBy(F.pmod(F.xxhash64("_run.scenario_id"), F.lit(blocks)).cast("int").alias("_block"))
+        .agg(F.collect_list("_run").alias("_runs"))
+        .withColumn("_group", every(groups))
+    )
+    tasks = max(int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * groups)
+    cells = (
+        series.withColumn("_group", F.pmod(F.xxhash64(*SERIES), F.lit(groups)).cast("int"))
+        .withColumn("_block", every(blocks))
+        .repartition(tasks, "_block", "_group", F.pmod(F.xxhash64(*SERIES), F.lit(max(1, tasks // (blocks * groups)))))
+    )
+    met = cells.join(packed, ["_block", "_group"])
+    return _projected(met.select(*series.columns, F.inline("_runs")), rules)
+
+
+def grid_result(moments: DataFrame, vectors: DataFrame, grid: DataFrame, rules: PolicyRules = RULES) -> DataFrame:
+    """One row per series and sound row of a grid, as `scenario_result` gives them."""
+    return simulated_results(projected_grid(moments, vectors, split_grid(grid, rules)[0], rules))
+
+
+def _projected(runs: DataFrame, rules: PolicyRules) -> DataFrame:
+    """Sizes and projects rows of a series with the parameters of a scenario."""
     policy = inventory_policy(
         runs,
         rules,

@@ -151,6 +151,44 @@ def g02(t: RetailTables) -> DataFrame:
     )
 
 
+def _grid(t: RetailTables) -> DataFrame:
+    """A what-if grid made from the discounts and taxes that order lines have: sound rows and others."""
+    line = t.source.table("lineitem")
+    discount = F.round(F.col("l_discount") * 100).cast("int")
+    tax = F.round(F.col("l_tax") * 100).cast("int")
+    none = F.lit(None).cast("double")
+
+    def rows(level, first: int, kind: str, **given) -> DataFrame:
+        levels = line.select(level.alias("_k")).distinct()
+        names = ("demand_adjustment_pct", "lead_time_delta_days", "service_level_target", "reorder_qty_multiple", "max_order_qty_coverage_days")
+        return levels.select(
+            (F.col("_k") + first).alias("scenario_id"),
+            F.concat(F.lit(kind + "_"), F.col("_k").cast("string")).alias("scenario_name"),
+            F.lit(kind).alias("scenario_type"),
+            *[given.get(c, none).cast("double").alias(c) for c in names],
+        )
+
+    k = F.col("_k")
+    return (
+        rows(discount, 100, "demand_shock", demand_adjustment_pct=F.round(k / 5.0 - 1, 4))
+        .unionByName(rows(tax, 200, "lead_time_change", lead_time_delta_days=k * 3 - 8))
+        .unionByName(rows(discount, 300, "service_level_change", service_level_target=F.round(k * 0.045 + 0.55, 4)))
+        .unionByName(rows(tax, 400, "reorder_policy", reorder_qty_multiple=k * 7, max_order_qty_coverage_days=F.lit(28)))
+        .unionByName(rows(tax, 500, "baseline").filter("scenario_id = 500"))
+    )
+
+
+@query("G02_grid_violations")
+def g02_grid(t: RetailTables) -> DataFrame:
+    return scenario.split_grid(_grid(t))[1]
+
+
+@query("G08_scenario_grid")
+def g08_grid(t: RetailTables) -> DataFrame:
+    """Portfolio outcome of every sound row of the grid over all series."""
+    return scenario.population_aggregate(scenario.grid_result(t.moments, t.vectors, _grid(t)))
+
+
 def _one(t: RetailTables, name: str) -> DataFrame:
     return t.scenario(name)
 

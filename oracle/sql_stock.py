@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from oracle.base import cte, mean, statement
+import re
+
+from oracle.base import CTES, cte, mean, statement
 from oracle.sql_demand import _NAMED, TOKEN
 
 ORACLE: dict[str, str] = {}
@@ -326,6 +328,44 @@ _POP = f"""
          count(*) FILTER (total_excess_units > 0) AS series_with_excess,
          {_mean('avg_days_of_inventory')} AS mean_avg_days_of_inventory
   FROM x_result GROUP BY scenario_name, scenario_type"""
+cte("x_asked", """
+  SELECT k + 100 AS scenario_id, 'demand_shock_' || k AS scenario_name, 'demand_shock' AS scenario_type,
+         round(k / 5.0::DOUBLE - 1, 4) AS pct, CAST(0 AS DOUBLE) AS delta, CAST(0.95 AS DOUBLE) AS sl,
+         CAST(7.0 AS DOUBLE) AS mult, CAST(28.0 AS DOUBLE) AS cap
+  FROM (SELECT DISTINCT CAST(round(l_discount * 100) AS INTEGER) AS k FROM lineitem)
+  UNION ALL SELECT k + 200, 'lead_time_change_' || k, 'lead_time_change', NULL, k * 3 - 8, 0.95, 7.0, 28.0
+  FROM (SELECT DISTINCT CAST(round(l_tax * 100) AS INTEGER) AS k FROM lineitem)
+  UNION ALL SELECT k + 300, 'service_level_change_' || k, 'service_level_change', NULL, 0,
+         round(k * CAST(0.045 AS DOUBLE) + CAST(0.55 AS DOUBLE), 4), 7.0, 28.0
+  FROM (SELECT DISTINCT CAST(round(l_discount * 100) AS INTEGER) AS k FROM lineitem)
+  UNION ALL SELECT k + 400, 'reorder_policy_' || k, 'reorder_policy', NULL, 0, 0.95, k * 7, 28.0
+  FROM (SELECT DISTINCT CAST(round(l_tax * 100) AS INTEGER) AS k FROM lineitem)
+  UNION ALL SELECT 500, 'baseline_0', 'baseline', NULL, 0, 0.95, 7.0, 28.0
+  FROM (SELECT DISTINCT CAST(round(l_tax * 100) AS INTEGER) AS k FROM lineitem) WHERE k = 0""")
+cte("x_faults", """
+  SELECT scenario_id, scenario_name, unnest(list_filter([
+    CASE WHEN scenario_type = 'demand_shock' AND (pct <= -0.999 OR pct > 10) THEN 'demand_adjustment_pct out of bounds' END,
+    CASE WHEN scenario_type = 'lead_time_change' AND delta + 7 < 1 THEN 'lead time below one day' END,
+    CASE WHEN scenario_type = 'service_level_change' AND (sl <= 0 OR sl >= 1) THEN 'service_level_target out of bounds' END,
+    CASE WHEN scenario_type = 'reorder_policy' AND (mult <= 0 OR mult > 60) THEN 'reorder_qty_multiple out of bounds' END,
+    CASE WHEN scenario_type = 'reorder_policy' AND cap < mult THEN 'cap below the multiple' END
+  ], lambda x: x IS NOT NULL)) AS violation FROM x_asked""")
+cte("x_grid", """
+  SELECT scenario_id, scenario_name, scenario_type, pct, CAST(round(7 + delta, 2) AS DOUBLE) AS lt, sl, mult, cap
+  FROM x_asked WHERE scenario_id NOT IN (SELECT scenario_id FROM x_faults)""")
+# The same projection with the grid in place of the scenario list.
+_GRID = {"x_scenario": "x_grid", "x_policy": "x_gpolicy", "x_run": "x_grun", "x_fold": "x_gfold",
+         "x_day": "x_gday", "x_summary": "x_gsummary", "x_sim": "x_gsim", "x_result": "x_gsim"}
+
+
+def _on_grid(sql: str) -> str:
+    return re.sub(r"\bx_[a-z]+\b", lambda m: _GRID.get(m.group(), m.group()), sql)
+
+
+for _name in ("x_policy", "x_run", "x_fold", "x_day", "x_summary", "x_sim"):
+    cte(_GRID[_name], _on_grid(CTES[_name]))
+add("G02_grid_violations", "SELECT * FROM x_faults")
+add("G08_scenario_grid", _on_grid(_POP))
 cte("x_pop", _POP)
 add("G14_population_aggregate", "SELECT * FROM x_pop")
 _MEASURES = ("avg_inventory_position", "total_reorder_units", "total_reorder_frequency",
