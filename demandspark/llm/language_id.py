@@ -26,10 +26,16 @@ from pyspark.sql import DataFrame, functions as F
 from demandspark.llm.bpe import _ranks, default_path
 from demandspark.llm.common import in_pieces, releasing_map, table
 
-#: A longer run of bytes without white space is cut into parts of this length.
+#: Words of up to this many bytes are summed with others of their length, longer ones in segments.
 WORD_BYTES = 64
-#: All pieces that a word can hold are used; single bytes are all among them.
-LONGEST = WORD_BYTES
+#: Bytes of long words taken up at once; the sums at the last bytes, as many as the longest piece has, go over to the next ones.
+SEGMENT = 4096
+#: Bytes of long words summed side by side, unless one alone has more.
+LONG_BYTES = 1 << 20
+#: Sums of long words are brought back near 1 every so many bytes, and the power of two is kept.
+RESCALED = 16
+#: Numbers (words, bytes and languages) that sums of one batch hold.
+NUMBERS = 1 << 22
 #: Text taken up at once.
 PIECE_BYTES = 2 << 20
 #: Different words of a task that are scored at once, then forgotten.
@@ -53,8 +59,9 @@ class Pieces:
     """The vocabulary as a tree of bytes: nodes with children first, each with a row of 256 nodes."""
 
     def __init__(self, path: str) -> None:
-        known = sorted(p for p in _ranks(path) if len(p) <= LONGEST)
+        known = sorted(_ranks(path))
         self.size = len(known)
+        self.longest = max(map(len, known))
         nodes = sorted({p[:n] for p in known for n in range(len(p) + 1)})
         inner = {p[:-1] for p in nodes if p}
         nodes.sort(key=lambda p: p not in inner)
@@ -74,7 +81,12 @@ class Pieces:
         byte i are cuts[i] to cuts[i + 1].
         """
         length, n = len(words[0]), len(words)
-        text = np.ascontiguousarray(np.frombuffer(b"".join(words), np.uint8).reshape(n, length).T).ravel()
+        return self.edges(np.ascontiguousarray(np.frombuffer(b"".join(words), np.uint8).reshape(n, length).T))
+
+    def edges(self, bytes_by_place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for a matrix with a row for each byte and a column for each word."""
+        length, n = bytes_by_place.shape
+        text = bytes_by_place.ravel()
         at, node = np.arange(length * n, dtype=np.int32), self.child[text]
         begin, end, piece = [], [], []
         for depth in range(1, length + 1):
@@ -104,21 +116,142 @@ def pieces(path: str) -> Pieces:
 def words_of(text: str | None) -> list[bytes]:
     if not text:
         return []
-    found = [b" " + w for w in text.lower().encode().split()]
-    if any(len(w) > WORD_BYTES for w in found):
-        found = [w[i : i + WORD_BYTES] for w in found for i in range(0, len(w), WORD_BYTES)]
-    return found
+    return [b" " + w for w in text.lower().encode().split()]
 
 
-def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    lengths = np.fromiter(map(len, words), np.int32, len(words))
-    for n in np.unique(lengths).tolist():
+def _by_length(words: list[bytes], languages: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Batches of short words of one length."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    most = max(1, min(8192, NUMBERS // (max(1, languages) * (WORD_BYTES + 1))))
+    for n in np.unique(lengths[lengths <= WORD_BYTES]).tolist():
         at = np.flatnonzero(lengths == n)
-        for first in range(0, len(at), 8192):
-            part = at[first : first + 8192]
+        for first in range(0, len(at), most):
+            part = at[first : first + most]
             yield part, [words[i] for i in part.tolist()]
 
 
+class _Long:
+    """Some long words side by side, each padded to the longest: their pieces, segment by segment."""
+
+    def __init__(self, words: list[bytes], vocabulary: Pieces) -> None:
+        self.vocabulary, self.n = vocabulary, len(words)
+        self.lengths = np.fromiter(map(len, words), np.int64, self.n)
+        self.words, self.length = words, int(self.lengths.max())
+        #: Sums that a byte can reach or be reached from.
+        self.alive = vocabulary.longest + 1
+
+    def starts(self) -> range:
+        return range(0, self.length, SEGMENT)
+
+    def segment(self, start: int):
+        """(bytes, begin, end, piece, cuts) of the pieces that begin in a segment and end within their word."""
+        stop = min(start + SEGMENT, self.length)
+        part = [w[start : stop + self.alive].ljust(min(stop + self.alive, self.length) - start) for w in self.words]
+        begin, end, piece, cuts = self.vocabulary.lattice(part)
+        last = cuts[stop - start]
+        begin, end, piece = begin[:last].astype(np.int64), end[:last].astype(np.int64), piece[:last]
+        inside = end // self.n + start <= self.lengths[end % self.n]
+        begin = begin[inside]
+        return stop - start, begin, end[inside], piece[inside], np.searchsorted(begin, np.arange(stop - start + 1) * self.n)
+
+
+def _long_batches(words: list[bytes], languages: int, vocabulary: Pieces) -> Iterator[tuple[np.ndarray, _Long]]:
+    """Long words, those of similar lengths together."""
+    at = sorted((i for i, w in enumerate(words) if len(w) > WORD_BYTES), key=lambda i: len(words[i]))
+    most = max(1, NUMBERS // (max(1, languages) * (vocabulary.longest + 1)))
+    while at:
+        k = 1
+        while k < min(len(at), most) and (k + 1) * len(words[at[k]]) <= LONG_BYTES:
+            k += 1
+        yield np.array(at[:k]), _Long([words[i] for i in at[:k]], vocabulary)
+        at = at[k:]
+
+
+def _rescale(rows: np.ndarray, power: np.ndarray) -> None:
+    """Multiplies sums by a power of two that brings the largest near 1; `power` keeps what they were multiplied by."""
+    shift = -np.frexp(rows.max(0))[1]
+    np.ldexp(rows, shift, out=rows)
+    power += shift
+
+
+def _long_scores(batch: _Long, model: np.ndarray) -> np.ndarray:
+    """(words, languages): log of the sum over all segmentations of words of any length."""
+    n, alive = batch.n, batch.alive
+    ring = np.zeros((alive, n, model.shape[1]))
+    ring[0] = 1
+    power = np.zeros(ring.shape[1:], np.int64)
+    out = np.empty(ring.shape[1:])
+    for start in batch.starts():
+        size, begin, end, piece, cuts = batch.segment(start)
+        word, to, chance = begin % n, (end // n + start) % alive, model[piece]
+        for i in range(size):
+            now = (start + i) % alive
+            if i % RESCALED == 0:
+                _rescale(ring, power)
+            mine = slice(cuts[i], cuts[i + 1])
+            ring[to[mine], word[mine]] += ring[now][word[mine]] * chance[mine]
+            ring[now] = 0
+            done = np.flatnonzero(batch.lengths == start + i + 1)
+            if len(done):
+                out[done] = np.log(ring[(now + 1) % alive, done]) - power[done] * np.log(2)
+    return out
+
+
+def _long_counts(batch: _Long, counts: np.ndarray, total: np.ndarray) -> None:
+    """Adds the expected counts of words of any length; counts: (words, languages).
+
+    The forward sums are kept at the start of each segment and made again
+    when the backward pass gets there, so memory does not grow with the words.
+    """
+    n, alive, weight = batch.n, batch.alive, 1 / 256
+
+    def forward(start: int, carried: np.ndarray, power: np.ndarray):
+        size, begin, end, piece, cuts = batch.segment(start)
+        fore, powers = np.zeros((size + alive, n)), np.zeros((size + 1, n), np.int64)
+        fore[:alive] = carried
+        power = power.copy()
+        for i in range(size):
+            if i % RESCALED == 0:
+                _rescale(fore[i : i + alive], power)
+            powers[i] = power
+            mine = slice(cuts[i], cuts[i + 1])
+            fore[end[mine] // n, end[mine] % n] += fore[i, begin[mine] % n] * weight
+        powers[size] = power
+        return fore, powers, (begin, end, piece, cuts)
+
+    carried, power = np.zeros((alive, n)), np.zeros(n, np.int64)
+    carried[0] = 1
+    saved, last, last_power = [], np.zeros(n), np.zeros(n, np.int64)
+    for start in batch.starts():
+        saved.append((start, carried, power))
+        fore, powers, _ = forward(start, carried, power)
+        size = len(powers) - 1
+        carried, power = fore[size:].copy(), powers[size].copy()
+        ends = np.flatnonzero((batch.lengths > start) & (batch.lengths <= start + size))
+        at = batch.lengths[ends] - start
+        last[ends], last_power[ends] = fore[at, ends], powers[at, ends]
+    after, back_power = np.zeros((alive, n)), np.zeros(n, np.int64)
+    for start, carried, power in reversed(saved):
+        fore, powers, (begin, end, piece, cuts) = forward(start, carried, power)
+        size = len(powers) - 1
+        back, share = np.zeros((size + alive, n)), np.empty(len(piece))
+        back[size:] = after
+        ends = np.flatnonzero((batch.lengths > start) & (batch.lengths <= start + size))
+        back[batch.lengths[ends] - start, ends], back_power[ends] = 1, 0
+        for i in range(size - 1, -1, -1):
+            if i % RESCALED == 0:
+                _rescale(back[i + 1 : i + 1 + alive], back_power)
+            mine = slice(cuts[i], cuts[i + 1])
+            word = begin[mine] % n
+            there = back[end[mine] // n, end[mine] % n] * weight
+            share[mine] = np.ldexp(fore[i, word] * there / last[word], last_power[word] - powers[i, word] - back_power[word])
+            back[i] += np.bincount(word, there, n)
+        after = back[:alive].copy()
+        share = np.rint(share * GRAIN)
+        for language in range(counts.shape[1]):
+            total[language] += np.bincount(piece, share * counts[begin % n, language], len(total[language]))
+
+
 def expected_counts(words: list[bytes], counts: np.ndarray, vocabulary: Pieces) -> np.ndarray:
     """(languages, pieces) expected counts in whole multiples of 1 / GRAIN; counts: (words, languages).
 
@@ -126,7 +259,9 @@ def expected_counts(words: list[bytes], counts: np.ndarray, vocabulary: Pieces)
     """
     total = np.zeros((counts.shape[1], vocabulary.size))
     weight = 1 / 256
-    for at, part in _by_length(words):
+    for at, batch in _long_batches(words, 1, vocabulary):
+        _long_counts(batch, counts[at], total)
+    for at, part in _by_length(words, 1):
         length, n = len(part[0]), len(part)
         begin, end, piece, cuts = vocabulary.lattice(part)
         fore, back = np.zeros((length + 1) * n), np.zeros((length + 1) * n)
@@ -147,7 +282,9 @@ def expected_counts(words: list[bytes], counts: np.ndarray, vocabulary: Pieces)
 def word_scores(words: list[bytes], model: np.ndarray, vocabulary: Pieces) -> np.ndarray:
     """(words, languages): log of the sum over all segmentations. model: (pieces + 1, languages), last row zero."""
     out = np.empty((len(words), model.shape[1]))
-    for at, part in _by_length(words):
+    for at, batch in _long_batches(words, model.shape[1], vocabulary):
+        out[at] = _long_scores(batch, model)
+    for at, part in _by_length(words, model.shape[1]):
         length, n = len(part[0]), len(part)
         begin, end, piece, cuts = vocabulary.lattice(part)
         fore = np.zeros(((length + 1) * n, model.shape[1]))
@@ -190,9 +327,11 @@ def _trainer(path: str, languages: list[str]):
             names=["language", "piece", "n"],
         )
 
+    at_once = min(WORDS_AT_ONCE, max(1, 4 * NUMBERS // len(languages)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        counts = np.zeros((WORDS_AT_ONCE, len(languages)))
+        counts = np.zeros((at_once, len(languages)))
         for batch in in_pieces(batches, PIECE_BYTES):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 words = words_of(text)
@@ -204,9 +343,9 @@ def _trainer(path: str, languages: list[str]):
                 if len(seen) > len(counts):
                     counts = np.concatenate([counts, np.zeros((len(seen), len(languages)))])
                 np.add.at(counts[:, number[label]], np.fromiter(map(seen.__getitem__, words), np.int64, len(words)), 1)
-                if len(seen) >= WORDS_AT_ONCE:
+                if len(seen) >= at_once:
                     yield emit(seen, counts[: len(seen)])
-                    seen, counts = {}, np.zeros((WORDS_AT_ONCE, len(languages)))
+                    seen, counts = {}, np.zeros((at_once, len(languages)))
         if seen:
             yield emit(seen, counts[: len(seen)])
 
@@ -270,7 +409,7 @@ def _predictor(shared, columns: list[str]):
                 best = int(total.argmax())
                 names.append(model.languages[best])
                 sure.append(float(1 / np.exp(total - total[best]).sum()))
-            if len(seen) > WORDS_AT_ONCE:
+            if len(seen) * len(model.languages) > 4 * NUMBERS or len(seen) > WORDS_AT_ONCE:
                 seen, scores = {}, np.empty((0, len(model.languages)))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in columns], pa.array(names, pa.string()), pa.array(sure, pa.float64())],
@@ -286,7 +425,8 @@ def predict(
     """`docs` with the language and its posterior probability (they replace columns of the names).
 
     A null text, or one without a letter, is `und` with score 0. Of languages
-    with equal scores the first by name wins.
+    with equal scores the first by name wins. Words are never cut: a run of any
+    length without white space is summed over all its segmentations.
     """
     from pyspark.sql.types import StructType
 

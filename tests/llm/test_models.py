@@ -113,7 +113,7 @@ def test_digest_array_confirms_strings(monkeypatch):
 def test_forward_sums_all_segmentations():
     path = bpe.default_path()
     v = G.pieces(path)
-    known = sorted(p for p in bpe._ranks(path) if len(p) <= G.LONGEST)
+    known = sorted(bpe._ranks(path))
     number = {p: i for i, p in enumerate(known)}
     model = np.random.default_rng(0).random((v.size + 1, 2))
     model[-1] = 0
@@ -121,7 +121,7 @@ def test_forward_sums_all_segmentations():
     def total(w):
         if not w:
             return np.ones(2)
-        return sum((model[number[w[:n]]] * total(w[n:]) for n in range(1, min(G.LONGEST, len(w)) + 1) if w[:n] in number), np.zeros(2))
+        return sum((model[number[w[:n]]] * total(w[n:]) for n in range(1, len(w) + 1) if w[:n] in number), np.zeros(2))
 
     words = [b" the", b" thering", "é".encode(), b"\x00\xff", b" a"]
     assert np.allclose(G.word_scores(words, model, v), [np.log(total(w)) for w in words])
@@ -130,6 +130,54 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(sum(len(p) * counts[i] for p, i in number.items()), sum(map(len, words)), rtol=1e-3)
 
 
+def uncut(word, number, model, weight=None):
+    """Logs of forward and backward sums of one word, by logarithms and byte by byte, and its pieces."""
+    n, languages = len(word), model.shape[1]
+    logs, longest = np.log(np.maximum(model, 1e-300)), max(map(len, number))
+    edges = [(i, j, number[word[i:j]]) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if word[i:j] in number]
+    fore, back = np.full((n + 1, languages), -np.inf), np.full((n + 1, languages), -np.inf)
+    fore[0], back[n] = 0, 0
+    for i, j, p in edges:
+        fore[j] = np.logaddexp(fore[j], fore[i] + logs[p])
+    for i, j, p in reversed(edges):
+        back[i] = np.logaddexp(back[i], back[j] + logs[p])
+    return fore, back, edges, logs
+
+
+def test_long_words_are_summed_uncut(monkeypatch):
+    path = bpe.default_path()
+    v, known = G.pieces(path), sorted(bpe._ranks(path))
+    number = {p: i for i, p in enumerate(known)}
+    rng = np.random.default_rng(5)
+    model = rng.random((v.size + 1, 3)) ** 8 * [1e-3, 1e-6, 1e-11]
+    model[-1] = 0
+    text = "the government of 中文文本没有空格 und überall ═══ 😀 " * 200
+    run = b" " + text.replace(" ", "").encode()
+    words = [run[:10_000], run[:65], run[:64], run[3:300], run[:4096], run[:4097], " ไทยไม่มีช่องว่าง".encode() * 40, b" the", run[:8000]]
+    for segment in (4096, 50):
+        monkeypatch.setattr(G, "SEGMENT", segment)
+        got = G.word_scores(words, model, v)
+        for i, w in enumerate(words):
+            assert np.allclose(got[i], uncut(w, number, model)[0][len(w)], rtol=1e-9)
+    flat = np.full((v.size + 1, 1), 1 / 256)
+    for segment in (4096, 50):
+        monkeypatch.setattr(G, "SEGMENT", segment)
+        got = G.expected_counts(words, np.arange(1.0, len(words) + 1)[:, None], v)[0] / G.GRAIN
+        want = np.zeros(v.size)
+        for k, w in enumerate(words, 1):
+            fore, back, edges, logs = uncut(w, number, flat)
+            for i, j, p in edges:
+                want[p] += k * np.exp(fore[i, 0] + logs[p, 0] + back[j, 0] - fore[len(w), 0])
+        assert np.allclose(got, want, atol=0.5, rtol=1e-3)
+
+
+def test_many_languages_take_small_batches():
+    words = [b" word%d" % i for i in range(3000)] + [b" " + b"x" * 5000]
+    assert max(len(p) for _, p in G._by_length(words, 500)) * 65 * 500 <= G.NUMBERS
+    v = G.pieces(bpe.default_path())
+    assert all(b.n * b.alive * 500 <= G.NUMBERS for _, b in G._long_batches([b" " + b"y" * 70] * 4000, 500, v))
+
+
 def test_forward_sums_use_the_whole_vocabulary():
     path = bpe.default_path()
     v = G.pieces(path)
