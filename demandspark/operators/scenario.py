@@ -201,9 +201,10 @@ def projected_grid(
     cells = (
         series.withColumn("_group", F.pmod(F.xxhash64(*SERIES), F.lit(groups)).cast("int"))
         .withColumn("_block", every(blocks))
-        .repartition(tasks, "_block", "_group", F.pmod(F.xxhash64(*SERIES), F.lit(max(1, tasks // (blocks * groups)))))
+        .repartition(tasks, "_block", "_group")
     )
-    met = cells.join(packed, ["_block", "_group"])
+    # Merged where the cells lie: a broadcast of a small side would gather the folds in few tasks.
+    met = cells.hint("merge").join(packed, ["_block", "_group"])
     return _projected(met.select(*series.columns, F.inline("_runs")), rules)
 
 
