@@ -55,6 +55,35 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
+def _whole(x: Column) -> Column:
+    """A whole number as a decimal, so that products are exact up to 38 digits."""
+    return x.try_cast("decimal(38,0)")
+
+
+def exact_variance(n: Column, total: Column, squares: Column) -> Column:
+    """Sample variance from n and the sums of whole numbers and of their squares; NULL below two values.
+
+    n * squares - total^2 is taken in decimals of 38 digits, so nothing
+    cancels. Where a product has more digits it is the difference of doubles.
+    """
+    exact = F.try_subtract(F.try_multiply(_whole(n), _whole(squares)), F.try_multiply(_whole(total), _whole(total)))
+    rough = n.cast("double") * squares.cast("double") - total.cast("double") * total.cast("double")
+    return F.try_divide(F.coalesce(exact.cast("double"), rough), n.cast("double") * (n.cast("double") - 1))
+
+
+def exact_day_slope(first: Column, last: Column, total: Column, products: Column) -> Column:
+    """Least-squares slope over every day from first to last, from the sums of units and of day times units.
+
+    Twice the covariance sum is the whole number 2 * products - total * (first
+    + last), exact in decimals and in doubles beyond them as `exact_variance` is.
+    """
+    n = (last - first + 1).cast("double")
+    ends = (first + last).cast("long")
+    exact = F.try_subtract(F.try_multiply(_whole(F.lit(2)), _whole(products)), F.try_multiply(_whole(total), _whole(ends)))
+    rough = 2 * products.cast("double") - total.cast("double") * ends.cast("double")
+    return F.try_divide(F.coalesce(exact.cast("double"), rough), n * (n * n - 1) / F.lit(6.0))
+
+
 def pct_change(now: Column, before: Column) -> Column:
     """Percent change rounded to 2 places; NULL without a non-zero base."""
     return F.round((ratio(now, before) - 1) * 100, 2)

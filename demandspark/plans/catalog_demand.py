@@ -32,6 +32,12 @@ def d03(t: RetailTables) -> DataFrame:
     return rounded(demand.volume_quantiles(t.stats), {"low_q": 6, "high_q": 6})
 
 
+@query("D03_volume_quantiles_sketch", one_pass=True)
+def d03_sketch(t: RetailTables) -> DataFrame:
+    """The cuts from sketches of each store, merged."""
+    return demand.sketched_volume_quantiles(demand.volume_sketches(t.stats, ["store_surr_id"]))
+
+
 @query("D04_weekly_growth", one_pass=True)
 def d04(t: RetailTables) -> DataFrame:
     return rounded(

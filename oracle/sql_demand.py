@@ -35,6 +35,9 @@ cte("x_cuts", """
   SELECT round(quantile_cont(CAST(total_units AS DOUBLE), 1.0 / 3.0), 6) AS low_q,
          round(quantile_cont(CAST(total_units AS DOUBLE), 2.0 / 3.0), 6) AS high_q FROM x_stats""")
 add("D03_volume_quantiles", "SELECT * FROM x_cuts")
+add("D03_volume_quantiles_sketch", """
+SELECT quantile_disc(total_units, 1.0 / 3.0) AS low_q, quantile_disc(total_units, 2.0 / 3.0) AS high_q,
+       count(*) AS n_series FROM x_stats""")
 cte("x_growth", f"""
   SELECT {K}, avg(units) AS avg_week_units, avg(units) FILTER (rn <= 4) AS recent_4wk_mean,
          avg(units) FILTER (rn BETWEEN 5 AND 8) AS prior_4wk_mean
