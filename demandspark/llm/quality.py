@@ -252,8 +252,8 @@ def _pooler(shared):
         vectors, rules = shared.value
         known = _Buckets(rules.buckets)
         for batch in in_pieces(batches):
-            rows = [pooled(token_buckets(t, known), vectors).tolist() for t in byte_views(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(rows, pa.list_(pa.float64()))], names=["id", "y", "x"])
+            rows = [pooled(token_buckets(t, known), vectors).tobytes() for t in byte_views(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(rows, pa.binary())], names=["id", "y", "x"])
 
     return run
 
@@ -269,7 +269,7 @@ def train(
     """Word vectors from all of `docs`; the network from those that `labels` marks 0 or 1.
 
     Of labels that share an id the lowest counts; null labels and ids are left
-    out. Rows of `docs` that share an id are all learned from.
+    out. Of rows of `docs` that share an id one is learned from, that of the smallest packed vector.
     """
     vectors = word_vectors(docs, text_col, rules)
     spark = docs.sparkSession
@@ -280,13 +280,11 @@ def train(
     there = ids.select("id").join(marked, "id").groupBy("id", "y").agg(F.count(F.lit(1)).alias("rows"))
     chosen = stage(there.orderBy(F.xxhash64("id"), "id").limit(rules.sample).select("id", "y"))
     sample = ids.join(F.broadcast(chosen), "id").select("id", "y", "text")
-    kind = StructType([sample.schema["id"], *StructType.fromDDL("y int, x array<double>").fields])
+    kind = StructType([sample.schema["id"], *StructType.fromDDL("y int, x binary").fields])
     rows = sample.mapInArrow(releasing_map(_pooler(spark.sparkContext.broadcast((vectors, rules)))), kind)
-    # Rows of one id count as one, by their mean, so the driver holds the sample and not its copies.
-    rows = rows.select("id", "y", F.posexplode("x").alias("at", "v")).groupBy("id", "y", "at").agg(F.avg("v").alias("v"))
-    rows = rows.groupBy("id", "y").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("x"))
-    found = sorted(((r["id"], r["y"], [v["v"] for v in r["x"]]) for r in rows.collect()), key=lambda r: r[0])
-    x = np.array([r[2] for r in found]).reshape(len(found), 2 * rules.size + 1)
+    # One row for each id, so the driver holds the sample and not its copies; a kilobyte each.
+    found = sorted(rows.groupBy("id", "y").agg(F.min("x").alias("x")).collect(), key=lambda r: r[0])
+    x = np.frombuffer(b"".join(r[2] for r in found), np.float64).reshape(len(found), 2 * rules.size + 1)
     target = np.array([r[1] for r in found], np.float64)
     fold = np.array([xxhash.xxh3_64_intdigest(str(r[0]).encode()) % rules.calibration for r in found], np.int64)
     network = fit(x[fold > 0], target[fold > 0], rules)
