@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from demandspark.session import stage
 
+#: Buckets of a small table, and rows that a bucket of a larger one holds.
 SPLITS = 64
+BUCKET_ROWS = 1_000_000
 
 
 def _splitters(keyed: DataFrame, splits: int) -> Column:
@@ -29,6 +31,21 @@ def _splitters(keyed: DataFrame, splits: int) -> Column:
     return sample.agg(F.sort_array(F.collect_list("_key"))).scalar()
 
 
+def _in_buckets(keyed: DataFrame, splits: int, bucket_rows: int) -> DataFrame:
+    """Rows with the number of their range of `_key`, in `_bucket`; buckets grow in number with the rows.
+
+    `keyed` is a written table. Up to `splits` full buckets every row looks its
+    place up in an array of split points. Beyond, a range exchange deals the
+    rows out, and what it did is written, so that all later reads agree.
+    """
+    rows = keyed.count()
+    if rows <= splits * bucket_rows:
+        pointed = keyed.withColumn("_points", _splitters(keyed, splits))
+        return pointed.withColumn("_bucket", F.size(F.filter("_points", lambda p: p < F.col("_key"))))
+    dealt = keyed.repartitionByRange(-(-rows // bucket_rows), "_key")
+    return stage(dealt.withColumn("_bucket", F.spark_partition_id()))
+
+
 def running_totals(
     df: DataFrame,
     order: list[Column],
@@ -39,6 +56,7 @@ def running_totals(
     splits: int = SPLITS,
     written: bool = False,
     within: list[str] | None = None,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add running sums (own row included) in ascending `order`.
 
@@ -55,15 +73,12 @@ def running_totals(
     named = [c.alias(f"_o{i}") for i, c in enumerate(order)]
     keyed = df.withColumn("_key", F.struct(*named))
     keyed = keyed if written else stage(keyed)
-    points = _splitters(keyed, splits)
-    bucketed = keyed.withColumn("_points", points).withColumn(
-        "_bucket", F.size(F.filter("_points", lambda p: p < F.col("_key")))
-    )
+    bucketed = _in_buckets(keyed, splits, bucket_rows)
     totals = bucketed.groupBy(*within, "_bucket").agg(
         *[F.sum(c).alias(f"_t_{name}") for name, c in measures.items()],
         *[F.sum(c).alias(f"_g_{name}") for name, c in (grand or {}).items()],
     )
-    # One row per bucket, so at most `splits` + 1 rows in a group of these windows.
+    # One row per bucket, so about one for every `bucket_rows` rows in a group of these windows.
     buckets = W.partitionBy(*within).orderBy("_bucket")
     earlier = buckets.rowsBetween(W.unboundedPreceding, -1)
     everything = buckets.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -107,20 +122,56 @@ def value_ranks(df: DataFrame, value: str, written: bool = False) -> DataFrame:
     )
 
 
-def percentile_rank(df: DataFrame, value: str, out: str, written: bool = False) -> DataFrame:
-    """(average rank - 1) / (n - 1), ties sharing their average; 0.5 for one row."""
+def percentile_rank(
+    df: DataFrame,
+    value: str,
+    out: str,
+    written: bool = False,
+    splits: int = SPLITS,
+    bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """(average rank - 1) / (n - 1), ties sharing their average; 0.5 for one row.
+
+    Rows are dealt to buckets by value and row, so one that half of the rows
+    share fills many buckets. Inside a bucket a window counts the smaller and
+    the equal rows. Only the lowest and the highest value of a bucket can go on
+    in another one: their counts, at most two for each bucket, are added over
+    the buckets and broadcast. No row meets another by its value.
+    """
     filled = df.withColumn(
-        "_v", F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0))
+        "_v", F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0)) + F.lit(0.0)
+    )
+    row = F.struct("_v", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    keyed = filled.withColumn("_key", row)
+    keyed = _in_buckets(keyed if written else stage(keyed), splits, bucket_rows)
+    edges = stage(
+        keyed.groupBy("_bucket").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    )
+    # Windows over one row for each bucket.
+    ordered = W.orderBy("_bucket")
+    placed = edges.select(
+        "*",
+        F.coalesce(F.sum("_n").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_n").over(ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_all"),
+    )
+    on_edge = keyed.join(F.broadcast(edges), "_bucket").filter(F.col("_v").isin(F.col("_lo"), F.col("_hi")))
+    held = on_edge.groupBy("_bucket", "_v").agg(F.count(F.lit(1)).alias("_c")).join(F.broadcast(placed), "_bucket")
+    # All rows of the first bucket of a value are smaller or equal unless the value is its lowest.
+    smaller = F.col("_before") + F.when(F.col("_v") == F.col("_lo"), 0).otherwise(F.col("_n") - F.col("_c"))
+    ties = held.groupBy("_v").agg(F.min(smaller).alias("_less"), F.sum("_c").alias("_equal"))
+    inside = W.partitionBy("_bucket").orderBy("_v")
+    counted = (
+        keyed.withColumn("_below", F.rank().over(inside) - 1)
+        .withColumn("_same", F.count(F.lit(1)).over(W.partitionBy("_bucket", "_v")))
+        .join(F.broadcast(placed.select("_bucket", "_before", "_all")), "_bucket")
+        .join(F.broadcast(ties), "_v", "left")
     )
-    ranks = value_ranks(filled, "_v", written).select(
-        "_v",
-        F.when(F.col("n_all") == 1, F.lit(0.5))
-        .otherwise(
-            (F.col("n_up_to") - (F.col("n_equal") - 1) / F.lit(2.0) - 1) / (F.col("n_all") - 1)
-        )
-        .alias(out),
+    less = F.coalesce("_less", F.col("_before") + F.col("_below"))
+    equal = F.coalesce("_equal", "_same")
+    rank = F.when(F.col("_all") == 1, F.lit(0.5)).otherwise(
+        (less + (equal - 1) / F.lit(2.0)) / (F.col("_all") - 1)
     )
-    return filled.join(ranks, "_v").drop("_v")
+    return counted.select(*[F.col(f"`{c}`") for c in df.columns], rank.alias(out))
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float]) -> DataFrame:

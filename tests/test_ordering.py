@@ -84,3 +84,45 @@ def test_pages_and_top_rows(hot):
     order = [F.asc("v"), F.asc("id")]
     assert [r["id"] for r in page(df, order, 3, 10).collect()] == want[20:30]
     assert [r["id"] for r in top_n(df, order, 5, "rank").orderBy("rank").collect()] == want[:5]
+
+
+@pytest.mark.parametrize("splits,rows", [(64, 1_000_000), (5, 1_000_000), (64, 7)])
+def test_ties_are_carried_across_buckets(spark, splits, rows):
+    rng = random.Random(3)
+    values = [0.0] * 500 + [rng.choice([-1.0, 1.0, 2.5, None, float("nan"), -0.0]) for _ in range(300)] + [rng.random() for _ in range(200)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double").repartition(5)
+    clean = [0.0 if v is None or v != v else v for v in values]
+    order = sorted(clean)
+    first = {v: order.index(v) for v in clean}
+    count = {v: clean.count(v) for v in clean}
+    got = percentile_rank(df, "v", "p", splits=splits, bucket_rows=rows)
+    assert got.columns == ["id", "v", "p"]
+    for r in got.collect():
+        v = clean[r.id]
+        assert r.p == pytest.approx((first[v] + (count[v] - 1) / 2) / (len(values) - 1), abs=1e-12)
+
+
+def test_half_of_the_rows_equal_and_no_task_over_a_twentieth(spark):
+    from demandspark.functions.ordering import _in_buckets
+
+    df = spark.range(40_000).select("id", F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("id").cast("double")).alias("v"))
+    keyed = df.withColumn("_key", F.struct("v", F.xxhash64("id")))
+    for splits, rows in ((64, 1_000_000), (2, 1000)):
+        sizes = [r["count"] for r in _in_buckets(keyed, splits, rows).groupBy("_bucket").count().collect()]
+        assert sum(sizes) == 40_000 and max(sizes) <= 2000 * (1 if splits == 2 else 1.5)
+
+
+def test_buckets_grow_with_the_rows_and_ranks_stay(spark):
+    from demandspark.functions.ordering import _in_buckets
+
+    df = spark.range(3000).select(((F.col("id") * 7919) % 3000).alias("id"))
+    keyed = df.withColumn("_key", F.struct("id"))
+    assert _in_buckets(keyed, 4, 10).select("_bucket").distinct().count() > 200
+    got = running_totals(df, [F.col("id")], {"run": F.col("id")}, row_number="rank", splits=4, bucket_rows=10).collect()
+    assert all(r["rank"] == r["id"] + 1 and r["run"] == r["id"] * (r["id"] + 1) // 2 for r in got) and len(got) == 3000
+
+
+def test_ranks_of_one_row_and_none(spark):
+    one = spark.createDataFrame([(1, 3.0)], "id int, v double")
+    assert [r["p"] for r in percentile_rank(one, "v", "p").collect()] == [0.5]
+    assert percentile_rank(one.limit(0), "v", "p").count() == 0
