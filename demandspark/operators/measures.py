@@ -26,47 +26,47 @@ def totals(weekly: DataFrame, context: list[str]) -> DataFrame:
     )
 
 
-def _previous(periods: DataFrame, order: list[str], out: dict[str, str]) -> DataFrame:
-    """Change of each measure against the period before; few rows, one per period."""
-    w = W.orderBy(*order)
-    return periods.select(
-        *order,
-        *[
-            pct_change_positive_base(F.col(c), F.lag(c).over(w)).alias(name)
-            for c, name in out.items()
-        ],
+def _previous(periods: DataFrame, ordinal: Column, out: dict[str, str]) -> DataFrame:
+    """Change of each measure against the period before in the calendar; few rows, one per period.
+
+    `ordinal` counts periods without gaps, so a period that has no rows is
+    missing from the range and not replaced by an earlier one.
+    """
+    before = W.orderBy("_ordinal").rangeBetween(-1, -1)
+    numbered = periods.withColumn("_ordinal", ordinal.cast("long"))
+    return numbered.withColumns(
+        {name: pct_change_positive_base(F.col(c), F.max(c).over(before)) for c, name in out.items()}
     )
 
 
 def growth(weekly: DataFrame, dates: DataFrame) -> DataFrame:
-    """Week, quarter and year changes; blank when the base is not positive."""
+    """Week, quarter and year changes; blank when the period before has no rows or no positive base.
+
+    The period before is that of the calendar: the week before, the quarter
+    before (the fourth one of the year before for a first one), the year before.
+    """
     weeks = week_totals(weekly).join(
-        F.broadcast(dim_week(dates).select("wm_yr_wk", "year", "quarter")), "wm_yr_wk"
+        F.broadcast(dim_week(dates).select("wm_yr_wk", "week_id", "year", "quarter")), "wm_yr_wk"
     )
     sums = [F.sum("units").alias("units"), F.sum("revenue").alias("revenue")]
-    per_week = _previous(
-        weeks.select("wm_yr_wk", "units", "revenue"),
-        ["wm_yr_wk"],
-        {"revenue": "revenue_pct", "units": "units_pct"},
-    ).select(
-        F.lit("week").alias("period"),
-        F.col("wm_yr_wk").alias("period_key"),
-        "revenue_pct",
-        "units_pct",
-    )
-    quarters = weeks.groupBy("year", "quarter").agg(*sums)
-    per_quarter = _previous(quarters, ["year", "quarter"], {"revenue": "revenue_pct"}).select(
-        F.lit("quarter").alias("period"),
-        (F.col("year") * 10 + F.col("quarter")).alias("period_key"),
-        "revenue_pct",
-        F.lit(None).cast("double").alias("units_pct"),
-    )
-    per_year = _previous(
-        weeks.groupBy("year").agg(*sums), ["year"], {"revenue": "revenue_pct", "units": "units_pct"}
-    ).select(
-        F.lit("year").alias("period"), F.col("year").alias("period_key"), "revenue_pct", "units_pct"
+    both = {"revenue": "revenue_pct", "units": "units_pct"}
+
+    def rows(name: str, totals: DataFrame, ordinal: Column, key: Column, out: dict[str, str]) -> DataFrame:
+        changes = _previous(totals, ordinal, out)
+        none = F.lit(None).cast("double")
+        return changes.select(
+            F.lit(name).alias("period"),
+            key.alias("period_key"),
+            *[(F.col(c) if c in changes.columns else none).alias(c) for c in both.values()],
+        )
+
+    year, quarter = F.col("year"), F.col("quarter")
+    per_quarter = weeks.groupBy("year", "quarter").agg(*sums)
+    return (
+        rows("week", weeks, F.col("week_id"), F.col("wm_yr_wk"), both)
+        .unionByName(rows("quarter", per_quarter, year * 4 + quarter, year * 10 + quarter, {"revenue": "revenue_pct"}))
+        .unionByName(rows("year", weeks.groupBy("year").agg(*sums), year, year, both))
     )
-    return per_week.unionByName(per_quarter).unionByName(per_year)
 
 
 def entity_share(wide: DataFrame, scope: list[str], entity: list[str]) -> DataFrame:

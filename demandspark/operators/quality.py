@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from demandspark.config import PROVENANCES, SERIES
 from demandspark.functions.exprs import ratio
+from demandspark.sources.raw_files import day_columns
 
 # Required columns of the raw files.
 CALENDAR_COLUMNS = (
@@ -64,6 +65,52 @@ def check_numeric_types(df: DataFrame, columns: list[str], label: str) -> DataFr
     )
 
 
+def check_file_columns(raw: DataFrame, required: tuple[str, ...], label: str, days: bool = False) -> DataFrame:
+    """The header of a file (read as text) names the required columns; `days` asks for day columns without a gap.
+
+    The detail names what is missing and counts rows. A file without any day
+    column misses `d_*`.
+    """
+    missing = sorted(set(required) - set(raw.columns))
+    if days:
+        numbers = [int(c[2:]) for c in day_columns(raw.columns)]
+        held = set(numbers)
+        missing += [f"d_{n}" for n in range(min(held), max(held) + 1) if n not in held] if held else ["d_*"]
+    return check_row(
+        raw.agg(F.count(F.lit(1)).alias("n")),
+        "structural",
+        f"columns:{label}",
+        F.lit("fail" if missing else "pass"),
+        F.concat(F.lit(f"missing={','.join(missing)} rows="), F.col("n").cast("string")),
+    )
+
+
+def check_file_numbers(raw: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """Every value that is there in these columns of a file (read as text) is a number.
+
+    One pass over the text; only cells that are no number leave their row. The
+    detail names the columns that hold one and counts rows. A column that the
+    file lacks is not judged here.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").alias("v")) for c in columns if c in raw.columns])
+    if not any(c in raw.columns for c in columns):
+        cells = F.array().cast("array<struct<c:string,v:string>>")
+    wrong = F.transform(
+        F.filter(cells, lambda x: x["v"].isNotNull() & x["v"].try_cast("double").isNull()), lambda x: x["c"]
+    )
+    judged = raw.select(wrong.alias("_wrong"))
+    named = judged.select(F.explode("_wrong").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("k"))
+    bad = named.agg(F.array_join(F.sort_array(F.collect_list("c")), ",").alias("names"))
+    measured = judged.agg(F.count(F.lit(1)).alias("n")).select("n", bad.scalar().alias("names"))
+    return check_row(
+        measured,
+        "structural",
+        f"numeric:{label}",
+        _pass_if(F.col("names") == ""),
+        F.concat(F.lit("not numeric="), F.col("names"), F.lit(" rows="), F.col("n").cast("string")),
+    )
+
+
 def duplicate_rows(df: DataFrame, key: list[str]) -> DataFrame:
     """One row: rows beyond the first of each key."""
     counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))

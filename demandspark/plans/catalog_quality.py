@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from demandspark.config import SERIES
-from demandspark.operators import contribution, quality, weekly
+from demandspark.operators import contribution, forecast, quality, weekly
 from demandspark.plans.catalog import query
 from demandspark.plans.retail import RetailTables
+from demandspark.session import new_stage_path
+from demandspark.sources import raw_files
 
 
 def _raw(t: RetailTables) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -31,6 +33,44 @@ def b02(t: RetailTables) -> DataFrame:
     return quality.check_numeric_types(t.source.staged_sales(), ["day_index", "units"], "sales")
 
 
+def _sales_files(t: RetailTables) -> dict[str, DataFrame]:
+    """The last eight weeks as wide files, read as text: a sound one, one without a day, one with a word as a day's units."""
+    last = t.clock.observed_end
+    first = last - 2 * t.clock.horizon + 1
+    wide = (
+        forecast.trailing_window_arrays(t.daily, {"days": (first, last)})
+        .join(t.product, "product_surr_id")
+        .join(t.store, "store_surr_id")
+        .select(
+            F.concat_ws("_", "product_id", "store_id").alias("id"),
+            F.col("product_id").alias("item_id"), "dept_id", F.col("category_id").alias("cat_id"), "store_id", "state_id",
+            *[F.col("days")[i].cast("int").cast("string").alias(f"d_{first + i}") for i in range(last - first + 1)],
+        )
+    )
+    word = F.when(F.col("store_id") == F.col("item_id"), F.col(f"d_{last}")).otherwise("none")
+    kinds = {"sound": wide, "gap": wide.drop(f"d_{t.clock.train_end}"), "word": wide.withColumn(f"d_{last}", word)}
+    out = {}
+    for name, df in kinds.items():
+        path = new_stage_path(t.spark, f"sales-{name}")
+        df.write.option("header", True).csv(path)
+        out[name] = raw_files.read_as_text(t.spark, path)
+    return out
+
+
+@query("B01_check_schema_files")
+def b01_files(t: RetailTables) -> DataFrame:
+    return quality.union_all([
+        quality.check_file_columns(raw, quality.SALES_COLUMNS, f"sales_{name}", days=True) for name, raw in _sales_files(t).items()
+    ])
+
+
+@query("B02_check_numeric_files")
+def b02_files(t: RetailTables) -> DataFrame:
+    return quality.union_all([
+        quality.check_file_numbers(raw, raw_files.day_columns(raw.columns), f"sales_{name}") for name, raw in _sales_files(t).items()
+    ])
+
+
 @query("B03_check_duplicates")
 def b03(t: RetailTables) -> DataFrame:
     """Two keys that hold, and one of the order lines that does not."""

@@ -90,3 +90,14 @@ def melt_sales_long(wide: DataFrame) -> DataFrame:
         (F.col("_pos") + first).cast("int").alias("day_index"),
         "units",
     )
+
+
+def read_as_text(spark: SparkSession, path: str) -> DataFrame:
+    """A file under the names of its own header, every column as text: nothing is forced on it before it is checked."""
+    return spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
+
+
+def day_columns(columns: list[str]) -> list[str]:
+    """Columns `d_<number>`, in the order of the numbers."""
+    found = [c for c in columns if c.startswith("d_") and c[2:].isdigit()]
+    return sorted(found, key=lambda c: int(c[2:]))

@@ -41,6 +41,23 @@ check(
 )
 
 
+_FILE = "SELECT (SELECT count(*) FROM x_series) AS n, (SELECT final_day FROM x_clock) AS last_day"
+check(
+    "B01_check_schema_files",
+    ("structural", "columns:sales_sound", "'pass'", "'missing= rows=' || n", _FILE),
+    ("structural", "columns:sales_gap", "'fail'", "'missing=d_' || (last_day - 28) || ' rows=' || n", _FILE),
+    ("structural", "columns:sales_word", "'pass'", "'missing= rows=' || n", _FILE),
+    summed=False,
+)
+check(
+    "B02_check_numeric_files",
+    ("structural", "numeric:sales_sound", "'pass'", "'not numeric= rows=' || n", _FILE),
+    ("structural", "numeric:sales_gap", "'pass'", "'not numeric= rows=' || n", _FILE),
+    ("structural", "numeric:sales_word", "'fail'", "'not numeric=d_' || last_day || ' rows=' || n", _FILE),
+    summed=False,
+)
+
+
 def _dup(table: str, key: str) -> str:
     return f"SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT {key} FROM {table})) AS n FROM {table}"
 

@@ -138,14 +138,14 @@ FROM x_wide GROUP BY category_surr_id, region_id""")
 
 
 def _base(col: str, order: str) -> str:
-    lag = f"lag({col}) OVER (ORDER BY {order})"
+    lag = f"max({col}) OVER (ORDER BY {order} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)"
     return f"CASE WHEN {lag} > 0 THEN round((CAST({col} AS DOUBLE) / {lag} - 1) * 100, 2) END"
 
 
 add("C24_m_growth", f"""
 SELECT 'week' AS period, wm_yr_wk AS period_key, {_base('revenue', 'wm_yr_wk')} AS revenue_pct,
        {_base('units', 'wm_yr_wk')} AS units_pct FROM x_week_totals
-UNION ALL SELECT 'quarter', year * 10 + quarter, {_base('revenue', 'year, quarter')}, NULL FROM x_quarters
+UNION ALL SELECT 'quarter', year * 10 + quarter, {_base('revenue', 'year * 4 + quarter')}, NULL FROM x_quarters
 UNION ALL SELECT 'year', year, {_base('revenue', 'year')}, {_base('units', 'year')} FROM x_years""")
 add("C25_m_shares", """
 SELECT product_surr_id, product_id, CAST(rev AS DOUBLE) / 100 AS revenue,
