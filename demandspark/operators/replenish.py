@@ -69,6 +69,8 @@ def inventory_policy(
     service_level: Column | None = None,
     multiple: Column | None = None,
     cap: Column | None = None,
+    starting_cover: Column | None = None,
+    excess_cover: Column | None = None,
 ) -> DataFrame:
     """Size the (s,Q) policy of each row from its demand mean and deviation.
 
@@ -79,6 +81,8 @@ def inventory_policy(
     level = F.lit(rules.service_level) if service_level is None else service_level
     multiple = F.lit(rules.reorder_qty_multiple) if multiple is None else multiple
     cap = F.lit(rules.max_order_qty_coverage_days) if cap is None else cap
+    start = F.lit(rules.starting_coverage_days) if starting_cover is None else starting_cover
+    excess = F.lit(rules.excess_coverage_days) if excess_cover is None else excess_cover
     mean = F.coalesce(F.col("mean_daily_units").cast("double"), F.lit(0.0))
     sigma = F.coalesce(F.col("std_daily_units").cast("double"), F.lit(0.0))
     return (
@@ -97,8 +101,8 @@ def inventory_policy(
                     F.col("_mean"), F.col("lead_time_days"), F.col("safety_stock")
                 ),
                 "reorder_qty": reorder_quantity(F.col("_mean"), multiple, cap),
-                "starting_inventory": F.round(F.lit(rules.starting_coverage_days) * F.col("_mean"), 6),
-                "excess_coverage_days": F.lit(rules.excess_coverage_days),
+                "starting_inventory": F.round(start * F.col("_mean"), 6),
+                "excess_coverage_days": excess,
             }
         )
         .drop("_mean", "_sigma")

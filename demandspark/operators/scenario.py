@@ -167,37 +167,28 @@ def projected_scenarios(
     return _projected(series.select(series.columns + [F.inline(_scenario_array(scenarios))]), rules)
 
 
-def projected_grid(
-    moments: DataFrame,
-    vectors: DataFrame,
-    grid: DataFrame,
-    rules: PolicyRules = RULES,
-    grid_rows: int = 64,
-    series_rows: int = 2048,
+def in_cells(
+    series: DataFrame, rows: DataFrame, key: str, grid_rows: int = 64, series_rows: int = 2048
 ) -> DataFrame:
-    """Every series under every row of a grid that is a table, with policy and trace.
+    """Every series with the columns of every row of a table of runs, whose `key` is its own.
 
-    The rows must be sound, see `split_grid`. All pairs are the result, so they
-    are made in cells: a block of about `grid_rows` of the grid, packed into one
-    row, meets about `series_rows` series. Blocks are copied once for each group
-    of series and series once for each block; no task holds more than a few
-    cells, whatever the sizes of both sides.
+    All pairs are the result, so they are made in cells: a block of about
+    `grid_rows` runs, packed into one row, meets about `series_rows` series.
+    Blocks are copied once for each group of series and series once for each
+    block; no task holds more than a few cells, whatever the sizes of both
+    sides.
     """
-    entry = F.struct(
-        "scenario_id", "scenario_name", "scenario_type",
-        *[F.col(name).cast("double").alias(f"_{name}") for name in _PARAMETERS],
-    )
-    sound = stage(grid.select(entry.alias("_run")))
-    series = stage(moments.join(vectors, SERIES))
-    blocks = max(1, -(-sound.count() // grid_rows))
+    runs = stage(rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_run")))
+    series = stage(series)
+    blocks = max(1, -(-runs.count() // grid_rows))
     groups = max(1, -(-series.count() // series_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     packed = (
-        sound.groupBy(F.pmod(F.xxhash64("_run.scenario_id"), F.lit(blocks)).cast("int").alias("_block"))
+        runs.groupBy(F.pmod(F.xxhash64(f"_run.{key}"), F.lit(blocks)).cast("int").alias("_block"))
         .agg(F.collect_list("_run").alias("_runs"))
         .withColumn("_group", every(groups))
     )
-    tasks = max(int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * groups)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * groups)
     cells = (
         series.withColumn("_group", F.pmod(F.xxhash64(*SERIES), F.lit(groups)).cast("int"))
         .withColumn("_block", every(blocks))
@@ -205,7 +196,51 @@ def projected_grid(
     )
     # Merged where the cells lie: a broadcast of a small side would gather the folds in few tasks.
     met = cells.hint("merge").join(packed, ["_block", "_group"])
-    return _projected(met.select(*series.columns, F.inline("_runs")), rules)
+    return met.select(*series.columns, F.inline("_runs"))
+
+
+def projected_grid(
+    moments: DataFrame,
+    vectors: DataFrame,
+    grid: DataFrame,
+    rules: PolicyRules = RULES,
+    grid_rows: int = 64,
+    series_rows: int = 2048,
+) -> DataFrame:
+    """Every series under every row of a grid that is a table, with policy and trace; the rows must be sound, see `split_grid`."""
+    rows = grid.select(
+        "scenario_id", "scenario_name", "scenario_type",
+        *[F.col(name).cast("double").alias(f"_{name}") for name in _PARAMETERS],
+    )
+    return _projected(in_cells(moments.join(vectors, SERIES), rows, "scenario_id", grid_rows, series_rows), rules)
+
+
+#: Columns of a table of assumption sets, beside `assumption_set_id`.
+ASSUMPTIONS = {
+    "lead_time_days": "lead_time", "service_level": "service_level", "reorder_qty_multiple": "multiple",
+    "max_order_qty_coverage_days": "cap", "starting_coverage_days": "starting_cover", "excess_coverage_days": "excess_cover",
+}
+
+
+def projected_sets(moments: DataFrame, vectors: DataFrame, sets: DataFrame, rules: PolicyRules = RULES) -> DataFrame:
+    """Policy and trace of every series under every assumption set, all sets in one pass.
+
+    `sets` has an `assumption_set_id` of its own in each row and any of the
+    columns in `ASSUMPTIONS`; a column that is missing, or a null, is the value
+    of `rules`.
+    """
+    given = [c for c in ASSUMPTIONS if c in sets.columns]
+    rows = sets.select("assumption_set_id", *[F.coalesce(F.col(c).cast("double"), F.lit(float(getattr(rules, c)))).alias(f"_{c}") for c in given])
+    runs = in_cells(moments.join(vectors, SERIES), rows, "assumption_set_id")
+    policy = inventory_policy(runs, rules, **{ASSUMPTIONS[c]: F.col(f"_{c}") for c in given})
+    return with_trace(policy.drop(*[f"_{c}" for c in given]))
+
+
+def sensitivity(moments: DataFrame, vectors: DataFrame, sets: DataFrame, rules: PolicyRules = RULES) -> DataFrame:
+    """Portfolio outcome of every assumption set."""
+    projected = projected_sets(moments, vectors, sets, rules)
+    outcome = projection_summary(projected, ["assumption_set_id", *SERIES, "service_level_target"])
+    return population_aggregate(outcome, ("assumption_set_id",))
 
 
 def grid_result(moments: DataFrame, vectors: DataFrame, grid: DataFrame, rules: PolicyRules = RULES) -> DataFrame:
@@ -309,11 +344,11 @@ def scenario_deltas(results: DataFrame) -> DataFrame:
 # -- portfolio --------------------------------------------------------------------------------
 
 
-def population_aggregate(results: DataFrame) -> DataFrame:
+def population_aggregate(results: DataFrame, by: tuple[str, ...] = ("scenario_name", "scenario_type")) -> DataFrame:
     """Portfolio totals and means per scenario."""
     total = lambda c: unscaled(F.sum(scaled(F.col(c))))
     mean = lambda c, p=4: mean_of_scaled(F.sum(scaled(F.col(c), p)), F.count(F.lit(1)), p)
-    return results.groupBy("scenario_name", "scenario_type").agg(
+    return results.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_series"),
         mean("avg_inventory_position").alias("avg_inventory_position"),
         mean("avg_on_hand").alias("avg_on_hand"),
@@ -366,20 +401,26 @@ _BLOCKS = {
 
 
 def action_tradeoff(
-    population: DataFrame, holding_cost: float | None = None, penalty: float | None = None
+    population: DataFrame,
+    holding_cost: float | None = None,
+    penalty: float | None = None,
+    days: float = 28.0,
+    target: str | None = None,
+    baseline: str | None = None,
 ) -> DataFrame:
     """Baseline, scenario and difference of each measure, in blocks.
 
-    `population` has one row per scenario; the baseline row is read as a
-    scalar.
+    `population` has one row per scenario; the row compared with is read as a
+    scalar. That is the scenario named `baseline`, or the one of that type;
+    `target` names the only one compared, all others without it. `days` is the
+    period that stock is held for, 1 to 365.
     """
+    if not 1 <= days <= 365:
+        raise ValueError("a holding period is 1 to 365 days")
     measures = [m for block in _BLOCKS.values() for m in block]
-    base = (
-        population.filter(F.col("scenario_type") == "baseline")
-        .agg(F.max(F.struct(*measures)))
-        .scalar()
-    )
-    others = population.filter(F.col("scenario_type") != "baseline").withColumn("_b", base)
+    is_base = F.col("scenario_type") == "baseline" if baseline is None else F.col("scenario_name") == baseline
+    base = population.filter(is_base).agg(F.max(F.struct(*measures))).scalar()
+    others = population.filter(~is_base if target is None else F.col("scenario_name") == target).withColumn("_b", base)
 
     def block(names: tuple[str, ...]) -> Column:
         fields = []
@@ -396,6 +437,7 @@ def action_tradeoff(
         {"baseline": F.col("_b.total_stockout_units"), "scenario": F.col("total_stockout_units")},
         holding_cost,
         penalty,
+        days,
     )
     monetary = (
         F.struct(*[c.alias(n) for n, c in money.items()])
@@ -404,7 +446,7 @@ def action_tradeoff(
     )
     return others.select(
         "scenario_name",
-        F.lit("baseline").alias("baseline_scenario"),
+        F.lit(baseline or "baseline").alias("baseline_scenario"),
         "n_series",
         *[block(names).alias(name) for name, names in _BLOCKS.items()],
         monetary.alias("monetary"),

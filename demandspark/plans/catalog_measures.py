@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from demandspark.config import SERIES
-from demandspark.operators import demand, forecast, measures
+from demandspark.operators import demand, forecast, measures, scenario
 from demandspark.plans.catalog import query
 from demandspark.plans.retail import RetailTables
 
@@ -102,6 +102,19 @@ def c36(t: RetailTables) -> DataFrame:
     return measures.inventory_by_day(t.projection)
 
 
+@query("C36_sensitivity_by_set")
+def c36_sets(t: RetailTables) -> DataFrame:
+    """Portfolio outcome under five assumption sets, one for each region row: longer lead times, higher levels, larger orders."""
+    k = F.col("r_regionkey")
+    sets = t.source.table("region").select(
+        (k + 1).cast("int").alias("assumption_set_id"),
+        (3 + 2 * k).alias("lead_time_days"),
+        F.round(0.9 + k * 0.02, 4).alias("service_level"),
+        (5 + k).alias("reorder_qty_multiple"),
+    )
+    return scenario.sensitivity(t.moments, t.vectors, sets)
+
+
 @query("C36_inventory_breakdowns")
 def c36_breakdowns(t: RetailTables) -> DataFrame:
     return measures.inventory_breakdowns(t.baseline, t.product, t.store)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from demandspark.config import SERIES
 from demandspark.functions.exprs import z_service
 from demandspark.functions.ordering import percentile_rank
-from demandspark.operators import facts, replenish, risk, scenario
+from demandspark.operators import facts, forecast, replenish, risk, scenario
 from demandspark.plans.catalog import query, rounded
 from demandspark.plans.catalog_demand import TOKEN
 from demandspark.plans.retail import RetailTables
@@ -287,6 +287,16 @@ def g16(t: RetailTables) -> DataFrame:
     )
 
 
+@query("G16_tradeoff_of_one_action")
+def g16_one(t: RetailTables) -> DataFrame:
+    """A higher service level against a longer lead time, stock held for 90 days."""
+    rows = scenario.action_tradeoff(
+        scenario.population_aggregate(t.results), 0.05, 1.5, days=90.0, target="service_level_99", baseline="lead_time_plus_2d"
+    )
+    costs = [f"{who}_{what}" for who in ("baseline", "scenario", "delta") for what in ("holding_cost", "stockout_cost")]
+    return rounded(rows.select("scenario_name", "baseline_scenario", "monetary.*"), {c: 4 for c in costs})
+
+
 @query("G17_reproducibility_record")
 def g17(t: RetailTables) -> DataFrame:
     return scenario.reproducibility_record(t.results, t.clock).drop("record")
@@ -337,6 +347,8 @@ def g24(t: RetailTables) -> DataFrame:
         t.results.agg(n).scalar().alias("scenario_rows"),
         t.scored.agg(n).scalar().alias("evaluation_rows"),
         tradeoff.scalar().alias("comparison_rows"),
+        t.pilot.agg(n).scalar().alias("pilot_series"),
+        forecast.champion_model(t.selected).agg(F.max("model")).scalar().alias("selected_model"),
     )
 
 

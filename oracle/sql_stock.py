@@ -366,6 +366,24 @@ for _name in ("x_policy", "x_run", "x_fold", "x_day", "x_summary", "x_sim"):
     cte(_GRID[_name], _on_grid(CTES[_name]))
 add("G02_grid_violations", "SELECT * FROM x_faults")
 add("G08_scenario_grid", _on_grid(_POP))
+# And with assumption sets in place of it.
+cte("x_sets", """
+  SELECT CAST(r_regionkey + 1 AS INTEGER) AS scenario_id, 'set' AS scenario_name, 'set' AS scenario_type, CAST(NULL AS DOUBLE) AS pct,
+         CAST(3 + 2 * r_regionkey AS DOUBLE) AS lt, round(CAST(0.9 AS DOUBLE) + r_regionkey * CAST(0.02 AS DOUBLE), 4) AS sl,
+         CAST(5 + r_regionkey AS DOUBLE) AS mult, CAST(28.0 AS DOUBLE) AS cap FROM region""")
+_SETS = {"x_scenario": "x_sets", "x_policy": "x_spolicy", "x_run": "x_srun", "x_fold": "x_sfold",
+         "x_day": "x_sday", "x_summary": "x_ssummary", "x_sim": "x_ssim", "x_result": "x_ssim"}
+
+
+def _on_sets(sql: str) -> str:
+    return re.sub(r"\bx_[a-z]+\b", lambda m: _SETS.get(m.group(), m.group()), sql)
+
+
+for _name in ("x_policy", "x_run", "x_fold", "x_day", "x_summary", "x_sim"):
+    cte(_SETS[_name], _on_sets(CTES[_name]))
+add("C36_sensitivity_by_set", _on_sets(_POP).replace(
+    "SELECT scenario_name, scenario_type,", "SELECT scenario_id AS assumption_set_id,").replace(
+    "GROUP BY scenario_name, scenario_type", "GROUP BY scenario_id"))
 cte("x_pop", _POP)
 add("G14_population_aggregate", "SELECT * FROM x_pop")
 _MEASURES = ("avg_inventory_position", "total_reorder_units", "total_reorder_frequency",
@@ -396,6 +414,18 @@ SELECT s.scenario_name, {_cost('b.avg_inventory_position', '0.05')} AS baseline_
        {_cost('s.total_stockout_units', '1.5')} AS scenario_stockout_cost,
        {_cost('s.total_stockout_units - b.total_stockout_units', '1.5')} AS delta_stockout_cost
 FROM x_pop s, x_pop b WHERE b.scenario_type = 'baseline' AND s.scenario_type <> 'baseline'""")
+def _cost90(c: str, k: str) -> str:
+    return _cost(c, k).replace("28.0", "90.0")
+
+
+add("G16_tradeoff_of_one_action", f"""
+SELECT s.scenario_name, b.scenario_name AS baseline_scenario, {_cost90('b.avg_inventory_position', '0.05')} AS baseline_holding_cost,
+       {_cost90('s.avg_inventory_position', '0.05')} AS scenario_holding_cost,
+       {_cost90('s.avg_inventory_position - b.avg_inventory_position', '0.05')} AS delta_holding_cost,
+       {_cost90('b.total_stockout_units', '1.5')} AS baseline_stockout_cost,
+       {_cost90('s.total_stockout_units', '1.5')} AS scenario_stockout_cost,
+       {_cost90('s.total_stockout_units - b.total_stockout_units', '1.5')} AS delta_stockout_cost
+FROM x_pop s, x_pop b WHERE b.scenario_name = 'lead_time_plus_2d' AND s.scenario_name = 'service_level_99'""")
 add("G17_reproducibility_record", """
 SELECT scenario_name, scenario_type, count(*) AS row_count, max(lead_time_days) AS lead_time_days,
        max(service_level_target) AS service_level_target,
@@ -438,9 +468,11 @@ SELECT {K}, wm_yr_wk, units FROM x_weekly JOIN x_pilot USING ({K}) WHERE units >
 add("G24_health_anchors", f"""
 SELECT (SELECT CAST(sum(units) AS BIGINT) FROM x_weekly) AS observed_units,
        (SELECT count(*) FROM x_final) AS forecast_rows,
-       (SELECT count(*) FROM x_series) * 28 AS projection_rows,
-       (SELECT count(*) FROM x_series) * 7 AS scenario_rows,
-       (SELECT count(*) FROM x_series) * 4 AS evaluation_rows, CAST(6 AS BIGINT) AS comparison_rows""")
+       (SELECT count(*) FROM x_day WHERE scenario_id = 1) AS projection_rows,
+       (SELECT count(*) FROM x_result) AS scenario_rows,
+       (SELECT count(*) FROM x_metric) AS evaluation_rows,
+       (SELECT count(DISTINCT scenario_name) FROM x_result WHERE scenario_type <> 'baseline') AS comparison_rows,
+       (SELECT count(*) FROM x_pilot) AS pilot_series, (SELECT model FROM x_champion) AS selected_model""")
 _LB = f"""
 SELECT risk_type, risk_rank, product_id, store_id, risk_score, risk_tier, stockout_units, stockout_days,
        total_excess_units, excess_days FROM x_ranked {_NAMED}"""

@@ -7,8 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from demandspark.config import SCENARIOS
-from demandspark.operators import scenario
+from demandspark.config import SCENARIOS, SERIES, PolicyRules
+from demandspark.operators import replenish, scenario
 
 PARAMETERS = ("demand_adjustment_pct", "lead_time_delta_days", "service_level_target", "reorder_qty_multiple", "max_order_qty_coverage_days")
 KIND = "scenario_id int, scenario_name string, scenario_type string, " + ", ".join(f"{p} double" for p in PARAMETERS)
@@ -87,3 +87,32 @@ def test_rows_that_break_rules_are_split_off(spark):
 
 def test_an_empty_grid_gives_no_rows(spark, series):
     assert scenario.grid_result(*series, grid(spark, [])).count() == 0
+
+
+def test_assumption_sets_equal_runs_with_their_own_rules(spark, series):
+    moments, vectors = series
+    own = {1: PolicyRules(), 2: PolicyRules(lead_time_days=3.0, service_level=0.9, reorder_qty_multiple=10.0, max_order_qty_coverage_days=9.0, starting_coverage_days=2.0, excess_coverage_days=14.0), 3: PolicyRules(lead_time_days=12.0)}
+    names = list(scenario.ASSUMPTIONS)
+    rows = [(1, *[None] * 6), (2, *[getattr(own[2], c) for c in names]), (3, 12.0, *[None] * 5)]
+    sets = spark.createDataFrame(rows, "assumption_set_id int, " + ", ".join(f"{c} double" for c in names))
+    keep = [*SERIES, "service_level_target", "reorder_point", "starting_inventory", "excess_coverage_days"]
+    got = replenish.projection_summary(scenario.projected_sets(moments, vectors, sets), ["assumption_set_id", *keep])
+    for k, rules in own.items():
+        want = replenish.projection_summary(replenish.with_trace(replenish.inventory_policy(moments.join(vectors, SERIES), rules)), keep)
+        mine = got.filter(F.col("assumption_set_id") == k).select(want.columns)
+        assert sorted(map(tuple, mine.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    view = {r.assumption_set_id: r for r in scenario.sensitivity(moments, vectors, sets).collect()}
+    assert set(view) == set(own) and all(r.n_series == 42 for r in view.values())
+    assert scenario.sensitivity(moments, vectors, sets.select("assumption_set_id").limit(1)).first().n_series == 42
+
+
+def test_a_trade_off_of_one_action(spark, series):
+    population = scenario.population_aggregate(scenario.scenario_result(*series))
+    one = scenario.action_tradeoff(population, 2.0, 3.0, days=10.0, target="service_level_99", baseline="lead_time_plus_2d").collect()
+    held = {r.scenario_name: r for r in population.collect()}
+    a, b = held["service_level_99"], held["lead_time_plus_2d"]
+    assert len(one) == 1 and one[0].baseline_scenario == "lead_time_plus_2d"
+    assert one[0].monetary.scenario_holding_cost == pytest.approx(20 * a.avg_inventory_position)
+    assert one[0].monetary.delta_stockout_cost == pytest.approx(3 * (a.total_stockout_units - b.total_stockout_units))
+    with pytest.raises(ValueError):
+        scenario.action_tradeoff(population, 2.0, days=366.0)
