@@ -386,3 +386,24 @@ def c39_delta(t: RetailTables) -> DataFrame:
     return risk.delta_worklist(
         t.deltas, t.product, t.store, "service_level_99", "delta_stockout_units"
     )
+
+
+# -- the same on the full model choice ------------------------------------------------------
+
+
+@query("F09_inventory_projection_with_fits")
+def f09_fits(t: RetailTables) -> DataFrame:
+    """The projection of forecasts that statistical models take part in."""
+    return t.with_fits.projection
+
+
+@query("G08_scenario_result_with_fits")
+def g08_fits(t: RetailTables) -> DataFrame:
+    return t.with_fits.results
+
+
+@query("G13_risk_score_rank_with_fits")
+def g13_fits(t: RetailTables) -> DataFrame:
+    return t.with_fits.ranked.select(
+        "risk_type", *SERIES, "risk_score", "risk_tier", "risk_rank", "dominant"
+    )

@@ -47,6 +47,15 @@ class RetailTables:
     def clock(self) -> Clock:
         return self.source.clock
 
+    @cached_property
+    def with_fits(self) -> RetailTables:
+        """The same source with the full rule: statistical winners among the chosen models."""
+        if self.fits:
+            return self
+        other = RetailTables(self.spark, self.source.path, self.source.clock, fits=True)
+        other.source = self.source
+        return other
+
     @property
     def weeks(self) -> tuple[int, int]:
         return 1, (self.clock.observed_end - 1) // 7 + 1
