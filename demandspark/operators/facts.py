@@ -112,6 +112,10 @@ def upsert_by_key(existing: DataFrame, incoming: DataFrame, key: list[str]) -> D
     return existing.join(new.select(*key), key, "left_anti").unionByName(new)
 
 
+#: Bytes of a row group of a layer that is read by series: what a point read decodes at most in each file.
+GROUP_BYTES = 8 << 20
+
+
 def write_fact(
     df: DataFrame,
     path: str,
@@ -119,19 +123,36 @@ def write_fact(
     provenance: str,
     run_id: int,
     slice_by: list[str] | None = None,
+    cluster_by: list[str] | None = None,
+    group_bytes: int = GROUP_BYTES,
 ) -> None:
-    """Cast to the declared precision, stamp provenance and run, and write."""
+    """Cast to the declared precision, stamp provenance and run, and write.
+
+    `cluster_by` deals the rows out by ranges of these keys and sorts them, in
+    small row groups, so that the statistics of the files let a read of one key
+    skip all groups but those that hold it.
+    """
     typed = df.select(
         *[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns]
     ).withColumns({"data_provenance": F.lit(provenance), "etl_run_id": F.lit(run_id)})
-    if slice_by:  # each slice is written by the tasks that hold it, not by all
+    if cluster_by:
+        order = [*(slice_by or []), *cluster_by]
+        typed = typed.repartitionByRange(*order).sortWithinPartitions(*order)
+    elif slice_by:  # each slice is written by the tasks that hold it, not by all
         typed = typed.repartition(*slice_by, *[c for c in SERIES if c in typed.columns])
     writer = typed.write.mode("overwrite")
+    if cluster_by:
+        writer = writer.option("parquet.block.size", group_bytes)
     if slice_by:
         writer = writer.partitionBy(*slice_by)
     writer.parquet(path)
 
 
+def read_series(layer: DataFrame, product_surr_id: int, store_surr_id: int) -> DataFrame:
+    """Rows of one series of a written layer; the ids reach the scan as literals, which row groups are skipped by."""
+    return layer.filter((F.col("product_surr_id") == product_surr_id) & (F.col("store_surr_id") == store_surr_id))
+
+
 def pair_filter(fact: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of the fact whose series is in `pairs`."""
     return fact.join(pairs.select(*SERIES).distinct(), SERIES, "left_semi")

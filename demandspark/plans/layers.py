@@ -39,7 +39,8 @@ def write_layers(tables: RetailTables, out: str, run_id: int = 1) -> dict[str, s
     """Build all tables under `out`; returns the path of each layer.
 
     Daily sales are sliced by a coarse day bucket, so that reads of the last
-    weeks skip the rest. Later layers read the written ones, so the source is
+    weeks skip the rest. Facts of series are clustered by them, so that a read
+    of one series skips the others. Later layers read the written ones, so the source is
     scanned once and a failed layer can be re-run alone.
     """
     spark, clock = tables.spark, tables.clock
@@ -47,9 +48,10 @@ def write_layers(tables: RetailTables, out: str, run_id: int = 1) -> dict[str, s
 
     def save(name: str, df: DataFrame, provenance: str, slice_by: list[str] | None = None) -> DataFrame:
         paths[name] = f"{out}/{name}"
+        by_series = name.startswith("fact_") and set(SERIES) <= set(df.columns)
         facts.write_fact(
             df, paths[name], {c: t for c, t in TYPES.items() if c in df.columns}, provenance,
-            run_id, slice_by,
+            run_id, slice_by, SERIES if by_series else None,
         )
         return spark.read.parquet(paths[name]).drop("data_provenance", "etl_run_id")
 
