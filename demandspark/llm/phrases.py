@@ -33,7 +33,7 @@ PLAIN = LOWER.translate(bytes.maketrans(BREAKS + b"\t", b"," * len(BREAKS) + b"
 BREAK = b","
 NO_LANGUAGE = "und"
 #: The bitmap has this many bits, as rows of 4 KB.
-BITMAP_BITS = 1 << 28
+BITMAP_BITS = 1 << 27
 ROW_BITS = 1 << 15
 #: Bits of a key for the hash; the others number the shard.
 HASH_BITS = 61
@@ -45,14 +45,14 @@ class PhraseRules:
     """Words of a phrase, at least two."""
     support: int = 10
     """A candidate comes at least so often in its language."""
-    shards: int = 5
+    shards: int = 3
     """Shards that are mined on their own, 8 at most; fewer than the support, so that a single occurrence is not enough."""
     scale: int = 1_000_000
     covered: int = 50
     """A candidate goes when a longer one that holds it has this percentage of its count."""
     top: int = 2000
     """Phrases reported for each language."""
-    chunk_bytes: int = 16 << 20
+    chunk_bytes: int = 6 << 20
     """Text of a task that is counted at once."""
     salts: int = 64
     """Parts of a language whose best phrases are found on their own."""
@@ -79,7 +79,8 @@ class Chunk:
         self.parts.append(np.fromiter(map(self.words.__getitem__, tokens), np.int32, len(tokens)))
 
     def ids(self) -> np.ndarray:
-        return np.concatenate(self.parts).astype(np.int64)
+        ids, self.parts = np.concatenate(self.parts), []
+        return ids
 
 
 def _levels(ids: np.ndarray, n_words: int, first: np.ndarray, wanted, longest: int):
@@ -107,7 +108,7 @@ def _levels(ids: np.ndarray, n_words: int, first: np.ndarray, wanted, longest: i
         begin = np.flatnonzero((place[:-1] >= 0) & (place[1:] >= 0))
         if not len(begin):
             return
-        code = place[begin] * n_words + ids[begin + length - 1]
+        code = place[begin] * np.int64(n_words) + ids[begin + length - 1]
         different, inverse, counts = np.unique(code, return_inverse=True, return_counts=True)
         prefix, last = different // n_words, different % n_words
         hashes = mixed(hashes[prefix] * MIX + first[last] + np.uint64(length))
