@@ -37,7 +37,7 @@ def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-copies."""
+    """The document with the smallest id of each group of near-copies; rows that share an id stay or go together."""
     groups = minhash.near_groups(docs.select("doc_id", "text"))
     gone = stage(groups.where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
