@@ -4,7 +4,9 @@ Chunks of documents are cut into pre-tokens. A chunk keeps, for each document,
 the positions as numbers of its own distinct pre-tokens, and sends each distinct
 pre-token to the shard of its hash. A shard sees a pre-token from all chunks,
 encodes it once and answers every chunk with the ids; the chunk puts them in
-place by position. Decoding looks every id up in the table of token bytes.
+place by position. Decoding looks every id up in the table of token bytes. The
+number of shards follows the amount of text (one pass over its lengths), so a
+shard holds no more than a fixed size, whatever the shuffle partitions are.
 
 One exchange carries chunks and pre-tokens and is read twice (the plan reuses
 it), a second one carries the answers. Positions are never single rows, so the
@@ -28,10 +30,12 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from demandspark.llm.common import releasing_cogroup, releasing_group, releasing_map, table
+from demandspark.llm.common import chunk_count, releasing_cogroup, releasing_group, releasing_map, table
 
 #: Text bytes of one chunk.
 PACK_BYTES = 8 << 20
+#: Text bytes for each shard of pre-tokens, which bounds what a shard holds.
+SHARD_BYTES = 16 << 20
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 # Letters and numbers of the first 256 code points, and white space, as Unicode has them.
@@ -298,8 +302,8 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, path: str | None, pack
     from pyspark.sql.pandas.types import to_arrow_type
 
     path = path or default_path()
-    shards = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    shards = max(8, chunk_count(slim, "text", SHARD_BYTES))
     kind = slim.schema["id"].dataType
     ids_of, digests_of = _tables(to_arrow_type(kind))
 

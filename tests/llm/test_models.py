@@ -328,6 +328,21 @@ def test_tokens_equal_the_library(spark, pack):
     assert bpe.encode(df.limit(0)).count() == bpe.round_trip(df.limit(0)).count() == 0
 
 
+def test_shards_of_pre_tokens_follow_the_text_and_not_the_partitions(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(150))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    size = sum(len(t) for _, t in rows)
+    seen = []
+    cutter = bpe._cutter
+    monkeypatch.setattr(bpe, "_cutter", lambda i, t, shards, pack: seen.append(shards) or cutter(i, t, shards, pack))
+    monkeypatch.setattr(bpe, "SHARD_BYTES", 2000)
+    got = {r.doc_id: r.ids for r in bpe.encode(df, pack_bytes=9000).collect()}
+    assert seen == [-(-size // 2000)] and seen[0] > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    library = bpe._encoder(bpe.default_path())
+    assert got == {i: library.encode_ordinary(t) for i, t in rows}
+
+
 # -- suffixes -------------------------------------------------------------------------------
 def removed_bytes(rows):
     first = {}
