@@ -1,19 +1,22 @@
-"""Statistical fits, one grouped-map task per series.
+"""Statistical fits of whole series.
 
-Spark fills the days of the series asked for, all by default, and hands each
-history to one task; a task holds one series, whose length the calendar bounds. The fits try
+Spark makes one array of each history, whose length the calendar bounds, and deals
+the arrays over all tasks; a fit sees one array at a time. The fits try
 a fixed grid of parameters and keep the one with the least squared one-step
 error, so they give the same result everywhere.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from demandspark.config import MODEL_ORDER, SERIES, STATISTICAL_MODELS, Clock, ForecastRules
 from demandspark.operators.facts import densify_daily, pair_filter
+from demandspark.session import spread
 
 RULES = ForecastRules()
 SMOOTHING = np.array([0.02, 0.05, 0.1, 0.2, 0.4])
@@ -117,36 +120,76 @@ def series_history(
     return pair_filter(kept, whole)
 
 
-def fit_statistical(
-    history: DataFrame,
-    last_day: int,
+def _cells(rows: DataFrame) -> DataFrame:
+    """One row per series with its days in order; the calendar bounds a row."""
+    cell = F.struct("date_id", F.col("units_sold").cast("double").alias("units"))
+    return rows.groupBy(*SERIES).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+
+
+def history_arrays(daily: DataFrame, first_day: int, last_day: int) -> DataFrame:
+    """(series, history): the units of every day from `first_day` to `last_day`.
+
+    Only days with a row are shuffled. Each of them brings the zeros since the
+    one before it; days must be unique in a series. A series without a row in the
+    span has no history.
+    """
+    cells = _cells(daily.filter(F.col("date_id").between(first_day, last_day)))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+
+    def filled(cell, i):
+        before = F.coalesce(F.get("_cells", i - 1)["date_id"], F.lit(first_day - 1))
+        return F.concat(zeros(cell["date_id"] - before - 1), F.array(cell["units"]))
+
+    tail = zeros(F.lit(last_day) - F.element_at("_cells", -1)["date_id"])
+    dense = F.concat(F.flatten(F.transform("_cells", filled)), tail)
+    return cells.select(*SERIES, dense.alias("history"))
+
+
+def fit_arrays(
+    histories: DataFrame,
+    lengths: dict[str, int],
     horizon: int,
     models: tuple[str, ...] = STATISTICAL_MODELS,
 ) -> DataFrame:
-    """Forecast arrays of the statistical models from days up to `last_day`."""
+    """Forecast arrays of the statistical models, for each named length of history.
+
+    Every history travels once, as one array in one row, and is fitted for all
+    lengths and models where it lies. Rows are dealt over all tasks first, since
+    a fit takes far longer than its bytes suggest.
+    """
     schema = (
-        "product_surr_id int, store_surr_id int, model string, model_order int,"
+        "product_surr_id int, store_surr_id int, span string, model string, model_order int,"
         " forecast array<double>, is_fitted boolean"
     )
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("date_id")["units_sold"].to_numpy(dtype="float64")
-        rows = []
-        for model in models:
-            forecast, fitted = fit_one(y, model, horizon)
-            rows.append(
-                (
-                    int(pdf["product_surr_id"].iloc[0]),
-                    int(pdf["store_surr_id"].iloc[0]),
-                    model,
-                    MODEL_ORDER.index(model),
-                    forecast,
-                    fitted,
-                )
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for product, store, history in zip(batch[SERIES[0]], batch[SERIES[1]], batch["history"]):
+                y = np.asarray(history, dtype="float64")
+                for span, days in lengths.items():
+                    for model in models:
+                        forecast, fitted = fit_one(y[:days], model, horizon)
+                        rows.append(
+                            (product, store, span, model, MODEL_ORDER.index(model), forecast, fitted)
+                        )
+            yield pd.DataFrame(
+                rows, columns=[*SERIES, "span", "model", "model_order", "forecast", "is_fitted"]
             )
-        return pd.DataFrame(
-            rows, columns=[*SERIES, "model", "model_order", "forecast", "is_fitted"]
-        )
 
-    columns = history.filter(F.col("date_id") <= last_day).select(*SERIES, "date_id", "units_sold")
-    return columns.groupBy(*SERIES).applyInPandas(fit, schema)
+    return spread(histories.select(*SERIES, "history"), SERIES).mapInPandas(fit, schema)
+
+
+def fit_statistical(
+    history: DataFrame,
+    last_day: int,
+    horizon: int,
+    models: tuple[str, ...] = STATISTICAL_MODELS,
+) -> DataFrame:
+    """Forecast arrays of the statistical models from daily rows up to `last_day`.
+
+    The rows are taken as the history is; missing days are not filled.
+    """
+    cells = _cells(history.filter(F.col("date_id") <= last_day))
+    arrays = cells.select(*SERIES, F.transform("_cells", lambda c: c["units"]).alias("history"))
+    return fit_arrays(arrays, {"all": last_day}, horizon, models).drop("span")

@@ -213,9 +213,8 @@ _baseline("E07_f_weighted_ma", "weighted_ma")
 
 
 def _fitted(t: RetailTables, model: str) -> DataFrame:
-    fits = forecast_fit.fit_statistical(
-        t.history, t.clock.observed_end, t.clock.horizon, (model,)
-    )
+    days = t.clock.observed_end - t.clock.observed_start + 1
+    fits = forecast_fit.fit_arrays(t.histories, {"final": days}, t.clock.horizon, (model,))
     return fits.select(
         *SERIES,
         "model",

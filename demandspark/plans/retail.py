@@ -219,25 +219,28 @@ class RetailTables:
         return forecast_fit.series_history(self.daily, self.clock, self.pilot)
 
     @cached_property
-    def history(self) -> DataFrame:
-        return forecast_fit.series_history(self.daily, self.clock)
+    def histories(self) -> DataFrame:
+        """The whole history of each series in one row."""
+        clock = self.clock
+        return forecast_fit.history_arrays(self.daily, clock.observed_start, clock.observed_end)
+
+    @cached_property
+    def _fits(self) -> DataFrame:
+        """Fits on the training days, to be scored on the holdout, and on all days; made in one pass."""
+        clock = self.clock
+        days = {
+            "holdout": clock.train_end - clock.observed_start + 1,
+            "final": clock.observed_end - clock.observed_start + 1,
+        }
+        return stage(forecast_fit.fit_arrays(self.histories, days, clock.horizon))
 
     @cached_property
     def statistical_holdout(self) -> DataFrame:
-        """Fits on the training days, to be scored on the holdout."""
-        return stage(
-            forecast_fit.fit_statistical(
-                self.history, self.clock.train_end, self.clock.horizon
-            )
-        )
+        return self._fits.filter("span = 'holdout'").drop("span")
 
     @cached_property
     def statistical_final(self) -> DataFrame:
-        return stage(
-            forecast_fit.fit_statistical(
-                self.history, self.clock.observed_end, self.clock.horizon
-            )
-        )
+        return self._fits.filter("span = 'final'").drop("span")
 
     @cached_property
     def scored_all(self) -> DataFrame:

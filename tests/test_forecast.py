@@ -167,3 +167,25 @@ def test_fits_match_a_plain_search(spark):
     assert got[1, "sarima"]["is_fitted"] and not got[2, "sarima"]["is_fitted"]
     assert got[2, "ets_holt_winters"]["forecast"] == [0.0] * 10
     assert forecast_fit.fit_one(y[:20], "sarima", 9)[0].tolist() == [*y[13:20], *y[13:15]]
+
+
+def test_histories_are_filled_and_fitted_for_several_lengths(spark):
+    schema = "product_surr_id int, store_surr_id int, date_id int, units_sold int"
+    rng = np.random.default_rng(8)
+    kept = {(1, 1): sorted(rng.choice(np.arange(3, 75), 30, replace=False).tolist()), (1, 2): [3, 74], (2, 1): [40]}
+    rows = [(p, s, d, int(rng.integers(1, 9))) for (p, s), days in kept.items() for d in days]
+    outside = [(1, 1, 2, 100), (1, 1, 75, 100), (9, 9, 80, 5)]
+    df = spark.createDataFrame(rows + outside, schema).repartition(6)
+    arrays = forecast_fit.history_arrays(df, 3, 74)
+    got = {(r[0], r[1]): r.history for r in arrays.collect()}
+    want = {k: [0.0] * 72 for k in kept}
+    for p, s, d, units in rows:
+        want[p, s][d - 3] = float(units)
+    assert got == want
+    assert forecast_fit.history_arrays(df.limit(0), 3, 74).count() == 0
+    fits = forecast_fit.fit_arrays(arrays, {"short": 62, "long": 72}, 10).collect()
+    assert len(fits) == len(kept) * 4
+    for r in fits:
+        y = np.array(want[r.product_surr_id, r.store_surr_id])[: 62 if r.span == "short" else 72]
+        forecast, fitted = forecast_fit.fit_one(y, r.model, 10)
+        assert r.forecast == pytest.approx(forecast.tolist()) and r.is_fitted == fitted
