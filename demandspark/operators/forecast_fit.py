@@ -180,6 +180,24 @@ def fit_arrays(
     return spread(histories.select(*SERIES, "history"), SERIES).mapInPandas(fit, schema)
 
 
+def fit_lengths(clock: Clock) -> dict[str, int]:
+    """Days of the two fits: the training days, scored on the holdout, and all observed ones."""
+    return {
+        "holdout": clock.train_end - clock.observed_start + 1,
+        "final": clock.observed_end - clock.observed_start + 1,
+    }
+
+
+def fit_both(daily: DataFrame, clock: Clock) -> DataFrame:
+    """Fits of all series on the training days and on all days, made in one pass."""
+    histories = history_arrays(daily, clock.observed_start, clock.observed_end)
+    return fit_arrays(histories, fit_lengths(clock), clock.horizon)
+
+
+def of_span(fits: DataFrame, span: str) -> DataFrame:
+    return fits.filter(F.col("span") == span).drop("span")
+
+
 def fit_statistical(
     history: DataFrame,
     last_day: int,

@@ -16,8 +16,19 @@ from demandspark.config import (
     scenario_definitions,
     scenario_rule_rows,
 )
-from demandspark.operators import demand, dims, facts, forecast, replenish, risk, scenario, weekly
+from demandspark.operators import (
+    demand,
+    dims,
+    facts,
+    forecast,
+    forecast_fit,
+    replenish,
+    risk,
+    scenario,
+    weekly,
+)
 from demandspark.plans.retail import RetailTables
+from demandspark.session import stage
 
 DAYS_PER_SLICE = 364
 
@@ -91,12 +102,16 @@ def write_layers(tables: RetailTables, out: str, run_id: int = 1) -> dict[str, s
     windows = forecast.trailing_window_arrays(
         daily, forecast.forecast_windows(clock), analysis
     )
-    save(
-        "fact_forecast_evaluation",
-        forecast.evaluation_fact(tables.scored_all if tables.fits else forecast.evaluate(windows), clock),
-        DERIVED,
-    )
-    chosen = tables.chosen_all if tables.fits else forecast.chosen_baseline(windows, clock)
+    if tables.fits:
+        fits = stage(forecast_fit.fit_both(daily, clock))
+        scored = forecast.evaluate(windows, forecast_fit.of_span(fits, "holdout"))
+        chosen = forecast.chosen_forecast(
+            windows, scored, forecast.select_for_series(scored), clock,
+            forecast_fit.of_span(fits, "final"),
+        )
+    else:
+        scored, chosen = forecast.evaluate(windows), forecast.chosen_baseline(windows, clock)
+    save("fact_forecast_evaluation", forecast.evaluation_fact(scored, clock), DERIVED)
     final = numbers(save("fact_forecast", forecast.final_forecast(chosen, clock), DERIVED))
     vectors = forecast.final_vectors(final)
     policy = replenish.inventory_policy(analysis)

@@ -226,21 +226,16 @@ class RetailTables:
 
     @cached_property
     def _fits(self) -> DataFrame:
-        """Fits on the training days, to be scored on the holdout, and on all days; made in one pass."""
-        clock = self.clock
-        days = {
-            "holdout": clock.train_end - clock.observed_start + 1,
-            "final": clock.observed_end - clock.observed_start + 1,
-        }
-        return stage(forecast_fit.fit_arrays(self.histories, days, clock.horizon))
+        return stage(forecast_fit.fit_both(self.daily, self.clock))
 
     @cached_property
     def statistical_holdout(self) -> DataFrame:
-        return self._fits.filter("span = 'holdout'").drop("span")
+        """Fits on the training days, to be scored on the holdout."""
+        return forecast_fit.of_span(self._fits, "holdout")
 
     @cached_property
     def statistical_final(self) -> DataFrame:
-        return self._fits.filter("span = 'final'").drop("span")
+        return forecast_fit.of_span(self._fits, "final")
 
     @cached_property
     def scored_all(self) -> DataFrame:

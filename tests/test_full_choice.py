@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from demandspark.config import BASELINE_MODELS, MODEL_ORDER, SERIES
 from demandspark.operators.forecast_fit import fit_one
@@ -78,3 +79,18 @@ def test_stock_and_ranks_follow_the_full_choice(tables):
     ranks = [r.risk_rank for r in full.ranked.filter("risk_type = 'stockout'").collect()]
     assert sorted(ranks) == list(range(1, len(model) + 1))
     assert full.projection.count() == 28 * len(model)
+
+
+def test_written_layers_fit_from_the_written_days(spark, tables, tmp_path):
+    from demandspark.plans.layers import write_layers
+
+    _, full = tables
+    paths = write_layers(full, str(tmp_path))
+    written = spark.read.parquet(paths["fact_forecast"]).withColumn("p", F.col("forecast_value").cast("double"))
+    key = (*SERIES, "forecast_horizon", "model")
+    lazy = {tuple(r[:4]): r[4] for r in full.final.select(*key, "forecast_value").collect()}
+    got = {tuple(r[:4]): r[4] for r in written.select(*key, "p").collect()}
+    assert got.keys() == lazy.keys() and any(k[3] in STATISTICAL for k in got)
+    assert all(got[k] == pytest.approx(lazy[k], abs=1e-4) for k in got)
+    scored = spark.read.parquet(paths["fact_forecast_evaluation"])
+    assert {r.model for r in scored.select("model").distinct().collect()} == set(MODEL_ORDER)
