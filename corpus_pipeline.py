@@ -3,7 +3,8 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and gives
 a DataFrame. All but the last give the columns of `documents`, with extra ones
 as they come. `run` writes what a stage gives to the shared folder and reads it
-again for the next one, so a lost executor never costs more than one stage.
+again for the next one, so a lost executor never costs more than one stage. The
+stages that run Python bound the bytes of a batch of rows in the session.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from demandspark.llm import bpe, decontamination, language_id, line_dedup, minhash
 from demandspark.llm.common import table
-from demandspark.session import stage
+from demandspark.session import bound_batches, stage
 
 #: Documents whose best language has a smaller posterior probability go.
 LEAST_SCORE = 0.5
@@ -24,6 +25,7 @@ BROADCAST_IDS = 500_000
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, null ones, and those of no clear language; a null `lang` gets the prediction."""
+    bound_batches(spark)
     model = language_id.train(docs.where(~language_id.held_out()))
     found = language_id.predict(docs, model, name_col="__lang", score_col="__score")
     kept = found.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_SCORE))
@@ -38,6 +40,7 @@ def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-copies; rows that share an id stay or go together."""
+    bound_batches(spark)
     groups = minhash.near_groups(docs.select("doc_id", "text"))
     gone = stage(groups.where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
@@ -46,12 +49,14 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents a twentieth or more of whose words are in benchmark passages go."""
+    bound_batches(spark)
     found = decontamination.find_benchmark(docs, table(spark, sf_dir, "benchmark"), out_col="__hits")
     return found.where(~decontamination.contaminated("__hits")).drop("__hits")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document that stayed."""
+    bound_batches(spark)
     return bpe.round_trip(docs)
 
 

@@ -55,8 +55,39 @@ class LanguageRules:
     """More different labels than this are an error: labels are no languages then."""
 
 
+def _beginnings(children: list[list[int]]) -> tuple[np.ndarray, int]:
+    """Where each node's children begin so that no two share a place, and how many places there are; children: bytes, ascending."""
+    begin = np.zeros(len(children), np.int32)
+    span, start = 4096, 256  # places tried at once; no beginning is negative
+    free = np.ones(4 * span, bool)
+    for i in sorted((i for i, mine in enumerate(children) if len(mine) > 1), key=lambda i: -len(children[i])):
+        mine = np.array(children[i]) - children[i][0]
+        while True:
+            if len(free) < start + span + 256:
+                free = np.concatenate([free, np.ones(len(free), bool)])
+            fits = free[start : start + span].copy()
+            for c in mine[1:].tolist():
+                fits &= free[start + c : start + c + span]
+            at = int(fits.argmax())
+            if fits[at]:
+                break
+            start += span // 2
+        free[start + at + mine] = False
+        begin[i] = start + at - children[i][0]
+    single = [i for i, mine in enumerate(children) if len(mine) == 1]
+    free = np.concatenate([free, np.ones(len(single), bool)])
+    places = 256 + np.flatnonzero(free[256:])[: len(single)]
+    begin[single] = places - np.array([children[i][0] for i in single], np.int64)
+    return begin, max(len(free) - len(single), int(places[-1]) + 1 if len(single) else 0) + 256
+
+
 class Pieces:
-    """The vocabulary as a tree of bytes: nodes with children first, each with a row of 256 nodes."""
+    """The vocabulary as a tree of bytes: nodes with children first.
+
+    The children of all nodes share one array, in which a node has a beginning
+    of its own: its child for a byte lies that many places on, if the place
+    names the node as its owner. So the tree takes about 20 bytes a node.
+    """
 
     def __init__(self, path: str) -> None:
         known = sorted(_ranks(path))
@@ -67,10 +98,20 @@ class Pieces:
         nodes.sort(key=lambda p: p not in inner)
         number = {p: i for i, p in enumerate(nodes)}
         self.inner = len(inner)
-        self.child = np.full(self.inner * 256, -1, np.int32)
+        children: list[list[int]] = [[] for _ in range(self.inner)]
+        numbers: list[list[int]] = [[] for _ in range(self.inner)]
         for p, i in number.items():
             if p:
-                self.child[number[p[:-1]] * 256 + p[-1]] = i
+                up = number[p[:-1]]
+                children[up].append(p[-1])
+                numbers[up].append(i)
+        self.begin, places = _beginnings(children)
+        self.owner, self.child = np.full(places, -1, np.int32), np.full(places, -1, np.int32)
+        for i, (mine, their) in enumerate(zip(children, numbers)):
+            at = self.begin[i] + np.array(mine)
+            self.owner[at], self.child[at] = i, their
+        self.first = np.full(256, -1, np.int32)
+        self.first[children[0]] = numbers[0]
         self.piece = np.full(len(nodes), self.size, np.int32)
         self.piece[[number[p] for p in known]] = np.arange(self.size)
 
@@ -87,7 +128,7 @@ class Pieces:
         """The same for a matrix with a row for each byte and a column for each word."""
         length, n = bytes_by_place.shape
         text = bytes_by_place.ravel()
-        at, node = np.arange(length * n, dtype=np.int32), self.child[text]
+        at, node = np.arange(length * n, dtype=np.int32), self.first[text]
         begin, end, piece = [], [], []
         for depth in range(1, length + 1):
             ids = self.piece[node]
@@ -98,8 +139,9 @@ class Pieces:
             goes_on = node < self.inner
             goes_on[np.searchsorted(at, (length - depth) * n) :] = False
             at, node = at[goes_on], node[goes_on]
-            node = self.child[node * 256 + text[at + depth * n]]
-            at, node = at[node >= 0], node[node >= 0]
+            place = self.begin[node] + text[at + depth * n]
+            has = self.owner[place] == node
+            at, node = at[has], self.child[place[has]]
             if not len(at):
                 break
         begin, end, piece = map(np.concatenate, (begin, end, piece))

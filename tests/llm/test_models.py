@@ -110,6 +110,19 @@ def test_digest_array_confirms_strings(monkeypatch):
 
 
 # -- languages ------------------------------------------------------------------------------
+def test_vocabulary_is_a_small_tree():
+    ranks = bpe._ranks(bpe.default_path())
+    known, nodes = sorted(ranks), {p[:n] for p in ranks for n in range(len(p) + 1)}
+    v = G.pieces(bpe.default_path())
+    arrays = [a for a in vars(v).values() if isinstance(a, np.ndarray)]
+    assert sum(a.nbytes for a in arrays) < 40 * len(nodes)
+    words = [b" \xc3\xa4pfel", b"nothing", b"\xff\xff\xff\xff\x00 a", *sorted(nodes)[::300]]
+    for word in filter(None, words):
+        begin, end, piece, _ = v.lattice([word])
+        found = {(a, b, known[p]) for a, b, p in zip(begin.tolist(), end.tolist(), piece.tolist())}
+        assert found == {(a, b, word[a:b]) for a in range(len(word)) for b in range(a + 1, len(word) + 1) if word[a:b] in ranks}
+
+
 def test_forward_sums_all_segmentations():
     path = bpe.default_path()
     v = G.pieces(path)

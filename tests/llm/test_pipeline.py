@@ -81,6 +81,26 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
     assert got == want and 60 < len(want) < len(docs) - 20
 
 
+def test_rows_reach_python_in_batches_of_bounded_bytes(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(i, "word " * 20_000, "en", "s", 100_000) for i in range(200)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(1)
+
+    def largest(step):
+        spark.conf.unset(limit)
+        step(spark, docs.limit(0), FOLDER)
+        sizes = docs.select("text").mapInArrow(lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches), "n bigint")
+        return sizes.agg({"n": "max"}).first()[0]
+
+    try:
+        for name, step in corpus_pipeline.STAGES:
+            assert name == "line_dedup" or largest(step) < 5 << 20, name
+        spark.conf.set(limit, "8m")
+        corpus_pipeline.tokenize(spark, docs, FOLDER)
+        assert spark.conf.get(limit) == "8m"
+    finally:
+        spark.conf.unset(limit)
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     for name, step in corpus_pipeline.STAGES[:-1]:
