@@ -7,8 +7,10 @@ when the two phrases that are one word shorter do. The union of what is frequent
 in any shard is then counted exactly, by text, over all documents.
 
 A shard is mined by many tasks: a task counts the different phrases of a chunk of
-texts and sends (hash, count) rows, which a partial sum and a shuffle bring
-together. Which hashes are frequent somewhere is kept as a bitmap of fixed size,
+texts and sends their hashes and counts to the parts of the shard, one packed
+message of ascending hashes for each part, about three bytes a phrase. The number
+of parts follows the amount of text, so a part that is summed holds no more than a
+fixed size. Which hashes are frequent somewhere is kept as a bitmap of fixed size,
 so what is broadcast does not grow with the corpus; two phrases on one bit, like
 two of one hash, only add a phrase to the exact count, which tells them apart.
 """
@@ -23,7 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from demandspark.llm.common import LOWER, MIX, byte_views, hot_lookup, in_pieces, mixed, releasing_map, table, word_hashes
+from demandspark.llm.chunks import from_steps, numbers, packed, planes, steps, unpacked
+from demandspark.llm.common import LOWER, MIX, byte_views, chunk_count, hot_lookup, in_pieces, mixed, releasing_group, releasing_map, table, word_hashes
 from demandspark.session import stage
 
 #: Ends of pieces; spaces and tabs end words.
@@ -35,8 +38,12 @@ NO_LANGUAGE = "und"
 #: The bitmap has this many bits, as rows of 4 KB.
 BITMAP_BITS = 1 << 27
 ROW_BITS = 1 << 15
-#: Bits of a key for the hash; the others number the shard.
-HASH_BITS = 61
+#: Bits of a hash that are counted while mining; phrases that agree in them only add to the exact count.
+HASH_BITS = 40
+#: Text bytes of a shard for each part of its hashes, which bounds what a task sums at once.
+PART_BYTES = 8 << 20
+#: Hashes that a task holds before it sends them.
+HELD_HASHES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -150,19 +157,56 @@ def _language(lang: str, hashes: np.ndarray) -> np.ndarray:
     return mixed(hashes ^ word_hashes([lang.encode()])[0])
 
 
-def _miner(shared, length: int, rules: PhraseRules):
-    """(shard and hash, count) of the phrases of one length whose shorter parts may be frequent."""
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in ascending order, and the sums of their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
+def _messages(keys: np.ndarray, counts: np.ndarray, shard: int, parts: int) -> pa.RecordBatch:
+    """(part, payload): the hashes of each part, a range of them, with their counts."""
+    keys, counts = _summed(keys, counts)
+    cuts = np.searchsorted(keys, np.array([(i << HASH_BITS) // parts for i in range(parts + 1)], np.uint64)).tolist()
+    sent = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+    blobs = [packed(steps(keys[a:b], 8), planes(counts[a:b], 8), level=1) for _, a, b in sent]
+    numbered = pa.array([shard * parts + p for p, _, _ in sent], pa.int64())
+    return pa.RecordBatch.from_arrays([numbered, pa.array(blobs, pa.binary())], names=["part", "payload"])
+
+
+def _miner(shared, length: int, rules: PhraseRules, parts: int):
+    """Messages with the phrases of one length whose shorter parts may be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value if shared else None
-        shard = np.uint64((TaskContext.get().partitionId() % rules.shards) << HASH_BITS)
+        shard = TaskContext.get().partitionId() % rules.shards
+        keys, sums, held = [], [], 0
         for lang, chunk in _chunks(batches, rules.chunk_bytes):
             ids, words = chunk.ids(), list(chunk.words)
             first = _language(lang, word_hashes(words))
             for n, counts, hashes, _, _ in _levels(ids, len(words), first, lambda _, h: _in_bitmap(bitmap, h), length):
                 if n == length:
-                    key = (hashes & np.uint64((1 << HASH_BITS) - 1)) | shard
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
+                    keys.append(hashes & np.uint64((1 << HASH_BITS) - 1))
+                    sums.append(counts.astype(np.uint64))
+                    held += len(hashes)
+            if held >= HELD_HASHES:
+                yield _messages(np.concatenate(keys), np.concatenate(sums), shard, parts)
+                keys, sums, held = [], [], 0
+        if held:
+            yield _messages(np.concatenate(keys), np.concatenate(sums), shard, parts)
+
+    return run
+
+
+def _often(local: int):
+    """The hashes of a part that come `local` times or more."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        found = [unpacked(blob) for blob in byte_views(rows.column("payload"))]
+        keys = np.concatenate([from_steps(blob, 8) for blob, _ in found])
+        keys, counts = _summed(keys, np.concatenate([numbers(blob, 8) for _, blob in found]))
+        return pa.table({"key": pa.array(keys[counts >= local].view(np.int64))})
 
     return run
 
@@ -209,11 +253,12 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     sc = docs.sparkSession.sparkContext
     local = -(-rules.support // rules.shards)
+    parts = -(-chunk_count(texts, "text", PART_BYTES) // rules.shards)
     bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
     shared = None
     for length in range(1, rules.longest + 1):
-        mined = texts.mapInArrow(releasing_map(_miner(shared, length, rules)), "key bigint, n bigint")
-        often = mined.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= local)
+        mined = texts.mapInArrow(releasing_map(_miner(shared, length, rules, parts)), "part bigint, payload binary")
+        often = mined.groupBy("part").applyInArrow(releasing_group(_often(local)), "key bigint")
         bit = F.col("key").bitwiseAND(F.lit(BITMAP_BITS - 1))
         rows = often.groupBy(F.bitmap_bucket_number(bit + 1).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit + 1)).alias("bits"))
         for row, bits in rows.toLocalIterator():

@@ -8,6 +8,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,37 @@ def test_a_shard_support_below_two_is_not_the_default():
     assert -(-P.PhraseRules().support // P.PhraseRules().shards) >= 2
 
 
+@pytest.mark.parametrize("held", [1, 5000, P.HELD_HASHES])
+def test_mined_phrases_travel_packed_and_in_parts(monkeypatch, held):
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 4)
+
+    monkeypatch.setattr(P, "TaskContext", Task)
+    monkeypatch.setattr(P, "HELD_HASHES", held)
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.3)) % 50_000}" for _ in range(2000)) for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"lang": [rnd.choice(["en", "de"]) for _ in texts], "text": texts})
+    rules, parts = P.PhraseRules(chunk_bytes=200_000), 7
+    sent = pa.Table.from_batches(P._miner(None, 1, rules, parts)(iter([batch])))
+    counts = Counter((lang, w) for lang, t in zip(batch.column("lang").to_pylist(), texts) for w in t.split())
+    assert set(sent["part"].to_pylist()) == set(range(parts, 2 * parts))  # task 4 is of the second shard
+    if held > 1:
+        assert sent["payload"].nbytes < 6 * len(counts)  # a row of hash and count has 16 bytes
+    often = [k for part in range(parts, 2 * parts) for k in P._often(4)(sent.filter(pc.equal(sent["part"], part)))["key"].to_pylist()]
+    assert len(often) == len(set(often)) == sum(n >= 4 for n in counts.values())
+    want = {int(P.mixed(P._language(lang, P.word_hashes([w.encode()])) + np.uint64(1))[0]) & ((1 << P.HASH_BITS) - 1) for (lang, w), n in counts.items() if n >= 4}
+    assert set(often) == want
+
+
+def test_many_parts_give_the_same_phrases(spark, monkeypatch):
+    monkeypatch.setattr(P, "PART_BYTES", 50)
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["en", None]), " ".join(rnd.choice("abcdefg") for _ in range(rnd.randrange(30)))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(6)
+    assert {tuple(r) for r in P.collocations(df).collect()} == plain_phrases(rows, P.PhraseRules())
+
+
 # -- vector codes ---------------------------------------------------------------------------
 def plain_codes(rows, rules=V.CodeRules()):
     """Lloyd with whole scans and Python integers; rows of (id, vector)."""
