@@ -4,7 +4,8 @@ A phrase that comes `support` times in the corpus comes at least
 support / shards times in one of `shards` shards. So each shard is mined
 completely at that lowered support, length by length: a phrase can only reach it
 when the two phrases that are one word shorter do. The union of what is frequent
-in any shard is then counted exactly, by text, over all documents.
+in any shard is then counted exactly, by text, over all documents: a task sends the
+phrases of each part of the hashes as sorted lines, and the part sums them.
 
 A shard is mined by many tasks: a task counts the different phrases of a chunk of
 texts and sends their hashes and counts to the parts of the shard, one packed
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -211,15 +213,18 @@ def _often(local: int):
     return run
 
 
-def _counter(shared, rules: PhraseRules):
-    """(lang, phrase, words, n) of the candidates of each chunk, and all its words in a row of no words."""
+def _counter(shared, rules: PhraseRules, parts: int):
+    """Messages with the candidates of each language and their counts; the empty phrase counts all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
+        held: dict[str, list[pa.Table]] = {}
+        size = 0
         for lang, chunk in _chunks(batches, rules.chunk_bytes):
             ids, words = chunk.ids(), list(chunk.words)
             first = _language(lang, word_hashes(words))
-            yield _counted(lang, [b""], 0, [int((ids > 0).sum())])
+            mine = held.setdefault(lang, [])
+            mine.append(_found([b""], np.zeros(1, np.uint64), np.array([(ids > 0).sum()]), parts))
             texts: list[bytes | None] = []
             for length, counts, hashes, prefix, last in _levels(ids, len(words), first, lambda _, h: _in_bitmap(bitmap, h), rules.longest):
                 good = np.flatnonzero(_in_bitmap(bitmap, hashes))
@@ -228,18 +233,54 @@ def _counter(shared, rules: PhraseRules):
                 texts = [None] * len(counts)
                 for at, text in zip(good.tolist(), made):
                     texts[at] = text
-                for i in range(0, len(good), 100_000):
-                    yield _counted(lang, made[i : i + 100_000], length, counts[good[i : i + 100_000]])
+                mine.append(_found(made, hashes[good], counts[good], parts))
+                size += len(good)
+            if size >= HELD_HASHES:
+                yield _phrase_messages(held)
+                held, size = {}, 0
+        if held:
+            yield _phrase_messages(held)
 
     return run
 
 
-def _counted(lang: str, texts: list[bytes], length: int, counts) -> pa.RecordBatch:
-    n = len(texts)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * n, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([length] * n, pa.int32()), pa.array(counts, pa.int64())],
-        names=["lang", "phrase", "words", "n"],
-    )
+def _found(texts: list[bytes], hashes: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
+    part = (hashes & np.uint64((1 << HASH_BITS) - 1)) * np.uint64(parts) >> np.uint64(HASH_BITS)
+    return pa.table({"part": pa.array(part.astype(np.int64)), "phrase": pa.array(texts, pa.binary()), "n": pa.array(counts.astype(np.int64))})
+
+
+def _phrase_messages(held: dict[str, list[pa.Table]]) -> pa.RecordBatch:
+    """(part, payload): phrases of one language and part in ascending order, a line each, with their counts."""
+    numbered, blobs = [], []
+    for lang, tables in held.items():
+        summed = pa.concat_tables(tables).group_by(["part", "phrase"], use_threads=False).aggregate([("n", "sum")])
+        summed = summed.sort_by([("part", "ascending"), ("phrase", "ascending")])
+        part, counts = summed["part"].to_numpy(), summed["n_sum"].to_numpy().astype(np.uint64)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for a, b in zip(cuts, cuts[1:]):
+            numbered.append(int(part[a]))
+            lines = b"\n".join(summed["phrase"].slice(a, b - a).to_pylist())
+            blobs.append(packed(lang.encode(), lines, planes(counts[a:b], 8)))
+    return pa.RecordBatch.from_arrays([pa.array(numbered, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "payload"])
+
+
+def _counted(support: int):
+    """(lang, phrase, words, f) of the phrases of a part that come `support` times or more, and of the empty ones."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        tables = []
+        for blob in byte_views(rows.column("payload")):
+            lang, lines, counts = unpacked(blob)
+            lines = lines.split(b"\n")
+            tables.append(pa.table({"lang": pa.repeat(lang.decode(), len(lines)), "phrase": pa.array(lines, pa.binary()), "n": pa.array(numbers(counts, 8).astype(np.int64))}))
+        summed = pa.concat_tables(tables).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+        phrase, f = summed["phrase"], summed["n_sum"]
+        empty = pc.equal(pc.binary_length(phrase), 0)
+        words = pc.if_else(empty, 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
+        out = pa.table({"lang": summed["lang"], "phrase": phrase, "words": words, "f": f}).filter(pc.or_(empty, pc.greater_equal(f, support)))
+        return out.set_column(1, "phrase", out["phrase"].cast(pa.string()))
+
+    return run
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: PhraseRules = PhraseRules()) -> DataFrame:
@@ -267,9 +308,8 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         if shared:
             shared.unpersist()
         shared = sc.broadcast(bitmap)
-    counted = texts.mapInArrow(releasing_map(_counter(shared, rules)), "lang string, phrase string, words int, n bigint")
-    sums = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
-    return sums.where((F.col("f") >= rules.support) | (F.col("words") == 0))
+    counted = texts.mapInArrow(releasing_map(_counter(shared, rules, rules.shards * parts)), "part bigint, payload binary")
+    return counted.groupBy("part").applyInArrow(releasing_group(_counted(rules.support)), "lang string, phrase string, words int, f bigint")
 
 
 def _join_words(words: Column, at, n) -> Column:

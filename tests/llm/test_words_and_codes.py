@@ -94,6 +94,27 @@ def test_mined_phrases_travel_packed_and_in_parts(monkeypatch, held):
     assert set(often) == want
 
 
+@pytest.mark.parametrize("held", [1, P.HELD_HASHES])
+def test_counted_phrases_travel_packed(monkeypatch, held):
+    class Full:
+        value = np.full(P.BITMAP_BITS // 8, 255, np.uint8)
+
+    monkeypatch.setattr(P, "HELD_HASHES", held)
+    rnd = random.Random(10)
+    texts = [" ".join(f"word{int(rnd.paretovariate(0.5)) % 5000}" for _ in range(1000)) for _ in range(20)]
+    langs = [rnd.choice(["en", "und"]) for _ in texts]
+    sent = pa.Table.from_batches(P._counter(Full, P.PhraseRules(chunk_bytes=50_000), 5)(iter([pa.RecordBatch.from_pydict({"lang": langs, "text": texts})])))
+    want = Counter()
+    for lang, t in zip(langs, texts):
+        w = t.split()
+        want[lang, "", 0] += len(w)
+        want.update((lang, " ".join(w[i : i + n]), n) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    got = [tuple(r.values()) for p in range(5) for r in P._counted(2)(sent.filter(pc.equal(sent["part"], p))).to_pylist()]
+    assert sorted(got) == sorted((*k, n) for k, n in want.items() if n >= 2)
+    if held > 1:
+        assert 3 * sent["payload"].nbytes < sum(len(lang) + len(p) + 12 for lang, p, _ in want)  # rows of (lang, phrase, words, n)
+
+
 def test_many_parts_give_the_same_phrases(spark, monkeypatch):
     monkeypatch.setattr(P, "PART_BYTES", 50)
     rnd = random.Random(9)
