@@ -9,7 +9,7 @@ phrases of each part of the hashes as sorted lines, and the part sums them.
 
 A shard is mined by many tasks: a task counts the different phrases of a chunk of
 texts and sends their hashes and counts to the parts of the shard, one packed
-message of ascending hashes for each part, about three bytes a phrase. The number
+message of ascending hashes for each part, three to four bytes a phrase. The number
 of parts follows the amount of text, so a part that is summed holds no more than a
 fixed size. Which hashes are frequent somewhere is kept as a bitmap of fixed size,
 so what is broadcast does not grow with the corpus; two phrases on one bit, like
