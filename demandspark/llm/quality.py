@@ -25,15 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from demandspark.llm.common import byte_views, in_pieces, releasing_map, table
+from demandspark.llm.common import in_pieces, releasing_map, table, word_hashes
 from demandspark.llm.language_id import held_out
 from demandspark.session import stage
 
 #: Letters (other than ASCII ones too), digits, or other signs, as they stand.
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\s]+")
-#: A longer text is read token by token and not as a list.
+#: The kind of token that a byte stands in, 0 for none.
+KINDS = np.array([next((k for k, kind in enumerate((rb"\s", rb"[A-Za-z\x80-\xff]", rb"[0-9]")) if re.match(kind, bytes([b]))), 3) for b in range(256)], np.uint8)
+#: A longer text is read token by token; shorter ones are read together up to this size.
 LONG_TEXT = 4 << 20
-#: Words whose bucket a task remembers.
+#: Words of long texts whose bucket a task remembers.
 REMEMBERED = 500_000
 #: Tokens whose neighbours are counted at once.
 TOKENS_AT_ONCE = 1 << 19
@@ -81,6 +83,37 @@ def token_buckets(text: bytes | None, known: _Buckets) -> np.ndarray:
     return np.fromiter((known[m.group()] for m in TOKEN.finditer(text)), np.int32)
 
 
+def column_buckets(column: pa.Array, known: _Buckets) -> Iterator[np.ndarray]:
+    """`token_buckets` of each text of a column."""
+    texts = column.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + LONG_TEXT, "right")) - 1)
+        size = int(ends[last] - ends[first])
+        if not size or size > LONG_TEXT:
+            yield from (token_buckets(texts[i].as_py(), known) for i in range(first, last))
+        else:
+            data = np.frombuffer(texts.buffers()[2], np.uint8, size, int(ends[first]))
+            yield from _buckets_together(data, ends[first : last + 1] - ends[first], known.n)
+        first = last
+
+
+def _buckets_together(data: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
+    """Buckets of the tokens of each text; the texts lie in `data` between `ends`. Equal tokens are hashed once."""
+    kinds = KINDS[data]
+    cut = np.ones(len(data) + 1, bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=cut[1:-1])
+    cut[ends] = True
+    at = np.flatnonzero(cut)
+    kept = kinds[at[:-1]] > 0
+    runs = pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+    found = runs.filter(pa.array(kept)).dictionary_encode()
+    own = word_hashes(found.dictionary.to_numpy(zero_copy_only=False)) % np.uint64(n)
+    before = np.concatenate([[0], np.cumsum(kept)])
+    return np.split(own.astype(np.int32)[found.indices.to_numpy()], before[np.searchsorted(at, ends[1:-1])])
+
+
 def index_vectors(rules: QualityRules) -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the components of each index vector that are not zero."""
     rng = np.random.default_rng(rules.seed)
@@ -89,19 +122,22 @@ def index_vectors(rules: QualityRules) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _add_contexts(total: np.ndarray, tokens: np.ndarray, index: tuple[np.ndarray, np.ndarray], rules: QualityRules) -> None:
-    """Adds the index vectors of neighbours to the words' sums; -1 stands between texts."""
+    """Adds the index vectors of neighbours to the words' sums, which lie component by component; `window` times -1 stands between texts."""
     places, signs = index
-    for gap in range(1, rules.window + 1):
-        for first in range(0, len(tokens) - gap, TOKENS_AT_ONCE):
-            part = tokens[first : first + TOKENS_AT_ONCE + gap].astype(np.int64)
-            inside = (part[:-gap] >= 0) & (part[gap:] >= 0)
-            for between in range(1, gap):
-                inside &= part[between : between - gap] >= 0
-            left, right = part[:-gap][inside], part[gap:][inside]
-            for word, near in ((left, right), (right, left)):
-                for s in range(rules.signs):
-                    at = word * rules.size + places[near, s]
-                    total += np.bincount(at, signs[near, s], len(total)).astype(np.int64)
+    vectors = np.zeros((rules.size, rules.buckets + 1), np.min_scalar_type(-2 * rules.window * rules.signs - 1))  # the last one, of -1, stays zero
+    np.add.at(vectors, (places, np.arange(rules.buckets)[:, None]), signs.astype(vectors.dtype))
+    sums, side = total.reshape(rules.size, rules.buckets), np.full(rules.window, -1, tokens.dtype)
+    padded = np.concatenate([side, tokens, side])
+    for first in range(0, len(tokens), TOKENS_AT_ONCE):
+        part = padded[first : first + TOKENS_AT_ONCE + 2 * rules.window].astype(np.int64) % (rules.buckets + 1)
+        words = part[rules.window : len(part) - rules.window]
+        for component in range(rules.size):
+            of = vectors[component].take(part, mode="wrap")  # faster than the check of places, which are right
+            near = np.zeros(len(words), of.dtype)
+            for shift in range(2 * rules.window + 1):
+                if shift != rules.window:
+                    near += of[shift : shift + len(words)]
+            sums[component] += np.bincount(words, near, rules.buckets + 1)[:-1].astype(np.int64)
 
 
 def _context_sums(rules: QualityRules):
@@ -110,19 +146,19 @@ def _context_sums(rules: QualityRules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, index = _Buckets(rules.buckets), index_vectors(rules)
         total = np.zeros(rules.buckets * rules.size, np.int64)
-        gap = np.full(1, -1, np.int32)
+        gap = np.full(rules.window, -1, np.int32)
         held, size = [], 0
         for batch in in_pieces(batches):
-            for text in byte_views(batch.column("text")):
-                held += [token_buckets(text, known), gap]
-                size += len(held[-2]) + 1
+            for tokens in column_buckets(batch.column("text"), known):
+                held += [tokens, gap]
+                size += len(tokens) + 1
                 if size >= TOKENS_AT_ONCE:
                     _add_contexts(total, np.concatenate(held), index, rules)
                     held, size = [], 0
         if held:
             _add_contexts(total, np.concatenate(held), index, rules)
         if total.any():
-            rows = total.reshape(-1, BLOCK * rules.size)
+            rows = total.reshape(rules.size, rules.buckets).T.reshape(-1, BLOCK * rules.size)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["block", "sums"]
             )
@@ -252,7 +288,7 @@ def _pooler(shared):
         vectors, rules = shared.value
         known = _Buckets(rules.buckets)
         for batch in in_pieces(batches):
-            rows = [pooled(token_buckets(t, known), vectors).tobytes() for t in byte_views(batch.column("text"))]
+            rows = [pooled(tokens, vectors).tobytes() for tokens in column_buckets(batch.column("text"), known)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(rows, pa.binary())], names=["id", "y", "x"])
 
     return run
@@ -297,7 +333,7 @@ def _scorer(shared, columns: list[str]):
         model: QualityModel = shared.value
         known = _Buckets(model.rules.buckets)
         for batch in in_pieces(batches):
-            x = np.stack([pooled(token_buckets(t, known), model.vectors) for t in byte_views(batch.column("__text"))])
+            x = np.stack([pooled(tokens, model.vectors) for tokens in column_buckets(batch.column("__text"), known)])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(model.network.scores(x))], names=[*columns, "__score"])
 
     return run

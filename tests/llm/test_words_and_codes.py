@@ -247,6 +247,53 @@ def test_long_texts_are_cut_nowhere(monkeypatch):
     assert (total[0] == total[1]).all()
 
 
+@pytest.mark.parametrize("limit", [1, 10, 1 << 20])
+def test_tokens_of_a_column_are_those_of_its_texts(monkeypatch, limit):
+    rnd = random.Random(9)
+    parts = [b"a", b"Zz", b"\xc3\xa9", b"\xe4\xb8\xad", b"12", b"0", b"\x00", b"\x00\x00", b"\x1c", b"\x0b", b" ", b"\n\t", b"$-", b"\xc2\x85", b"\xc2\xa0", b"word" * 8]
+    texts = [b"".join(rnd.choice(parts) for _ in range(rnd.randrange(12))) for _ in range(300)] + [None, b"", b" ", b"a", b"a", None]
+    want = [Q.token_buckets(t, Q._Buckets(512)).tolist() for t in texts]
+    monkeypatch.setattr(Q, "LONG_TEXT", limit)
+    for kind in (pa.string(), pa.large_string(), pa.binary(), pa.large_binary()):
+        column = pa.array(texts, pa.binary()).cast(kind)
+        for first, last in ((0, 306), (7, 200), (300, 306), (300, 303), (5, 5)):
+            found = list(Q.column_buckets(column.slice(first, last - first), Q._Buckets(512)))
+            assert [f.tolist() for f in found] == want[first:last] and all(f.dtype == np.int32 for f in found)
+
+
+def test_neighbours_of_other_texts_are_not_counted():
+    rules = Q.QualityRules(buckets=256, size=8, window=3)
+    texts = ["a b", "c", "", "d e f g", "a"]
+    sums = []
+    for batches in ([texts], [[t] for t in texts]):
+        total = np.zeros((256, 8), np.int64)
+        for batch in batches:
+            for rows in Q._context_sums(rules)(iter([pa.record_batch([pa.array(batch)], names=["text"])])):
+                total += np.concatenate([np.frombuffer(r, np.int64) for r in rows.column("sums").to_pylist()]).reshape(256, 8)
+        sums.append(total)
+    assert sums[0].any() and (sums[0] == sums[1]).all()
+
+
+def test_repeated_words_are_looked_up_once_and_the_sums_gone_through_once(monkeypatch):
+    looked, cells, plain = [], [], np.bincount
+
+    class Counting(Q._Buckets):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+    def counted(*args):
+        cells.append(len(out := plain(*args)))
+        return out
+
+    monkeypatch.setattr(Q, "_Buckets", Counting)
+    monkeypatch.setattr(np, "bincount", counted)
+    rules = Q.QualityRules(buckets=256, size=8)
+    batch = pa.record_batch([pa.array(["one two three " * 50] * 20)], names=["text"])
+    assert sum(1 for _ in Q._context_sums(rules)(iter([batch]))) == 1
+    assert len(looked) <= 3 and sum(cells) <= 2 * rules.buckets * rules.size
+
+
 def test_quality_of_unseen_texts_and_odd_rows(spark):
     rnd = random.Random(4)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(80)]
