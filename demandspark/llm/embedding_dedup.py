@@ -1,26 +1,26 @@
-"""Embedding near-dedup by a subspace pigeonhole join.
-
-Two unit vectors with cosine c are at squared distance 2 - 2c. After a rotation
-the coordinates are cut into blocks, and each block has a share of the squared
-distance in proportion to its dimensions. A pair within the whole budget is
-within the share in at least one block, so the union of the pairs found in the
-blocks misses none.
-
-Each block is range-joined on a grid over its first coordinates: a vector lives
-in one cell and visits the cells that its budget reaches. In a cell, block
-distances give the candidates, and the cosine of the full vectors in double
-precision decides. A pair counts in the first block that finds it and in the
-home cell of each of its two vectors, so that nothing is counted twice and no
-pair is ever written out: a task returns how many links each vector has and the
-edges of a spanning forest.
-
-Equal vectors are one row with a count before anything else. A cell with many
-vectors is cut into parts, each pair of parts being a task. The grid has more
-coordinates the more vectors there are.
+"""Embedding near-dedup by a subspace join that bounds every pair and copies no vector.
+
+Two unit vectors with cosine c are at squared distance 2 - 2c, the budget. After
+a rotation the coordinates are cut into blocks, and what two vectors are apart in
+the blocks adds up to their distance. So a lower bound in each block gives one
+for the whole, and a pair whose bounds pass the budget is no link: no pair within
+it is missed.
+
+Equal vectors are one row with a count before anything else. The others are
+written once, in parts of some thousands as packed rows, and every two parts meet
+by reading the written table again (a product without a shuffle): disk follows
+the number of vectors, whatever the number of pairs. A part is halved into cells,
+along the direction in which its vectors differ most. Of two cells the balls in
+the blocks bound all pairs at once; of two vectors the first coordinates count as
+they are and each block of the others by its length, so one narrow matrix product
+bounds many pairs. What is left is decided by the cosine of the full vectors in
+double precision. Every pair is met in one task only and is never written out: a
+task returns how many links each vector has and the edges of a spanning forest.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,10 +28,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import FloatType
 
-from demandspark.llm.common import table
+from demandspark.llm.common import releasing_map, table
 from demandspark.llm.components import components
-from demandspark.session import stage
+from demandspark.session import BATCH_LIMIT, bound_batches, new_stage_path, stage
 
 
 @dataclass(frozen=True)
@@ -39,9 +40,9 @@ class CosineRules:
     least: float = 0.95
     block_dims: int = 16
     part: int = 32_768
-    """Vectors in one part of a cell."""
+    """Vectors in one part at most."""
     first_grid: int = 10_000
-    """Vectors up to which one coordinate makes the grid; each further one serves three times as many."""
+    """Vectors up to which one cut makes the cells of a part; each further one serves three times as many."""
 
     @property
     def budget(self) -> float:
@@ -50,25 +51,37 @@ class CosineRules:
 
 #: Added to every budget, far above rounding and far below any budget.
 SLACK = 1e-7
+#: The same for cosines in single precision, and for those that a product of matrices gives in double precision.
+SINGLE, DOUBLE = 1e-5, 1e-12
+#: Bytes of vectors in one part at most; numbers gathered at once for exact cosines; links kept until their rows are joined.
+PART_BYTES, GATHERED, WAITING = 8 << 20, 1 << 20, 1 << 18
+#: Rows of a tile of pairs that one product bounds, and its pairs at most: they stay in a core's cache. Halvings at most: cells of a full tile.
+TILE_ROWS, TILE, MOST_CUTS = 512, 1 << 18, 6
+#: Parts that a build task makes, where the table has enough; those of a slice of the table, and those a worker keeps prepared.
+BUILT_PARTS, SLICE_PARTS, KEPT_PARTS = 4, 3, 5
 
 
+@functools.lru_cache(8)
 def rotation(dims: int) -> np.ndarray:
     """A fixed random rotation."""
     q, r = np.linalg.qr(np.random.default_rng(dims).standard_normal((dims, dims)))
     return q * np.sign(np.diag(r))
 
 
-def blocks_of(dims: int, rules: CosineRules) -> list[tuple[int, int, float]]:
-    """(first, end, budget) of each block."""
-    n = max(1, round(dims / rules.block_dims))
-    cuts = [round(dims * i / n) for i in range(n + 1)]
-    return [(a, b, rules.budget * (b - a) / dims + SLACK) for a, b in zip(cuts, cuts[1:])]
+def blocks_of(first: int, end: int, rules: CosineRules) -> list[tuple[int, int]]:
+    """(first, end) of each block of these coordinates."""
+    dims = end - first
+    n = min(dims, max(1, round(dims / rules.block_dims)))
+    cuts = [first + round(dims * i / n) for i in range(n + 1)] if n else []
+    return list(zip(cuts, cuts[1:]))
 
 
 def turned(vectors: np.ndarray) -> np.ndarray:
-    """Unit vectors in the rotated space, row by row the same in whatever batch they come."""
-    unit = vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
-    return np.einsum("ij,kj->ik", unit, rotation(vectors.shape[1]))
+    """Unit vectors in the rotated space; zeros for those whose length has no double."""
+    with np.errstate(all="ignore"):
+        unit = vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
+    unit[~np.isfinite(unit).all(1)] = 0
+    return unit @ rotation(vectors.shape[1]).T
 
 
 def usable(vector: Column) -> Column:
@@ -81,110 +94,264 @@ def grid_dims(n: int, rules: CosineRules) -> int:
     return 1 + max(0, math.ceil(math.log(max(n, 1) / rules.first_grid, 3)))
 
 
-def _cells(rules: CosineRules, coordinates: int):
+def cell_cuts(n: int, cuts: int) -> list[int]:
+    """Where the cells of n rows begin and end that are halved so many times."""
+    return [n * i >> cuts for i in range((1 << cuts) + 1)]
+
+
+def in_cells(vectors: np.ndarray, cuts: int) -> np.ndarray:
+    """An order of the rows in which each cell is half of a larger one, by the direction in which its rows differ most."""
+    n = len(vectors)
+    y, order = turned(vectors).astype(np.float32), np.arange(n)
+    for level in range(cuts):
+        for i in range(1 << level):
+            first, half, end = n * i >> level, n * (2 * i + 1) >> (level + 1), n * (i + 1) >> level
+            if not first < half < end:
+                continue
+            rows = y[order[first:end]]
+            rows -= rows.mean(0)
+            along = rows[np.argmax(np.einsum("ij,ij->i", rows, rows))]
+            for _ in range(4):
+                along = rows.T @ (rows @ along)
+                along /= max(float(np.sqrt(along @ along)), 1e-30)
+            order[first:end] = order[first:end][np.argpartition(rows @ along, half - first)]
+    return order
+
+
+def part_rows(dims: int, width: int, rules: CosineRules) -> int:
+    return max(1, min(rules.part, PART_BYTES // (dims * width)))
+
+
+def _parts(rules: CosineRules, cuts: int, kind: str):
+    """Rows of (node, times, vector) as packed parts of vectors of one length, in the order of their cells."""
+
+    def packed(node: np.ndarray, times: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        dims, order = x.shape[1], in_cells(x.astype(np.float64), cuts)
+        values = [c[order].tobytes() for c in (node, times, x)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([dims], pa.int32()), *[pa.array([v], pa.binary()) for v in values]], names=["dims", "node", "times", "vector"]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for batch in batches:
-            lists = batch.column("vector")
-            sizes = np.array([len(x) for x in lists])
+            sizes = np.array([len(x) for x in batch.column("vector")], np.int64)
             for dims in np.unique(sizes).tolist():
-                rows = np.flatnonzero(sizes == dims)
-                part = batch.take(pa.array(rows))
-                x = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
-                y = turned(x)
-                at, cell, home = [], [], []
-                for b, (first, end, budget) in enumerate(blocks_of(dims, rules)):
-                    reach = math.sqrt(budget) + SLACK
-                    wide = 2 * reach
-                    m = min(coordinates, end - first)
-                    c = y[:, first : first + m]
-                    low, mid, high = (np.floor(v / wide).astype(np.int64) for v in (c - reach, c, c + reach))
-                    # Cells of the box around each vector: on every axis one or two.
-                    for pick in range(2**m):
-                        choice = np.array([(pick >> k) & 1 for k in range(m)], bool)
-                        own = ~((low == high) & choice).any(1)
-                        spot = np.where(choice, high, low)
-                        rows_here = np.flatnonzero(own)
-                        at.append(rows_here)
-                        home.append((spot == mid).all(1)[rows_here])
-                        cell += [f"{dims}/{b}/" + ",".join(map(str, s)) for s in spot[rows_here].tolist()]
-                at = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node").take(at), part.column("times").take(at), pa.array(cell, pa.string()), pa.array(np.concatenate(home))],
-                    names=["node", "times", "cell", "home"],
-                )
+                some = batch.take(pa.array(np.flatnonzero(sizes == dims)))
+                x = some.column("vector").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dims)
+                held = waiting.setdefault(dims, [])
+                held.append((some.column("node").to_numpy(), some.column("times").to_numpy(), x))
+                most = part_rows(dims, x.itemsize, rules)
+                while sum(len(r[0]) for r in held) >= 2 * most:
+                    node, times, x = (np.concatenate(c) for c in zip(*held))
+                    yield packed(node[:most], times[:most], x[:most])
+                    held[:] = [(node[most:], times[most:], x[most:])]
+        for held in waiting.values():  # what is left, in equal parts
+            node, times, x = (np.concatenate(c) for c in zip(*held))
+            n = -(-len(x) // part_rows(x.shape[1], x.itemsize, rules))
+            for i in range(n):
+                rows = slice(len(x) * i // n, len(x) * (i + 1) // n)
+                yield packed(node[rows], times[rows], x[rows])
 
     return run
 
 
-class _Forest:
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        a, b = self.root(x), self.root(y)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
-def linked(x: np.ndarray, times: np.ndarray, home: np.ndarray, present: np.ndarray, b: int, rules: CosineRules):
-    """For the home rows of block b: (row, links to present rows, root of a spanning forest) of rows with links."""
-    y = turned(x)
-    blocks = blocks_of(x.shape[1], rules)
-    first, end, budget = blocks[b]
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    part = y[:, first:end].astype(np.float32)
-    # One product gives the squared distances: |a|^2 + |b|^2 - 2ab.
-    square, one = np.einsum("ij,ij->i", part, part)[:, None], np.ones((len(part), 1), np.float32)
-    left, right = np.hstack([-2 * part, square, one]), np.hstack([part, one, square])[present].T
-    links, forest = np.zeros(len(x), np.int64), _Forest()
-    for at in range(0, len(home), 256):
-        rows = home[at : at + 256]
-        near_row, near_col = np.divmod(np.flatnonzero(left[rows] @ right <= np.float32(budget + 1e-5)), len(present))
-        bounds = np.searchsorted(near_row, np.arange(len(rows) + 1))
-        for k, i in enumerate(rows.tolist()):
-            others = present[near_col[bounds[k] : bounds[k + 1]]]
-            others = others[others != i]
-            if not len(others):
-                continue
-            gap = np.square(y[others, :end] - y[i, :end])
-            found = gap[:, first:end].sum(1) <= budget
-            for a, z, share in blocks[:b]:  # a pair belongs to the first block that finds it
-                found &= gap[:, a:z].sum(1) > share
-            others = others[found]
-            if not len(others):
+class Part:
+    """Vectors of one length, with what bounds their distances."""
+
+    def __init__(self, node: np.ndarray, times: np.ndarray, x: np.ndarray, cuts: int, rules: CosineRules) -> None:
+        self.node, self.times, self.x = node, times, x
+        wide = x.astype(np.float64)
+        self.norm = np.sqrt(np.einsum("ij,ij->i", wide, wide))
+        y, dims = turned(wide), x.shape[1]
+        single = math.ceil(dims / 3)
+        lengths = [np.sqrt(np.square(y[:, a:z]).sum(1))[:, None] for a, z in blocks_of(single, dims, rules)]
+        self.bound = np.hstack([y[:, :single], *lengths]).astype(np.float32)
+        # The ball of each cell in each block.
+        at = cell_cuts(len(x), cuts)
+        self.cells = [(a, z) for a, z in zip(at, at[1:]) if a < z]
+        blocks = blocks_of(0, dims, rules)
+        self.centre = np.array([y[a:z].mean(0) for a, z in self.cells])
+        far = lambda rows: [np.sqrt(np.square(rows[:, a:z]).sum(1).max()) for a, z in blocks]
+        self.radius = np.array([far(y[a:z] - c) for (a, z), c in zip(self.cells, self.centre)])
+
+    def near(self, other: Part, rules: CosineRules) -> np.ndarray:
+        """Whether a pair within the budget can be in a cell of this part and one of the other."""
+        total = np.zeros((len(self.cells), len(other.cells)))
+        for k, (a, z) in enumerate(blocks_of(0, self.x.shape[1], rules)):
+            gap = np.sqrt(np.square(self.centre[:, None, a:z] - other.centre[None, :, a:z]).sum(2))
+            total += np.square(np.maximum(0, gap - self.radius[:, None, k] - other.radius[None, :, k]))
+        return total <= rules.budget + SLACK
+
+
+class Groups:
+    """Rows that links have joined, each known by its first row."""
+
+    def __init__(self, n: int) -> None:
+        self.first = np.arange(n)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.waiting.append((i, j))
+        self.held += len(i)
+        if self.held > WAITING:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        i, j = (np.concatenate(c) for c in zip(*self.waiting))
+        self.waiting, self.held = [], 0
+        while True:
+            a, b = self.first[i], self.first[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(self.first, np.maximum(a, b), np.minimum(a, b))
+            while (after := self.first[self.first]).tobytes() != self.first.tobytes():
+                self.first = after
+
+
+def _exact(a: Part, b: Part, i: np.ndarray, j: np.ndarray, rules: CosineRules) -> np.ndarray:
+    """Whether the cosine of each of these pairs is large enough."""
+    out, step = np.zeros(len(i), bool), max(1, GATHERED // a.x.shape[1])
+    for at in range(0, len(i), step):
+        p, q = i[at : at + step], j[at : at + step]
+        dot = np.einsum("ij,ij->i", a.x[p].astype(np.float64), b.x[q].astype(np.float64))
+        with np.errstate(all="ignore"):
+            out[at : at + step] = dot / (a.norm[p] * b.norm[q]) >= rules.least
+    return out
+
+
+def _tile_links(a: Part, b: Part, rows: tuple[int, int], cols: tuple[int, int], i: np.ndarray, j: np.ndarray, rules: CosineRules):
+    """(row of a, row of b) of the links among pairs of a tile."""
+    if a is b:
+        i, j = i[i < j], j[i < j]
+    if len(i) * 8 < (rows[1] - rows[0]) * (cols[1] - cols[0]):
+        found = _exact(a, b, i, j, rules)
+        return i[found], j[found]
+    # Many hits: a product decides all but those it puts at the least cosine itself.
+    with np.errstate(all="ignore"):
+        cosine = (a.x[slice(*rows)].astype(np.float64) @ b.x[slice(*cols)].astype(np.float64).T) / np.outer(a.norm[slice(*rows)], b.norm[slice(*cols)])
+    over = cosine[i - rows[0], j - cols[0]] - rules.least
+    found = over > DOUBLE
+    close = np.flatnonzero(np.abs(over) <= DOUBLE)
+    found[close] = _exact(a, b, i[close], j[close], rules)
+    return i[found], j[found]
+
+
+def linked(a: Part, b: Part, rules: CosineRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, links, first node of its group) of the vectors of two parts, or of one given twice, that have links with each other."""
+    same = a is b
+    after = 0 if same else len(a.node)
+    node = a.node if same else np.concatenate([a.node, b.node])
+    links, groups = np.zeros(len(node), np.int64), Groups(len(node))
+    left, right = a.bound, np.ascontiguousarray(b.bound.T)
+    least = np.float32(rules.least - SINGLE - 2 * len(right) * np.finfo(np.float32).eps)
+    buffer, near = np.empty(TILE, np.float32), a.near(b, rules)
+    for k, (first, end) in enumerate(a.cells):
+        spans: list[list[int]] = []  # of b's rows, cells side by side together
+        for m in np.flatnonzero(near[k]).tolist():
+            if same and m < k:
                 continue
-            cosine = np.einsum("ij,j->i", x[others], x[i]) / (norm[others] * norm[i])
-            others = others[cosine >= rules.least]
-            links[i] = times[others].sum()
-            for j in others.tolist():
-                forest.join(i, j)
-    return links, forest
-
-
-def _join_cell(rules: CosineRules):
-    def run(rows: pa.Table) -> pa.Table:
-        node = rows.column("node").to_numpy()
-        flat = rows.column("vector").combine_chunks()
-        x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(node), -1)
-        order = np.argsort(node, kind="stable")  # roots are then the smallest nodes
-        node, x = node[order], x[order]
-        times, role = rows.column("times").to_numpy()[order], rows.column("role").to_numpy()[order]
-        b = int(rows.column("cell")[0].as_py().split("/")[1])
-        links, forest = linked(x, times, np.flatnonzero(role & 1), np.flatnonzero(role & 2), b, rules)
-        touched = np.array(sorted(forest.up), np.int64)
-        roots = np.array([forest.root(i) for i in touched.tolist()], np.int64)
-        return pa.table({"node": node[touched], "links": links[touched], "root": node[roots]})
+            lo, hi = b.cells[m]
+            if spans and spans[-1][1] == lo:
+                spans[-1][1] = hi
+            else:
+                spans.append([lo, hi])
+        for top in range(first, end, TILE_ROWS):
+            rows = (top, min(end, top + TILE_ROWS))
+            wide = TILE // (rows[1] - rows[0])
+            for lo, hi in spans:
+                for at in range(lo, hi, wide):
+                    cols = (at, min(hi, at + wide))
+                    shape = (rows[1] - rows[0], cols[1] - cols[0])
+                    tile = np.matmul(left[slice(*rows)], right[:, slice(*cols)], out=buffer[: shape[0] * shape[1]].reshape(shape))
+                    if tile.max() < least:
+                        continue
+                    some = np.flatnonzero(tile.max(1) >= least)
+                    i, j = np.nonzero(tile[some] >= least)
+                    i, j = _tile_links(a, b, rows, cols, some[i] + rows[0], j + cols[0], rules)
+                    if len(i):
+                        links[slice(*rows)] += np.bincount(i - rows[0], b.times[j], shape[0]).astype(np.int64)
+                        links[after + cols[0] : after + cols[1]] += np.bincount(j - cols[0], a.times[i], shape[1]).astype(np.int64)
+                        groups.join(i, after + j)
+    groups.settle()
+    touched = np.flatnonzero(links)
+    return node[touched], links[touched], node[groups.first[touched]]
+
+
+def _join_parts(rules: CosineRules, cuts: int, kind: str):
+    kept: dict[int, Part] = {}
+
+    def prepared(batch: pa.RecordBatch, k: int, side: str) -> Part:
+        row = {c: batch.column(f"{side}_{c}")[k] for c in ("part", "dims", "node", "times", "vector")}
+        key = row["part"].as_py()
+        part = kept.pop(key, None)
+        if part is None:
+            node, times, x = (np.frombuffer(row[c].as_buffer(), t).copy() for c, t in (("node", np.int64), ("times", np.int64), ("vector", kind)))
+            part = Part(node, times, x.reshape(len(node), row["dims"].as_py()), cuts, rules)
+        kept[key] = part  # the one used last stands last
+        while len(kept) > KEPT_PARTS:
+            del kept[next(iter(kept))]
+        return part
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if batch.column("a_dims")[k].as_py() == batch.column("b_dims")[k].as_py():
+                    found = linked(prepared(batch, k, "a"), prepared(batch, k, "b"), rules)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["node", "links", "root"])
+        kept.clear()
 
     return run
 
 
+def digest(vector: str) -> Column:
+    """What stands for a vector in a shuffle, the same for equal ones."""
+    return F.xxhash64(vector)
+
+
+def _pairs_of_parts(parts: DataFrame) -> DataFrame:
+    """Every two parts once, and each with itself, in one row: no equality, so the written table is read again and nothing is shuffled."""
+    a, b = (parts.select(*[F.col(c).alias(f"{side}_{c}") for c in parts.columns]) for side in "ab")
+    p, q = F.col("a_part"), F.col("b_part")
+    # Which of two comes first is drawn, so that every two slices of the table have work.
+    drawn = F.xxhash64(F.least(p, q), F.greatest(p, q)) % 2 == 0
+    return a.join(b, (p == q) | (p < q) & drawn | (p > q) & ~drawn)
+
+
+def _found(nodes: DataFrame, rules: CosineRules) -> DataFrame:
+    """(node, links, root), written: links of a node with the vectors of one or two parts, and an edge of their spanning forest."""
+    spark, n = nodes.sparkSession, nodes.count()
+    kind = "<f4" if isinstance(nodes.schema["vector"].dataType.elementType, FloatType) else "<f8"
+    cuts = min(grid_dims(n, rules), MOST_CUTS)
+    path = new_stage_path(spark, "stage")
+    packed = (
+        nodes.select("node", "times", "vector")
+        .coalesce(max(1, -(-n // (BUILT_PARTS * rules.part))))
+        .mapInArrow(releasing_map(_parts(rules, cuts, kind)), "dims int, node binary, times binary, vector binary")
+        .withColumn("part", F.monotonically_increasing_id())
+    )
+    unbounded = spark.conf.get(BATCH_LIMIT, None) is None
+    bound_batches(spark)  # rows of two parts go to Python one by one
+    try:
+        # A file for each part, so that a task gets a few of them however large its share of the table may be.
+        packed.write.option("maxRecordsPerFile", 1).parquet(path)
+        parts = spark.read.schema(packed.schema).parquet(path)
+        # Two slices of the table are a task: several parts in a slice are read once for more pairs, if tasks enough are left.
+        slices, tasks = -(-parts.count() // SLICE_PARTS), 4 * spark.sparkContext.defaultParallelism
+        if slices * slices >= tasks:
+            parts = parts.coalesce(slices)
+        joined = _pairs_of_parts(parts).mapInArrow(releasing_map(_join_parts(rules, cuts, kind)), "node bigint, links bigint, root bigint")
+        return stage(joined)
+    finally:
+        if unbounded:
+            spark.conf.unset(BATCH_LIMIT)
+
+
 def cosine_groups(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", rules: CosineRules = CosineRules()
 ) -> DataFrame:
@@ -198,45 +365,28 @@ def cosine_groups(
     """
     slim = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").alias("vector"))
     good = slim.where(usable(F.col("vector")) & F.col("id").isNotNull())
-    nodes = stage(good.groupBy("vector").agg(F.min("id").alias("lowest"), F.count(F.lit(1)).alias("times")))
     # Rows that share an id can differ: the vector tells nodes apart, the id names them afterwards.
-    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()))
-    n = nodes.count()
-    cells = stage(
-        nodes.select("node", "times", "vector").mapInArrow(
-            _cells(rules, grid_dims(n, rules)), "node bigint, times bigint, cell string, home boolean"
-        )
-    )
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = stage(sizes.select("cell", F.ceil(F.col("n") / rules.part).cast("int").alias("parts")))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    # A home row meets all parts of the cell, a present row all parts of the home rows.
-    as_home = F.transform(every, lambda t: F.struct(own.alias("s"), t.alias("t"), F.when(t == own, 3).otherwise(1).alias("role")))
-    as_present = F.transform(every, lambda s: F.struct(s.alias("s"), own.alias("t"), F.lit(2).alias("role")))
-    # The task where a home row meets its own part is in as_home already.
-    others = F.filter(as_present, lambda p: ~(F.col("home") & (p["s"] == own)))
-    roles = F.when(F.col("home"), F.concat(as_home, others)).otherwise(others)
-    dealt = (
-        cells.join(parts, "cell")
-        .withColumn("place", F.explode(roles))
-        .select("node", "times", "cell", "place.*")
-        .join(nodes.select("node", "vector"), "node")
-    )
-    found = stage(
-        dealt.groupBy("cell", "s", "t").applyInArrow(_join_cell(rules), "node bigint, links bigint, root bigint")
+    nodes = stage(
+        good.groupBy("vector")
+        .agg(F.min("id").alias("lowest"), F.count(F.lit(1)).alias("times"))
+        .select("vector", "lowest", "times", F.monotonically_increasing_id().alias("node"), digest("vector").alias("digest"))
     )
+    found = _found(nodes, rules)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
 
     # Names: the smallest id of a node; nodes that share an id are joined as well.
-    named = stage(nodes.select("node", "lowest", "times"))
+    named = nodes.select("node", "lowest")
     pairs = found.where("node != root").select("node", "root").distinct()
     edges = (
         pairs.join(named.select("node", F.col("lowest").alias("u")), "node")
         .join(named.select(F.col("node").alias("root"), F.col("lowest").alias("v")), "root")
         .select("u", "v")
     )
-    placed = stage(good.join(nodes, "vector").select("id", "node", "lowest", "times"))
+    # Rows find their node by the digest, or by the vector if two different ones share a digest.
+    clash = nodes.groupBy("digest").count().where("count > 1").limit(1).count()
+    key = "vector" if clash else "digest"
+    keyed = good.select("id", "vector") if clash else good.select("id", digest("vector").alias("digest"))
+    placed = stage(keyed.join(nodes.select(key, "node", "lowest", "times"), key).select("id", "node", "lowest", "times"))
     shared = placed.where("id != lowest").select(F.col("id").alias("u"), F.col("lowest").alias("v"))
     groups = stage(components(edges.unionByName(shared)))
     counted = stage(links)

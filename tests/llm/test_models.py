@@ -8,9 +8,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from demandspark import session
 from demandspark.llm import bpe, embedding_dedup as E, language_id as G, pii, suffix_dedup as X, url_filter as U
 
 
@@ -56,6 +58,99 @@ def test_cosine_groups_equal_brute_force(spark, part, first):
     assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
 
 
+def vectors_in_groups(seed, n, dims):
+    """Rows of (id, vector): close groups around few directions, near copies, lone vectors."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((6, dims)) * 3
+    x = centres[rng.integers(0, 6, n)] + rng.standard_normal((n, dims)) * rng.choice([0.2, 0.6, 1.0], n)[:, None]
+    x[: n // 4] = rng.standard_normal((n // 4, dims))
+    return [(i * 3 + 1, [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32))]
+
+
+def test_cosine_groups_write_no_table_that_grows_faster_than_the_vectors(spark, tmp_path, monkeypatch):
+    rows = vectors_in_groups(1, 400, 64)
+    monkeypatch.setattr(session, "stage_folder", lambda spark: str(tmp_path))
+    got = E.cosine_groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), rules=E.CosineRules(first_grid=3)).collect()
+    by_table = Counter()
+    for f in tmp_path.rglob("*.parquet"):
+        by_table[f.parent] += pq.read_metadata(f).num_rows
+    assert by_table and max(by_table.values()) <= 2 * len(rows)
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == Counter(brute_links(rows, 0.95))
+
+
+def test_parts_meet_without_a_shuffle(spark):
+    parts = spark.range(9).selectExpr("1 dims", "cast('x' as binary) node", "cast('y' as binary) times", "cast('z' as binary) vector", "id part")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pairs = E._pairs_of_parts(parts)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        met = [tuple(sorted(r)) for r in pairs.select("a_part", "b_part").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert sorted(met) == [(a, b) for a in range(9) for b in range(a, 9)]
+
+
+@pytest.mark.parametrize("kind,dims,part", [("float", 64, 30), ("double", 5, 17), ("float", 1, 50), ("double", 100, 1000)])
+def test_parts_and_cells_lose_no_link(spark, kind, dims, part):
+    rows = vectors_in_groups(dims, 120, dims)
+    zero = [-0.0, 1.0, *[0.0] * (dims - 2)][:dims] if dims > 1 else [1.0]
+    rows += [(900, zero), (901, [abs(v) for v in zero]), (902, [v * 2 for v in zero]), (903, rows[-1][1]), (903, rows[5][1])]
+    limit = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>").repartition(3)
+    got = E.cosine_groups(df, rules=E.CosineRules(part=part, first_grid=4)).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == Counter(brute_links(rows, 0.95))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == limit
+
+
+def test_rows_find_their_vector_where_digests_clash(spark, monkeypatch):
+    monkeypatch.setattr(E, "digest", lambda vector: F.lit(7).cast("bigint"))
+    rows = [*vectors_in_groups(8, 40, 6), (0, [1.0] * 6), (500, [1.0] * 6)]
+    got = E.cosine_groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == Counter(brute_links(rows, 0.95))
+
+
+def part_of(x, cuts, rules):
+    x = x[E.in_cells(x.astype(np.float64), cuts)]
+    return E.Part(np.arange(len(x)), np.arange(1, len(x) + 1), x, cuts, rules)
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.045, 1.0])
+def test_links_of_two_parts_equal_all_cosines(spread):
+    """Dense and thin tiles, cells that are passed over, links that count more than once."""
+    rng, rules, cuts = np.random.default_rng(4), E.CosineRules(), 5
+    centres = rng.standard_normal((8, 64))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x, y = (centres[rng.integers(0, 8, 700)] + rng.standard_normal((700, 64)) * spread for _ in range(2))
+    a, b = part_of(x, cuts, rules), part_of(y, cuts, rules)
+    b.node = b.node + 1000
+    if spread < 0.03:
+        assert not a.near(b, rules).all()
+    for p, q in ((a, b), (a, a)):
+        cosine = (p.x / p.norm[:, None]) @ (q.x / q.norm[:, None]).T
+        link = cosine >= 0.95
+        if p is q:
+            np.fill_diagonal(link, False)
+            want = dict(enumerate((link @ q.times).tolist()))
+        else:
+            want = dict(enumerate((link @ q.times).tolist())) | {1000 + k: v for k, v in enumerate((link.T @ p.times).tolist())}
+        node, links, root = E.linked(p, q, rules)
+        assert dict(zip(node.tolist(), links.tolist())) == {k: v for k, v in want.items() if v}
+        # The same groups as all links make.
+        groups = E.Groups(2000)
+        groups.join(*np.nonzero(link)) if p is q else groups.join(np.nonzero(link)[0], 1000 + np.nonzero(link)[1])
+        groups.settle()
+        assert root.tolist() == groups.first[node].tolist()
+
+
+def test_rows_joined_in_a_chain_are_one_group():
+    groups, order = E.Groups(5000), np.random.default_rng(2).permutation(4998)
+    groups.join(order + 1, order)
+    groups.settle()
+    assert groups.first.tolist() == [0] * 4999 + [4999]
+
+
 def test_cosine_groups_of_an_empty_table(spark):
     assert E.cosine_groups(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
