@@ -1,10 +1,10 @@
-"""Embedding near-dedup by a subspace join that bounds every pair and copies no vector.
+"""Embedding near-dedup by a subspace pigeonhole join that copies no vector.
 
 Two unit vectors with cosine c are at squared distance 2 - 2c, the budget. After
 a rotation the coordinates are cut into blocks, and what two vectors are apart in
-the blocks adds up to their distance. So a lower bound in each block gives one
-for the whole, and a pair whose bounds pass the budget is no link: no pair within
-it is missed.
+the blocks adds up to their distance. A pair within the budget is within its share
+in at least one block; more than that, lower bounds in the blocks add up to at
+most the budget. A pair for which they do not is no link, and no link is missed.
 
 Equal vectors are one row with a count before anything else. The others are
 written once, in parts of some thousands as packed rows, and every two parts meet
@@ -57,6 +57,8 @@ SINGLE, DOUBLE = 1e-5, 1e-12
 PART_BYTES, GATHERED, WAITING = 8 << 20, 1 << 20, 1 << 18
 #: Rows of a tile of pairs that one product bounds, and its pairs at most: they stay in a core's cache. Halvings at most: cells of a full tile.
 TILE_ROWS, TILE, MOST_CUTS = 512, 1 << 18, 6
+#: A tile with more than one hit in so many pairs gets a product of all coordinates, in single and in double precision.
+MANY, FULL = 256, 8
 #: Parts that a build task makes, where the table has enough; those of a slice of the table, and those a worker keeps prepared.
 BUILT_PARTS, SLICE_PARTS, KEPT_PARTS = 4, 3, 5
 
@@ -175,6 +177,10 @@ class Part:
         far = lambda rows: [np.sqrt(np.square(rows[:, a:z]).sum(1).max()) for a, z in blocks]
         self.radius = np.array([far(y[a:z] - c) for (a, z), c in zip(self.cells, self.centre)])
 
+    def units(self, rows: tuple[int, int]) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            return self.x[slice(*rows)] / self.norm[slice(*rows), None]
+
     def near(self, other: Part, rules: CosineRules) -> np.ndarray:
         """Whether a pair within the budget can be in a cell of this part and one of the other."""
         total = np.zeros((len(self.cells), len(other.cells)))
@@ -225,21 +231,32 @@ def _exact(a: Part, b: Part, i: np.ndarray, j: np.ndarray, rules: CosineRules) -
     return out
 
 
-def _tile_links(a: Part, b: Part, rows: tuple[int, int], cols: tuple[int, int], i: np.ndarray, j: np.ndarray, rules: CosineRules):
-    """(row of a, row of b) of the links among pairs of a tile."""
-    if a is b:
-        i, j = i[i < j], j[i < j]
-    if len(i) * 8 < (rows[1] - rows[0]) * (cols[1] - cols[0]):
+def lowest_single(columns: int, rules: CosineRules) -> np.float32:
+    """A product of so many columns in single precision is not below this for a link."""
+    return np.float32(rules.least - SINGLE - 2 * columns * np.finfo(np.float32).eps)
+
+
+def _tile_links(a: Part, b: Part, rows: tuple[int, int], cols: tuple[int, int], tile: np.ndarray, least: np.float32, rules: CosineRules):
+    """(row of a, row of b) of the links in a tile of bounds; pairs are decided one by one if few and by products if many."""
+    some = np.flatnonzero(tile.max(1) >= least)
+    hit = tile[some] >= least
+    if np.count_nonzero(hit) * MANY > tile.size:
+        left, right = a.units(rows)[some], b.units(cols)
+        hit = left.astype(np.float32) @ right.astype(np.float32).T >= lowest_single(left.shape[1], rules)
+    if np.count_nonzero(hit) * FULL > tile.size:
+        cosine = left @ right.T
+        hit = cosine >= rules.least - DOUBLE
+        # The product decides all but those it puts at the least cosine itself.
+        i, j = np.nonzero(hit & (cosine <= rules.least + DOUBLE))
+        hit[i, j] = _exact(a, b, some[i] + rows[0], j + cols[0], rules)
+        i, j = np.nonzero(hit)
+        i, j = some[i] + rows[0], j + cols[0]
+    else:
+        i, j = np.nonzero(hit)
+        i, j = some[i] + rows[0], j + cols[0]
         found = _exact(a, b, i, j, rules)
-        return i[found], j[found]
-    # Many hits: a product decides all but those it puts at the least cosine itself.
-    with np.errstate(all="ignore"):
-        cosine = (a.x[slice(*rows)].astype(np.float64) @ b.x[slice(*cols)].astype(np.float64).T) / np.outer(a.norm[slice(*rows)], b.norm[slice(*cols)])
-    over = cosine[i - rows[0], j - cols[0]] - rules.least
-    found = over > DOUBLE
-    close = np.flatnonzero(np.abs(over) <= DOUBLE)
-    found[close] = _exact(a, b, i[close], j[close], rules)
-    return i[found], j[found]
+        i, j = i[found], j[found]
+    return (i[i < j], j[i < j]) if a is b else (i, j)
 
 
 def linked(a: Part, b: Part, rules: CosineRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,7 +266,7 @@ def linked(a: Part, b: Part, rules: CosineRules) -> tuple[np.ndarray, np.ndarray
     node = a.node if same else np.concatenate([a.node, b.node])
     links, groups = np.zeros(len(node), np.int64), Groups(len(node))
     left, right = a.bound, np.ascontiguousarray(b.bound.T)
-    least = np.float32(rules.least - SINGLE - 2 * len(right) * np.finfo(np.float32).eps)
+    least = lowest_single(len(right), rules)
     buffer, near = np.empty(TILE, np.float32), a.near(b, rules)
     for k, (first, end) in enumerate(a.cells):
         spans: list[list[int]] = []  # of b's rows, cells side by side together
@@ -271,9 +288,7 @@ def linked(a: Part, b: Part, rules: CosineRules) -> tuple[np.ndarray, np.ndarray
                     tile = np.matmul(left[slice(*rows)], right[:, slice(*cols)], out=buffer[: shape[0] * shape[1]].reshape(shape))
                     if tile.max() < least:
                         continue
-                    some = np.flatnonzero(tile.max(1) >= least)
-                    i, j = np.nonzero(tile[some] >= least)
-                    i, j = _tile_links(a, b, rows, cols, some[i] + rows[0], j + cols[0], rules)
+                    i, j = _tile_links(a, b, rows, cols, tile, least, rules)
                     if len(i):
                         links[slice(*rows)] += np.bincount(i - rows[0], b.times[j], shape[0]).astype(np.int64)
                         links[after + cols[0] : after + cols[1]] += np.bincount(j - cols[0], a.times[i], shape[1]).astype(np.int64)

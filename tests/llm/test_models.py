@@ -116,7 +116,7 @@ def part_of(x, cuts, rules):
     return E.Part(np.arange(len(x)), np.arange(1, len(x) + 1), x, cuts, rules)
 
 
-@pytest.mark.parametrize("spread", [0.02, 0.045, 1.0])
+@pytest.mark.parametrize("spread", [0.02, 0.03, 0.045, 0.06, 1.0])
 def test_links_of_two_parts_equal_all_cosines(spread):
     """Dense and thin tiles, cells that are passed over, links that count more than once."""
     rng, rules, cuts = np.random.default_rng(4), E.CosineRules(), 5
